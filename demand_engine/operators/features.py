@@ -20,13 +20,23 @@ TRENDS = (4, 8)
 SPANS = (4, 13)
 EWMA_BLOCK = 256
 
-SERIES = W.partitionBy("sku").orderBy("week_start")
-PAST = SERIES.rowsBetween(W.unboundedPreceding, 0)
 X = "salida"
 
 
+def _series():
+    return W.partitionBy("sku").orderBy("week_start")
+
+
+def _past():
+    return _series().rowsBetween(W.unboundedPreceding, 0)
+
+
+def _whole():
+    return _series().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 def _previous(weeks: int):
-    return SERIES.rowsBetween(-weeks, -1)
+    return _series().rowsBetween(-weeks, -1)
 
 
 def calendar_features(df: DataFrame) -> DataFrame:
@@ -43,14 +53,22 @@ def calendar_features(df: DataFrame) -> DataFrame:
     )
 
 
+def _lags(offsets=LAGS) -> dict[str, Column]:
+    return {f"lag_{n}": F.lag(X, n).over(_series()) for n in offsets}
+
+
 def lags(df: DataFrame, offsets: tuple[int, ...] = LAGS) -> DataFrame:
     """G2."""
-    return df.withColumns({f"lag_{n}": F.lag(X, n).over(SERIES) for n in offsets})
+    return df.withColumns(_lags(offsets))
+
+
+def _averages(windows=AVERAGES) -> dict[str, Column]:
+    return {f"ma_{w}": F.mean(X).over(_previous(w)) for w in windows}
 
 
 def moving_average(df: DataFrame, windows: tuple[int, ...] = AVERAGES) -> DataFrame:
     """Mean of the previous w weeks, fewer at the start, null in the first week."""
-    return df.withColumns({f"ma_{w}": F.mean(X).over(_previous(w)) for w in windows})
+    return df.withColumns(_averages(windows))
 
 
 def anomaly_flag(df: DataFrame, drop: float = 0.70) -> DataFrame:
@@ -60,11 +78,13 @@ def anomaly_flag(df: DataFrame, drop: float = 0.70) -> DataFrame:
     return df.withColumn("anomalia_binaria", F.coalesce(hit, F.lit(False)).cast("int"))
 
 
+def _volatilities(windows=VOLATILITIES) -> dict[str, Column]:
+    return {f"volatilidad_{w}": F.coalesce(F.stddev_samp(X).over(_previous(w)), F.lit(0.0)) for w in windows}
+
+
 def volatility(df: DataFrame, windows: tuple[int, ...] = VOLATILITIES) -> DataFrame:
     """G5."""
-    return df.withColumns(
-        {f"volatilidad_{w}": F.coalesce(F.stddev_samp(X).over(_previous(w)), F.lit(0.0)) for w in windows}
-    )
+    return df.withColumns(_volatilities(windows))
 
 
 def trend_vs_ma(df: DataFrame, windows: tuple[int, ...] = TRENDS) -> DataFrame:
@@ -74,50 +94,65 @@ def trend_vs_ma(df: DataFrame, windows: tuple[int, ...] = TRENDS) -> DataFrame:
     )
 
 
+def _position() -> Column:
+    return (F.row_number().over(_series()) - 1).cast("double")
+
+
 def linear_trend(df: DataFrame) -> DataFrame:
     """0-based position in the series."""
-    return df.withColumn("trend_lineal", (F.row_number().over(SERIES) - 1).cast("double"))
+    return df.withColumn("trend_lineal", _position())
 
 
 def ewma(df: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
     """e_t = (1-a) e_{t-1} + a x_{t-1}, a = 2/(span+1), started at the first value.
 
-    Needs ``trend_lineal`` (G8). The recursion is written as a running sum of x_j (1-a)^-j inside
-    blocks of 256 weeks (so powers stay in range) plus what the previous block passes on; anything
-    older is smaller than double precision can show.
+    Needs ``trend_lineal`` (G8) and ``lag_1`` (G2). The recursion is written as a running sum of
+    x_j (1-a)^-j inside blocks of 256 weeks (so powers stay in range) plus what the block before
+    passes on; anything older is smaller than double precision can show.
     """
     i = F.col("trend_lineal")
-    out = df
+    pos = i % EWMA_BLOCK
+    block = W.partitionBy("sku", F.floor(i / EWMA_BLOCK)).orderBy("week_start").rowsBetween(W.unboundedPreceding, 0)
+    alpha = {span: 2.0 / (span + 1) for span in spans}
+    keep = {span: F.lit(1.0 - a) for span, a in alpha.items()}
+    sums, states = {}, {}
     for span in spans:
-        a = 2.0 / (span + 1)
-        keep = 1.0 - a
-        # Week j enters the average of week j+1. Position of week j inside its block:
-        pos = i % EWMA_BLOCK
-        weight = F.when(i == 0, F.lit(1.0)).otherwise(F.lit(a))
-        scaled = F.col(X) * weight * F.pow(F.lit(keep), -pos)
-        block = W.partitionBy("sku", F.floor(i / EWMA_BLOCK)).orderBy("week_start").rowsBetween(W.unboundedPreceding, 0)
-        out = out.withColumn("_in", F.sum(scaled).over(block) * F.pow(F.lit(keep), pos))
-        block_end = F.when(pos == EWMA_BLOCK - 1, F.col("_in"))
-        passed = F.last(block_end, ignorenulls=True).over(SERIES.rowsBetween(W.unboundedPreceding, -1))
-        state = F.col("_in") + F.coalesce(passed, F.lit(0.0)) * F.pow(F.lit(keep), pos + 1)
-        out = out.withColumn("_state", state).withColumn(f"ewma_{span}", F.lag("_state").over(SERIES))
-    return out.drop("_in", "_state")
+        weight = F.when(i == 1, F.lit(1.0)).otherwise(F.lit(alpha[span]))  # week 1 sees the first value
+        scaled = F.col("lag_1") * weight * F.pow(keep[span], -pos)
+        sums[f"_in_{span}"] = F.sum(scaled).over(block) * F.pow(keep[span], pos)
+    for span in spans:
+        block_end = F.when(pos == EWMA_BLOCK - 1, F.col(f"_in_{span}"))
+        passed = F.last(block_end, ignorenulls=True).over(_series().rowsBetween(W.unboundedPreceding, -1))
+        carried = F.coalesce(passed, F.lit(0.0)) * F.pow(keep[span], pos + 1)
+        states[f"ewma_{span}"] = F.when(i > 0, F.coalesce(F.col(f"_in_{span}"), F.lit(0.0)) + carried)
+    return df.withColumns(sums).withColumns(states).drop(*sums)
+
+
+def _run_starts() -> dict[str, Column]:
+    has = F.col(X) > 0
+    before = F.lag(has).over(_series())
+    here = F.row_number().over(_series())
+    return {"_start": F.when(before.isNull() | (has != before), here), "_pos": here}
+
+
+def _run_position() -> Column:
+    return F.col("_pos") - F.last("_start", ignorenulls=True).over(_past())
 
 
 def run_position(df: DataFrame) -> DataFrame:
     """0-based position inside the current run of weeks with, or without, demand."""
-    has = F.col(X) > 0
-    before = F.lag(has).over(SERIES)
-    starts = F.when(before.isNull() | (has != before), F.row_number().over(SERIES))
-    out = df.withColumn("_start", starts).withColumn("_pos", F.row_number().over(SERIES))
-    position = F.col("_pos") - F.last("_start", ignorenulls=True).over(PAST)
-    return out.withColumn("semanas_desde_ultima_venta", position).drop("_start", "_pos")
+    out = df.withColumns(_run_starts()).withColumn("semanas_desde_ultima_venta", _run_position())
+    return out.drop("_start", "_pos")
+
+
+def _yoy() -> Column:
+    value = ratio(F.lag(X, 1).over(_series()), F.lag(X, 52).over(_series()), 1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(5.0), value))
 
 
 def yoy_ratio(df: DataFrame) -> DataFrame:
     """Previous week against the same week last year; 1 where unknown, within [0, 5]."""
-    value = ratio(F.lag(X, 1).over(SERIES), F.lag(X, 52).over(SERIES), 1.0)
-    return df.withColumn("yoy_ratio", F.greatest(F.lit(0.0), F.least(F.lit(5.0), value)))
+    return df.withColumn("yoy_ratio", _yoy())
 
 
 def _one_if_zero(c: str) -> Column:
@@ -134,10 +169,13 @@ def intra_week_ratios(df: DataFrame) -> DataFrame:
     )
 
 
+def _transactions() -> Column:
+    return ratio(F.col("transacciones"), F.mean("transacciones").over(_series().rowsBetween(-3, 0)))
+
+
 def ratio_transactions(df: DataFrame) -> DataFrame:
     """Transactions against their mean over this and the three weeks before."""
-    mean = F.mean("transacciones").over(SERIES.rowsBetween(-3, 0))
-    return df.withColumn("ratio_transacciones", ratio(F.col("transacciones"), mean))
+    return df.withColumn("ratio_transacciones", _transactions())
 
 
 def cyclic_encoding(df: DataFrame) -> DataFrame:
@@ -166,23 +204,30 @@ def categories(df: DataFrame, column: str, limit: int = 1000) -> list:
     return sorted(r[0] for r in rows)
 
 
+def _indicators(values: dict[str, list], columns: dict[str, str] = ONE_HOT) -> dict[str, Column]:
+    out = {}
+    for c, listed in values.items():
+        for v in listed:
+            hit = (F.col(c) == F.lit(v)).cast("int")
+            out[f"{columns[c]}_{v}"] = F.when(F.max(hit).over(_whole()) == 1, hit)
+    return out
+
+
 def one_hot(df: DataFrame, values: dict[str, list], columns: dict[str, str] = ONE_HOT) -> DataFrame:
     """G14, wide: one 0/1 column per category of ``values`` (column -> categories).
 
     A category a SKU never has is null for that SKU, as the indicators are made per SKU.
     """
-    by_sku = W.partitionBy("sku")
-    out = {}
-    for c, listed in values.items():
-        for v in listed:
-            hit = (F.col(c) == F.lit(v)).cast("int")
-            out[f"{columns[c]}_{v}"] = F.when(F.max(hit).over(by_sku) == 1, hit)
-    return df.withColumns(out)
+    return df.withColumns(_indicators(values, columns))
+
+
+def _cumulative() -> Column:
+    return F.sum((F.col(X) > 0).cast("int")).over(_past())
 
 
 def cumulative_sale_weeks(df: DataFrame) -> DataFrame:
     """Running number of weeks with demand."""
-    return df.withColumn("semana_consecutivas_venta", F.sum((F.col(X) > 0).cast("int")).over(PAST))
+    return df.withColumn("semana_consecutivas_venta", _cumulative())
 
 
 IMPUTED = tuple(
@@ -193,16 +238,19 @@ IMPUTED = tuple(
 )
 
 
-def impute_lags(df: DataFrame, columns: tuple[str, ...] = IMPUTED, backfill: bool = True) -> DataFrame:
-    """Forward, then backward fill within the SKU, then 0. ``backfill=False`` uses no later week."""
-    future = SERIES.rowsBetween(0, W.unboundedFollowing)
+def _imputed(columns=IMPUTED, backfill: bool = True) -> dict[str, Column]:
     out = {}
     for c in columns:
-        steps = [F.col(c), F.last(c, ignorenulls=True).over(PAST)]
-        if backfill:
-            steps.append(F.first(c, ignorenulls=True).over(future))
+        steps = [F.col(c), F.last(c, ignorenulls=True).over(_past())]
+        if backfill:  # only weeks before the first known value are still open
+            steps.append(F.first(c, ignorenulls=True).over(_whole()))
         out[c] = F.coalesce(*steps, F.lit(0.0))
-    return df.withColumns(out)
+    return out
+
+
+def impute_lags(df: DataFrame, columns: tuple[str, ...] = IMPUTED, backfill: bool = True) -> DataFrame:
+    """Forward, then backward fill within the SKU, then 0. ``backfill=False`` uses no later week."""
+    return df.withColumns(_imputed(columns, backfill))
 
 
 # Features that look at the current week's own demand: excluded from models by ``leak_safe``.
@@ -219,15 +267,27 @@ def build_features(
     impute: bool = True,
     backfill: bool = True,
 ) -> DataFrame:
-    """All features in their order. ``one_hot_values``: categories per column for the wide G14."""
-    df = calendar_features(dense)
-    for step in (lags, moving_average, anomaly_flag, volatility, trend_vs_ma, linear_trend, ewma, run_position,
-                 yoy_ratio, intra_week_ratios, ratio_transactions, cyclic_encoding):
+    """All features. ``one_hot_values``: categories per column for the wide G14.
+
+    The independent windows are declared together, so they run as one window operator.
+    """
+    df = calendar_features(dense).withColumns(
+        {
+            **_lags(),
+            **_averages(),
+            **_volatilities(),
+            **_run_starts(),
+            **_indicators(one_hot_values or {}),
+            "trend_lineal": _position(),
+            "yoy_ratio": _yoy(),
+            "ratio_transacciones": _transactions(),
+            "semana_consecutivas_venta": _cumulative(),
+        }
+    )
+    df = ewma(df).withColumn("semanas_desde_ultima_venta", _run_position()).drop("_start", "_pos")
+    for step in (anomaly_flag, trend_vs_ma, intra_week_ratios, cyclic_encoding):
         df = step(df)
-    if one_hot_values:
-        df = one_hot(df, one_hot_values)
-    df = cumulative_sale_weeks(df)
-    return impute_lags(df, backfill=backfill) if impute else df
+    return df.withColumns(_imputed(backfill=backfill)) if impute else df
 
 
 def feature_columns(df: DataFrame, leak_safe: bool = False) -> list[str]:

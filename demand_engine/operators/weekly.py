@@ -74,8 +74,11 @@ def weekly_consolidated(df: DataFrame, order=DEFAULT_ORDER) -> DataFrame:
     )
 
 
-def weekly_demand(df: DataFrame) -> DataFrame:
-    """demand statistics per (SKU, ISO year, ISO week) and the usual client, channel and point."""
+def weekly_demand(df: DataFrame, usual: tuple[str, ...] = ("cliente", "canal", "punto")) -> DataFrame:
+    """demand statistics per (SKU, ISO year, ISO week) and the usual client, channel and point.
+
+    ``usual`` names the columns to take the mode of, each into ``<column>_modo``.
+    """
     weeks = _weeks(df).where(F.col("sku").isNotNull())
     keys = ["sku", "week_start"]
     stats = weeks.groupBy(*keys).agg(
@@ -86,14 +89,11 @@ def weekly_demand(df: DataFrame) -> DataFrame:
         F.min("salida").alias("salida_min"),
         F.max("salida").alias("salida_max"),
     )
-    usual = modes(weeks, keys, ["cliente", "canal", "punto"]).select(
-        *keys, F.col("cliente").alias("cliente_modo"), F.col("canal").alias("canal_modo"), F.col("punto").alias("punto_modo")
-    )
-    return (
-        stats.join(usual, keys, "left")
-        .fillna("Unknown", ["cliente_modo", "canal_modo", "punto_modo"])
-        .withColumns({"iso_year": iso_year("week_start"), "iso_week": F.weekofyear("week_start")})
-    )
+    stats = stats.withColumns({"iso_year": iso_year("week_start"), "iso_week": F.weekofyear("week_start")})
+    if not usual:
+        return stats
+    frequent = modes(weeks, keys, list(usual)).select(*keys, *[F.col(c).alias(f"{c}_modo") for c in usual])
+    return stats.join(frequent, keys, "left").fillna("Unknown", [f"{c}_modo" for c in usual])
 
 
 NUMERIC = ("transacciones", "salida_promedio", "salida_std", "salida_min", "salida_max")
@@ -108,13 +108,17 @@ def densify_weeks(weekly: DataFrame, min_weeks: int = 2) -> DataFrame:
     neighbours stay available to F7 and F8 as ``_from`` (left) and ``_to`` (right), ``_step`` weeks
     after the left one out of ``_gap``.
     """
-    by_sku = W.partitionBy("sku")
-    following = F.lead("week_start").over(by_sku.orderBy("week_start"))
+    series = W.partitionBy("sku").orderBy("week_start")
+    whole = series.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     values = [c for c in weekly.columns if c not in ("sku", "week_start", "iso_year", "iso_week")]
     spans = (
-        weekly.withColumn("_n", F.count("*").over(by_sku))
-        .withColumn("_next", following)
-        .withColumn("_to", F.lead("salida").over(by_sku.orderBy("week_start")))
+        weekly.withColumns(
+            {
+                "_n": F.count("*").over(whole),
+                "_next": F.lead("week_start").over(series),
+                "_to": F.lead("salida").over(series),
+            }
+        )
         .where(F.col("_n") >= min_weeks)
         .withColumn("_gap", F.coalesce(F.datediff("_next", "week_start") / 7, F.lit(1)).cast("int"))
     )
@@ -151,7 +155,8 @@ def interpolate_linear(dense: DataFrame) -> DataFrame:
 
 def ffill_categories(dense: DataFrame, columns: tuple[str, ...] = MODES) -> DataFrame:
     """F8: added weeks take the last observed mode, else 'Unknown'."""
-    return dense.withColumns({c: F.coalesce(c, F.col("_from")[c], F.lit("Unknown")) for c in columns})
+    present = [c for c in columns if c in dense.columns]
+    return dense.withColumns({c: F.coalesce(c, F.col("_from")[c], F.lit("Unknown")) for c in present})
 
 
 def zero_fill_numeric(dense: DataFrame, columns: tuple[str, ...] = NUMERIC) -> DataFrame:

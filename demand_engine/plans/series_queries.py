@@ -65,7 +65,7 @@ part(
     ("gaps",),
     """
 SELECT sku, week_start, iso_year, iso_week, is_imputed,
-  COALESCE(salida, v0 + (v1 - v0) * datediff('day', w0, week_start) / datediff('day', w0, w1)) AS salida,
+  COALESCE(salida, v0 + (v1 - v0) / (datediff('day', w0, w1) / 7) * (datediff('day', w0, week_start) / 7)) AS salida,
   COALESCE(transacciones, 0) AS transacciones, COALESCE(salida_promedio, 0) AS salida_promedio,
   COALESCE(salida_std, 0) AS salida_std, COALESCE(salida_min, 0) AS salida_min, COALESCE(salida_max, 0) AS salida_max,
   COALESCE(cliente_modo, c0, 'Unknown') AS cliente_modo, COALESCE(canal_modo, k0, 'Unknown') AS canal_modo,
@@ -172,8 +172,8 @@ def f4_weekly_by_sku(spark, d):
     return brand_weeks(spark, d)
 
 
-def brand_demand(spark, d, sku="brand") -> DataFrame:
-    return weekly.weekly_demand(cleaning.sales(clean_ledger(spark, d, sku=sku, parties=True)))
+def brand_demand(spark, d, sku="brand", usual=("cliente", "canal", "punto")) -> DataFrame:
+    return weekly.weekly_demand(cleaning.sales(clean_ledger(spark, d, sku=sku, parties=bool(usual))), usual)
 
 
 @query(
@@ -193,17 +193,17 @@ def f5_weekly_demand(spark, d):
     sql("SELECT sku, week_start, iso_year, iso_week, salida, is_imputed FROM gaps", "gaps", sku="item"),
 )
 def f6_densify_weeks(spark, d):
-    dense = weekly.densify_weeks(brand_demand(spark, d, "item"))
+    dense = weekly.densify_weeks(brand_demand(spark, d, "item", ()))
     return dense.select(*KEYS, "iso_year", "iso_week", "salida", "is_imputed")
 
 
 @query(
     "f7_interpolate_linear",
-    sql("SELECT sku, week_start, round(salida, 4) AS salida FROM dense", "dense", sku="item"),
+    sql("SELECT sku, week_start, round(salida, 8) AS salida FROM dense", "dense", sku="item"),
 )
 def f7_interpolate_linear(spark, d):
-    dense = weekly.interpolate_linear(weekly.densify_weeks(brand_demand(spark, d, "item")))
-    return rounded(dense.select(*KEYS, "salida"), 4, "salida")
+    dense = weekly.interpolate_linear(weekly.densify_weeks(brand_demand(spark, d, "item", ())))
+    return rounded(dense.select(*KEYS, "salida"), 8, "salida")
 
 
 @query(
@@ -225,7 +225,7 @@ def f8_ffill_categories(spark, d):
     ),
 )
 def f9_zero_fill_numeric(spark, d):
-    dense = weekly.zero_fill_numeric(weekly.densify_weeks(brand_demand(spark, d, "item")))
+    dense = weekly.zero_fill_numeric(weekly.densify_weeks(brand_demand(spark, d, "item", ())))
     return rounded(dense.select(*KEYS, *weekly.NUMERIC), 4, "salida_promedio", "salida_std")
 
 
@@ -263,8 +263,8 @@ def f11_monthly_timeline(spark, d):
 # --- G -------------------------------------------------------------------------------------------
 
 
-def brand_dense(spark, d) -> DataFrame:
-    return weekly.weekly_dense(brand_demand(spark, d))
+def brand_dense(spark, d, usual=()) -> DataFrame:
+    return weekly.weekly_dense(brand_demand(spark, d, usual=usual))
 
 
 def brand_features(spark, d, **kw) -> DataFrame:
@@ -289,7 +289,7 @@ _feature_query("g3_moving_average", (), tuple(f"ma_{w}" for w in features.AVERAG
 _feature_query("g4_anomaly_flag", ("anomalia_binaria",), (), lambda x: features.anomaly_flag(features.moving_average(x)))
 _feature_query("g5_volatility", (), tuple(f"volatilidad_{w}" for w in features.VOLATILITIES), features.volatility)
 _feature_query("g6_trend_vs_ma", (), ("trend_vs_ma4", "trend_vs_ma8"), lambda x: features.trend_vs_ma(features.moving_average(x)))
-_feature_query("g7_ewma", (), ("ewma_4", "ewma_13"), lambda x: features.ewma(features.linear_trend(x)))
+_feature_query("g7_ewma", (), ("ewma_4", "ewma_13"), lambda x: features.ewma(features.linear_trend(features.lags(x))))
 _feature_query("g8_linear_trend", ("trend_lineal",), (), features.linear_trend)
 _feature_query("g9_run_position", ("semanas_desde_ultima_venta",), (), features.run_position)
 _feature_query("g10_yoy_ratio", (), ("yoy_ratio",), features.yoy_ratio)
@@ -308,7 +308,8 @@ LONG = " UNION ALL ".join(
 
 @query("g14_one_hot_long", sql(LONG, "raw_features"))
 def g14_one_hot_long(spark, d):
-    return features.one_hot_long(features.calendar_features(brand_dense(spark, d)))
+    dense = brand_dense(spark, d, ("cliente", "canal", "punto"))
+    return features.one_hot_long(features.calendar_features(dense))
 
 
 def _wide(column: str, alias: str, value: str) -> str:
@@ -329,7 +330,7 @@ def _wide(column: str, alias: str, value: str) -> str:
     ),
 )
 def g14_one_hot_wide(spark, d):
-    df = features.calendar_features(brand_dense(spark, d))
+    df = features.calendar_features(brand_dense(spark, d, ("canal",)))
     values = {"canal_modo": ["Online", "Presencial"], "trimestre": [1, 2, 3, 4]}
     wide = features.one_hot(df, values)
     return wide.select(*KEYS, "canal_Online", "canal_Presencial", *[f"trim_{q}" for q in (1, 2, 3, 4)])
@@ -370,28 +371,29 @@ SELECT *, CASE WHEN cluster IN ('ERRATIC', 'HYBRID_ERRATIC') THEN 'GRUPO_1_ERRAT
 FROM (SELECT *, CASE WHEN adi < 1.32 AND cv2 > 0.49 THEN 'ERRATIC' WHEN adi > 1.32 AND cv2 < 0.49 THEN 'INTERMITTENT'
         WHEN adi < 1.32 THEN 'HYBRID_ERRATIC' ELSE 'HYBRID_INTERMITTENT' END AS cluster FROM adi)""",
 )
-K_ROUND = ("media_demanda", "std_demanda", "adi", "cv", "cv2", "pct_semanas_demanda")
-K_REPLACE = "REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in K_ROUND) + ")"
+K_DIGITS = {c: 8 for c in ("media_demanda", "std_demanda", "adi", "cv", "cv2", "pct_semanas_demanda")}
+K_REPLACE = "REPLACE (" + ", ".join(f"round({c}, {n}) AS {c}" for c, n in K_DIGITS.items()) + ")"
 
 
 def classes(spark, d, sku="brand") -> DataFrame:
-    dense = weekly.weekly_dense(brand_demand(spark, d, sku), interpolated=False)
+    dense = weekly.weekly_dense(brand_demand(spark, d, sku, ()), interpolated=False)
     return demand_class.classify_demand(demand_class.adi_cv2(dense))
 
 
 @query("k1_adi_cv2", sql(f"SELECT * {K_REPLACE} FROM adi", "adi", sku="item"))
 def k1_adi_cv2(spark, d):
-    return rounded(classes(spark, d, "item").drop("cluster", "grupo"), 6, *K_ROUND)
+    out = classes(spark, d, "item").drop("cluster", "grupo")
+    return out.withColumns({c: F.round(c, n) for c, n in K_DIGITS.items()})
 
 
-@query("k2_classify_demand", sql("SELECT sku, round(adi, 6) AS adi, round(cv2, 6) AS cv2, cluster, grupo FROM classes", "classes", sku="item"))
+@query("k2_classify_demand", sql("SELECT sku, round(adi, 8) AS adi, round(cv2, 8) AS cv2, cluster, grupo FROM classes", "classes", sku="item"))
 def k2_classify_demand(spark, d):
-    return rounded(classes(spark, d, "item").select("sku", "adi", "cv2", "cluster", "grupo"), 6, "adi", "cv2")
+    return rounded(classes(spark, d, "item").select("sku", "adi", "cv2", "cluster", "grupo"), 8, "adi", "cv2")
 
 
-@query("k2_classify_brand", sql("SELECT sku, round(adi, 6) AS adi, round(cv2, 6) AS cv2, cluster, grupo FROM classes", "classes"))
+@query("k2_classify_brand", sql("SELECT sku, round(adi, 8) AS adi, round(cv2, 8) AS cv2, cluster, grupo FROM classes", "classes"))
 def k2_classify_brand(spark, d):
-    return rounded(classes(spark, d).select("sku", "adi", "cv2", "cluster", "grupo"), 6, "adi", "cv2")
+    return rounded(classes(spark, d).select("sku", "adi", "cv2", "cluster", "grupo"), 8, "adi", "cv2")
 
 
 @query(

@@ -17,15 +17,17 @@ def cap_p99(df: DataFrame, columns: tuple[str, ...] = ("salida", "entrada"), p:
     Adds ``<column>_capped`` (boolean). Caps are one row per SKU; the join lets AQE broadcast them
     when they are small and split a hot SKU when they are not.
     """
-    out = df
-    for c in columns:
-        limits = exact_quantiles(df, ["sku"], c, {f"_cap_{c}": p}).where(F.col("n") >= MIN_POSITIVE).drop("n")
-        out = out.join(limits, "sku", "left")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("m"), F.col(c).alias("x")) for c in columns]))
+    measured = df.where(F.col("sku").isNotNull()).select("sku", pairs.alias("_p")).select("sku", "_p.m", "_p.x")
+    limits = exact_quantiles(measured, ["sku", "m"], "x", {"cap": p}).where(F.col("n") >= MIN_POSITIVE)
+    caps = limits.groupBy("sku").agg(*[F.max(F.when(F.col("m") == c, F.col("cap"))).alias(f"_cap_{c}") for c in columns])
+    out = df.join(caps, "sku", "left")
     for c in columns:
         over = F.coalesce(F.col(c) > F.col(f"_cap_{c}"), F.lit(False))
-        out = out.withColumn(f"{c}_capped", over)
-        out = out.withColumn(c, F.when(F.col(f"{c}_capped"), F.col(f"_cap_{c}")).otherwise(F.col(c))).drop(f"_cap_{c}")
-    return out
+        out = out.withColumns(
+            {f"{c}_capped": over, c: F.when(over, F.col(f"_cap_{c}")).otherwise(F.col(c))}
+        )
+    return out.drop(*[f"_cap_{c}" for c in columns])
 
 
 def replace_iqr_outliers(df: DataFrame, column: str = "salida") -> DataFrame:

@@ -1,6 +1,6 @@
 """All checked queries, by importing the modules that register them."""
 
-from demand_engine.plans import ledger_queries, series_queries  # noqa: F401
+from demand_engine.plans import ledger_queries, model_queries, selection_queries, series_queries  # noqa: F401
 from demand_engine.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -70,10 +70,21 @@ def sql(body: str, *needs: str, sku: str = "brand") -> str:
 
     for n in needs:
         visit(n)
-    text = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n].strip()})" for n in ordered).replace("{mv}", movements_sql(sku).strip())
+    text = ",\n".join(f"{n} AS {_hint(n)}({PARTS[n].strip()})" for n in ordered)
+    code = "p_brand" if sku == "brand" else "CAST(p_partkey AS VARCHAR)"
+    text = text.replace("{mv}", movements_sql(sku).strip()).replace("{code}", code)
     body = body.strip()
     glue = "" if body.startswith(",") else "\n"
-    return f"WITH {text}{glue}{body}" if ordered else body
+    start = "WITH RECURSIVE" if any(_recursive(n) for n in ordered) else "WITH"
+    return f"{start} {text}{glue}{body}" if ordered else body
+
+
+def _recursive(name: str) -> bool:
+    return f"FROM {name} " in PARTS[name]
+
+
+def _hint(name: str) -> str:
+    return "" if _recursive(name) else "MATERIALIZED "
 
 
 def query(name: str, oracle: str | None = None):

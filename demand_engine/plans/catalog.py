@@ -7,6 +7,7 @@ from demand_engine.plans import (  # noqa: F401
     rollup_queries,
     selection_queries,
     series_queries,
+    source_queries,
     task_queries,
 )
 from demand_engine.plans.registry import ORACLES, QUERIES

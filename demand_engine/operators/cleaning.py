@@ -40,11 +40,11 @@ def exclude_transfers(df: DataFrame) -> DataFrame:
     return df.where(~contains_any("documento", (TRANSFER_TEXT,)))
 
 
-def exclude_balanced_guides(df: DataFrame, patterns: tuple[str, ...] = GUIDES_SHORT) -> DataFrame:
-    """Remove the guide rows of every number whose guides move as much in as out.
+def mark_balanced_guides(df: DataFrame, patterns: tuple[str, ...] = GUIDES_SHORT, mark: str = "balanced") -> DataFrame:
+    """Adds whether a row is a guide of a number whose guides move as much in as out.
 
-    Only guide rows are shuffled (an anti join on their number, which AQE can split when one number
-    is hot); all other rows pass straight through. Rows without number always stay.
+    Only guide rows are shuffled (a left join on their number, which AQE can split when one number
+    is hot); all other rows pass straight through. Rows without number are never balanced.
     """
     is_guide = contains_any("documento", patterns)
     guides = df.where(is_guide)
@@ -53,9 +53,15 @@ def exclude_balanced_guides(df: DataFrame, patterns: tuple[str, ...] = GUIDES_SH
         .groupBy("numero")
         .agg(F.sum("entrada").alias("_in"), F.sum("salida").alias("_out"))
         .where(F.round("_in", 6) == F.round("_out", 6))
-        .select("numero")
+        .select("numero", F.lit(True).alias(mark))
     )
-    return df.where(~is_guide).unionByName(guides.join(balanced, "numero", "left_anti"))
+    marked = guides.join(balanced, "numero", "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+    return df.where(~is_guide).withColumn(mark, F.lit(False)).unionByName(marked)
+
+
+def exclude_balanced_guides(df: DataFrame, patterns: tuple[str, ...] = GUIDES_SHORT) -> DataFrame:
+    """Remove the guide rows of every number whose guides move as much in as out."""
+    return mark_balanced_guides(df, patterns, "_balanced").where(~F.col("_balanced")).drop("_balanced")
 
 
 def clean_movements(df: DataFrame, patterns: tuple[str, ...] = GUIDES_SHORT) -> DataFrame:

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import cleaning, outliers, pareto, profiles, weekly
-from demand_engine.plans.ledger_views import ORDER, movements, table
+from demand_engine.plans.ledger_views import ORDER, clean_ledger, movements, table
 from demand_engine.plans.registry import query, sql
 
 ROW = ["sku", *ORDER]
 ROW_SQL = "sku, fecha, orden, linea, parte, proveedor, importe"
 
 
-def clean_ledger(spark, d, **kw) -> DataFrame:
-    return cleaning.clean_movements(movements(spark, d, **kw))
-
-
 # --- A3, B -------------------------------------------------------------------------------------
 
 
@@ -249,12 +244,12 @@ def _profile(df, q):
 
 @query("d1_sales_by_product", sql(_profile_sql("sold", "salida"), "sold", sku="item"))
 def d1_sales_by_product(spark, d):
-    return _profile(profiles.sales_by_product(clean_ledger(spark, d, sku="item"), ORDER), "salida")
+    return _profile(profiles.sales_by_product(clean_ledger(spark, d, sku="item", names=True), ORDER), "salida")
 
 
 @query("d2_production_by_product", sql(_profile_sql("made", "entrada"), "made", sku="item"))
 def d2_production_by_product(spark, d):
-    return _profile(profiles.production_by_product(clean_ledger(spark, d, sku="item"), ORDER), "entrada")
+    return _profile(profiles.production_by_product(clean_ledger(spark, d, sku="item", names=True), ORDER), "entrada")
 
 
 STOCK = """
@@ -289,7 +284,7 @@ LEFT JOIN ({STOCK}) USING (sku)""",
     ),
 )
 def d4_inventory_rotation(spark, d):
-    clean = clean_ledger(spark, d, balance=True)
+    clean = clean_ledger(spark, d, balance=True, names=True)
     out = profiles.inventory_rotation(profiles.sales_by_product(clean, ORDER), profiles.stock_by_product(clean))
     return rounded(out, 4, "stock_promedio", "rotacion")
 
@@ -404,7 +399,7 @@ def e3_pareto_summary(spark, d):
     ),
 )
 def e4_pareto_listing(spark, d):
-    sold = cleaning.sales(clean_ledger(spark, d, sku="item"))
+    sold = cleaning.sales(clean_ledger(spark, d, sku="item", names=True))
     listed = pareto.pareto_listing(
         profiles.sales_by_product(sold, ORDER), pareto.pareto_curve(sold).where("in_80")
     )

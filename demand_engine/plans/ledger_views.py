@@ -10,12 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from demand_engine.operators import cleaning
+
 # Columns that put the movements of a SKU into their total order.
 ORDER = ["fecha", "orden", "linea", "parte", "proveedor", "importe"]
 
 
+# Known schemas spare every query the job that looks into the file footers.
+SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def movements(
@@ -23,36 +39,35 @@ def movements(
     sf_dir: str,
     sku: str = "brand",
     parties: bool = False,
-    balance: bool = False,
+    names: bool = False,
 ) -> DataFrame:
     """``sku``: 'brand' (few, dense SKUs) or 'item' (many, sparse). ``parties`` adds channel, client
-    and point of sale; ``balance`` adds the running stock."""
+    and point of sale, ``names`` the description. ``with_balance`` adds the running stock."""
     line = table(spark, sf_dir, "lineitem")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
+    part = table(spark, sf_dir, "part")
     flag, status, qty = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity")
     guide = (flag == "R") & (status == "O")
     transfer = (flag == "R") & (status == "F")
-    df = (
-        line.join(part, line["l_partkey"] == part["p_partkey"])
-        .select(
-            (F.col("p_brand") if sku == "brand" else F.col("l_partkey").cast("string")).alias("sku"),
-            F.col("p_name").alias("descripcion"),
-            F.col("l_shipdate").cast("date").alias("fecha"),
-            F.when(flag == "N", "Venta - Boleta")
-            .when(flag == "A", "Ingreso - Produccion")
-            .when(guide, "Guía de remisión - R001")
-            .otherwise("Traspaso entre Almacenes")
-            .alias("documento"),
-            F.col("l_orderkey").cast("string").alias("numero"),
-            F.when(F.col("l_suppkey") % 10 != 9, F.concat(F.lit("B"), F.col("l_suppkey") % 3)).alias("bodega"),
-            F.when((flag == "A") | transfer | (guide & (F.col("l_linenumber") <= 4)), qty).otherwise(0.0).alias("entrada"),
-            F.when(flag == "A", 0.0).otherwise(qty).alias("salida"),
-            F.col("l_orderkey").alias("orden"),
-            F.col("l_linenumber").alias("linea"),
-            F.col("l_partkey").alias("parte"),
-            F.col("l_suppkey").alias("proveedor"),
-            F.col("l_extendedprice").alias("importe"),
-        )
+    if sku == "brand" or names:
+        line = line.join(part, line["l_partkey"] == part["p_partkey"])
+    df = line.select(
+        (F.col("p_brand") if sku == "brand" else F.col("l_partkey").cast("string")).alias("sku"),
+        *([F.col("p_name").alias("descripcion")] if names else []),
+        F.col("l_shipdate").cast("date").alias("fecha"),
+        F.when(flag == "N", "Venta - Boleta")
+        .when(flag == "A", "Ingreso - Produccion")
+        .when(guide, "Guía de remisión - R001")
+        .otherwise("Traspaso entre Almacenes")
+        .alias("documento"),
+        F.col("l_orderkey").cast("string").alias("numero"),
+        F.when(F.col("l_suppkey") % 10 != 9, F.concat(F.lit("B"), F.col("l_suppkey") % 3)).alias("bodega"),
+        F.when((flag == "A") | transfer | (guide & (F.col("l_linenumber") <= 4)), qty).otherwise(0.0).alias("entrada"),
+        F.when(flag == "A", 0.0).otherwise(qty).alias("salida"),
+        F.col("l_orderkey").alias("orden"),
+        F.col("l_linenumber").alias("linea"),
+        F.col("l_partkey").alias("parte"),
+        F.col("l_suppkey").alias("proveedor"),
+        F.col("l_extendedprice").alias("importe"),
     )
     if parties:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -71,17 +86,31 @@ def movements(
             )
         )
         df = df.join(buyers, "orden")
-    return with_balance(df) if balance else df
+    return df
 
 
-def with_balance(df: DataFrame) -> DataFrame:
+def clean_ledger(spark: SparkSession, sf_dir: str, balance: bool = False, **kw) -> DataFrame:
+    """The cleaned ledger. The running stock counts every movement, so with ``balance`` the rows to
+    leave are marked before it is computed and dropped after."""
+    ledger = movements(spark, sf_dir, **kw)
+    if not balance:
+        return cleaning.clean_movements(ledger)
+    marked = cleaning.mark_balanced_guides(cleaning.fill_dimension_defaults(ledger))
+    kept = with_balance(marked, ledger).where(~F.col("balanced")).drop("balanced")
+    return cleaning.exclude_transfers(kept)
+
+
+def with_balance(df: DataFrame, movements: DataFrame) -> DataFrame:
     """Running stock per SKU in total order, as opening balance of the day plus the day's movements.
 
+    ``movements`` are the same rows, without anything added to them: their daily totals need no more
+    than a scan.
+
     The long running sum is taken over daily totals; movements are ordered only within (SKU, day),
     so one SKU with a third of all rows is spread over its days.
     """
     net = F.col("entrada") - F.col("salida")
-    daily = df.groupBy("sku", "fecha").agg(F.sum(net).alias("_net"))
+    daily = movements.groupBy("sku", "fecha").agg(F.sum(net).alias("_net"))
     days = W.partitionBy("sku").orderBy("fecha").rowsBetween(W.unboundedPreceding, -1)
     opening = daily.select("sku", "fecha", F.coalesce(F.sum("_net").over(days), F.lit(0.0)).alias("_opening"))
     day = W.partitionBy("sku", "fecha").orderBy(*ORDER[1:]).rowsBetween(W.unboundedPreceding, 0)

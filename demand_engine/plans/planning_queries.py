@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import materials, planning, weekly
-from demand_engine.plans.ledger_queries import clean_ledger
-from demand_engine.plans.ledger_views import ORDER, table
+from demand_engine.plans.ledger_views import ORDER, clean_ledger, table
 from demand_engine.plans.model_queries import SHOWN, level_forecast
 from demand_engine.plans.registry import part, query, sql
 from demand_engine.plans.rollup_queries import up

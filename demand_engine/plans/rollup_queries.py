@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import cleaning, pareto, profiles, rollups, weekly
-from demand_engine.plans.ledger_queries import clean_ledger
-from demand_engine.plans.ledger_views import ORDER
+from demand_engine.plans.ledger_views import ORDER, clean_ledger
 from demand_engine.plans.model_queries import SHOWN, level_forecast
 from demand_engine.plans.registry import part, query, sql
 from demand_engine.plans.series_queries import brand_dense, brand_weeks
@@ -182,7 +181,7 @@ FROM weekly""",
     ),
 )
 def d20_global_kpis(spark, d):
-    clean = clean_ledger(spark, d)
+    clean = clean_ledger(spark, d, names=True)
     sold = cleaning.sales(clean)
     listing = pareto.pareto_listing(profiles.sales_by_product(sold, ORDER), pareto.pareto_curve(sold).where("in_80"))
     return rollups.global_kpis(weekly.weekly_totals(clean), listing)

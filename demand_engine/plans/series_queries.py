@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import cleaning, demand_class, features, weekly
-from demand_engine.plans.ledger_queries import clean_ledger
-from demand_engine.plans.ledger_views import ORDER
+from demand_engine.plans.ledger_views import ORDER, clean_ledger
 from demand_engine.plans.registry import part, query, sql
 
 KEYS = ["sku", "week_start"]

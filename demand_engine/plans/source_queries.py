@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import cleaning, models, pareto, profiles
-from demand_engine.plans.ledger_queries import CUT, TOP, clean_ledger
-from demand_engine.plans.ledger_views import movements
+from demand_engine.plans.ledger_queries import CUT, TOP
+from demand_engine.plans.ledger_views import clean_ledger, movements
 from demand_engine.plans.model_queries import METRICS, NAIVE, ROUNDED, naive_best
 from demand_engine.plans.planning_queries import forecast_of
 from demand_engine.plans.registry import query, sql
@@ -28,7 +28,7 @@ def fresh(spark, name: str) -> str:
 def ledger_files(spark, d) -> str:
     """The ledger as two files with different headers, and a backup that must not be read."""
     folder = fresh(spark, "ledger")
-    rows = movements(spark, d, parties=True)
+    rows = movements(spark, d, parties=True, names=True)
     early = F.col("fecha") < "1998-01-01"
     ledger.write_movements(rows.where(early), f"{folder}/Movimientos_1997.csv")
     ledger.write_movements(rows.where(~early), f"{folder}/Movimientos_2001.csv", str.lower)

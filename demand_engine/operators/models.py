@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -205,12 +205,15 @@ def with_params(best: DataFrame, grid: dict | None = None) -> DataFrame:
     return best.join(F.broadcast(listed), ["algorithm", "candidate"], "left")
 
 
-def search(df: DataFrame, columns: list[str], grid: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def search(
+    df: DataFrame, columns: list[str], grid: dict | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist
+) -> tuple[DataFrame, DataFrame]:
     """(best candidate per SKU and algorithm, winner per SKU), both with their parameters.
 
-    Both come from the same predictions; persist them in between, as the search is the costly part.
+    Both come from the same predictions, and the search is the costly part: ``keep`` holds its
+    result (persisted by default, or written to a table).
     """
-    best = with_params(best_candidates(mean_scores(score_folds(cross_validate(df, columns, grid)))), grid).persist()
+    best = keep(with_params(best_candidates(mean_scores(score_folds(cross_validate(df, columns, grid)))), grid))
     return best, with_params(select_winner(best), grid)
 
 

@@ -1,10 +1,10 @@
-"""The whole computation from a ledger to a production plan, as one set of lazy DataFrames."""
+"""The whole computation from a ledger to a production plan."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demand_engine.operators import (
@@ -22,36 +22,36 @@ from demand_engine.operators import (
     selection,
     weekly,
 )
+from demand_engine.session import shared_folder
 
 
-@dataclass
 class Run:
-    """Named results; ``release`` frees what was persisted in between."""
+    """Named results. Hub tables with several consumers are written to a folder all executors share
+    and read back: that cuts the lineage, survives lost executors and gives later plans real sizes.
+    """
 
-    tables: dict[str, DataFrame] = field(default_factory=dict)
-    persisted: list[DataFrame] = field(default_factory=list)
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
+        self.folder = folder or f"{shared_folder(spark)}/run-{uuid.uuid4().hex[:12]}"
+        self.tables: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Persist a result with several consumers (spills to disk, recomputed when executors go)."""
-        self.persisted.append(df.persist())
-        return df
-
-    def release(self) -> None:
-        for df in self.persisted:
-            df.unpersist()
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        self.tables[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self.tables[name]
 
 
 def analyse(ledger: DataFrame, order=weekly.DEFAULT_ORDER, run: Run | None = None) -> Run:
     """Cleaning, profiles and weekly series of a ledger (``sources.ledger.read_movements``)."""
-    run = run or Run()
-    clean = run.keep(cleaning.clean_movements(ledger, cleaning.GUIDES_LONG))
+    run = run or Run(ledger.sparkSession)
+    clean = run.keep("clean", cleaning.clean_movements(ledger, cleaning.GUIDES_LONG))
     sold, stock = profiles.sales_by_product(clean, list(order)), profiles.stock_by_product(clean)
-    by_sku = run.keep(weekly.weekly_by_sku(clean.withColumn("sku", cleaning.normalize_sku("sku")), order))
+    by_sku = run.keep("weekly_by_sku", weekly.weekly_by_sku(cleaning.with_normalized_sku(clean), order))
     run.tables |= {
-        "clean": clean,
         "sales_by_product": sold,
         "production_by_product": profiles.production_by_product(clean, list(order)),
         "stock_by_product": stock,
@@ -61,7 +61,6 @@ def analyse(ledger: DataFrame, order=weekly.DEFAULT_ORDER, run: Run | None = Non
         "monthly_trend": profiles.monthly_trend(clean),
         "run_summary": profiles.run_summary(clean),
         "weekly": weekly.weekly_consolidated(clean, order),
-        "weekly_by_sku": by_sku,
         "product_summary": rollups.product_summary(by_sku),
         "backtest": weekly.backtest_series(by_sku),
     }
@@ -89,28 +88,23 @@ def prepare(ledger: DataFrame, top: int = 20, run: Run | None = None) -> Run:
 
     Demand is classed on the series with empty weeks at zero; features use the interpolated one.
     """
-    run = run or Run()
+    run = run or Run(ledger.sparkSession)
     kept = cleaning.exclude_balanced_guides(cleaning.exclude_transfers(ledger), cleaning.GUIDES_SHORT)
-    capped = run.keep(outliers.cap_p99(kept))
-    best = profiles.top_products(capped, top)
-    replaced = run.keep(outliers.replace_iqr_outliers(profiles.restrict_to(cleaning.sales(capped), best)))
-    curve = pareto.pareto_curve(replaced)
-    demand = run.keep(weekly.weekly_demand(cleaning.critical_only(replaced, curve.where("in_80"))))
+    capped = run.keep("capped", outliers.cap_p99(kept))
+    best = run.keep("top_products", profiles.top_products(capped, top))
+    replaced = run.keep("best_sellers", outliers.replace_iqr_outliers(profiles.restrict_to(cleaning.sales(capped), best)))
+    curve = run.keep("pareto", pareto.pareto_curve(replaced))
+    demand = run.keep("weekly_demand", weekly.weekly_demand(cleaning.critical_only(replaced, curve.where("in_80"))))
+    classes = demand_class.classify_demand(demand_class.adi_cv2(weekly.weekly_dense(demand, interpolated=False)))
+    classes = run.keep("demand_class", classes)
     run.tables |= {
-        "capped": capped,
-        "top_products": best,
         "cleaning_summary": outliers.cleaning_summary(ledger, capped, best),
         "outlier_report": outliers.outlier_report(replaced),
-        "pareto": curve,
         "pareto_summary": pareto.pareto_summary(curve),
         "channel_by_product": rollups.channel_by_product(replaced),
         "top_clients": rollups.top_clients(replaced),
-        "weekly_demand": demand,
-        "demand_class": demand_class.classify_demand(
-            demand_class.adi_cv2(weekly.weekly_dense(demand, interpolated=False))
-        ),
+        "cluster_summary": demand_class.cluster_summary(classes),
     }
-    run.tables["cluster_summary"] = demand_class.cluster_summary(run["demand_class"])
     return run
 
 
@@ -119,16 +113,12 @@ def build_model_table(run: Run, one_hot=tuple(features.ONE_HOT)) -> Run:
 
     Looks up the categories (an action); a column with very many is refused, leave it out then.
     """
-    dense = run.keep(weekly.weekly_dense(run["weekly_demand"]))
+    dense = run.keep("weekly_dense", weekly.weekly_dense(run["weekly_demand"]))
     with_quarter = features.calendar_features(dense)
     values = {c: features.categories(with_quarter, c) for c in one_hot}
-    table = run.keep(features.build_features(dense, values))
-    matrix, factors = selection.correlation_matrix(table), selection.vif(table)
+    table = run.keep("features", features.build_features(dense, values))
+    matrix, factors = run.keep("correlation", selection.correlation_matrix(table)), run.keep("vif", selection.vif(table))
     run.tables |= {
-        "weekly_dense": dense,
-        "features": table,
-        "correlation": matrix,
-        "vif": factors,
         "target_correlation": selection.target_correlation(table),
         "selection_summary": selection.selection_summary(table, matrix, factors),
         **{f"features_{k}": v for k, v in selection.select_sets(table, factors).items()},
@@ -145,24 +135,20 @@ def model_and_plan(
 ) -> Run:
     """Model search, forecast and production plan for the SKUs of the given demand groups."""
     chosen = run["demand_class"].where(F.col("grupo").isin(*groups))
-    table = run.keep(cleaning.critical_only(run["features"], chosen))
+    table = cleaning.critical_only(run["features"], chosen)
     columns = features.feature_columns(table, leak_safe)
-    best, winners = models.search(table, columns, grid)
-    run.persisted.append(best)
-    points = run.keep(forecast.recursive_forecast(table, run.keep(winners), columns))
+    best, winners = models.search(table, columns, grid, lambda df: run.keep("model_scores", df))
+    winners = run.keep("winners", winners)
+    points = run.keep("forecast", forecast.recursive_forecast(table, winners, columns))
     run.tables |= {
-        "model_scores": best,
-        "winners": winners,
         "model_comparison": models.model_comparison(best),
         "winner_tally": models.winner_tally(winners),
-        "forecast": points,
         "seasonal_index": forecast.seasonal_index(table),
     }
     if "weekly_by_sku" in run.tables:
         normal = points.withColumn("sku", cleaning.normalize_sku("sku"))
-        plan = run.keep(planning.production_plan(normal, run["weekly_by_sku"], safety_weeks))
+        plan = run.keep("plan", planning.production_plan(normal, run["weekly_by_sku"], safety_weeks))
         run.tables |= {
-            "plan": plan,
             "plan_header": planning.plan_header(normal, run["weekly_by_sku"], safety_weeks),
             "plan_kpis": planning.plan_kpis(plan),
             "production_weeks": planning.production_weeks(plan),

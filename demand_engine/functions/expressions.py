@@ -55,6 +55,15 @@ def contains_any(c: Column | str, fragments: tuple[str, ...]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
 
 
+def beside(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """``df`` with the columns of one-row results added to each of its rows (scalar subqueries)."""
+    out = df
+    for i, other in enumerate(one_row):
+        name = f"_beside_{i}"
+        out = out.withColumn(name, other.select(F.struct("*")).scalar())
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[f"_beside_{i}.*" for i in range(len(one_row))])
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), digits) for n in names})
 

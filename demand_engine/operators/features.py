@@ -1,18 +1,16 @@
 """Time-series features per SKU on the dense weekly series.
 
-All windows partition by SKU and order by week: one exchange and one sort serve every feature.
+All windows partition by SKU and order by week: one exchange and one sort serve every feature. The
+expressions are SQL text, which keeps a table of a hundred features quick to plan.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demand_engine.functions.expressions import ratio
-
 LAGS = (1, 2, 3, 4, 13, 52)
 AVERAGES = (2, 4, 8, 13, 26)
 VOLATILITIES = (4, 8, 13)
@@ -21,86 +19,88 @@ SPANS = (4, 13)
 EWMA_BLOCK = 256
 
 X = "salida"
+SERIES = "PARTITION BY sku ORDER BY week_start"
+PAST = f"{SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+EARLIER = f"{SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+WHOLE = f"{SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
-def _series():
-    return W.partitionBy("sku").orderBy("week_start")
-
-
-def _past():
-    return _series().rowsBetween(W.unboundedPreceding, 0)
+def _previous(weeks: int) -> str:
+    return f"{SERIES} ROWS BETWEEN {weeks} PRECEDING AND 1 PRECEDING"
 
 
-def _whole():
-    return _series().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def _with(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """Adds columns, or replaces those of the same name, given as SQL text."""
+    kept = [f"`{c}`" if c not in expressions else f"{expressions[c]} AS `{c}`" for c in df.columns]
+    added = [f"{e} AS `{c}`" for c, e in expressions.items() if c not in df.columns]
+    return df.selectExpr(*kept, *added)
 
 
-def _previous(weeks: int):
-    return _series().rowsBetween(-weeks, -1)
+_CALENDAR = {
+    "mes": "month(week_start)",
+    "trimestre": "quarter(week_start)",
+    "dia_semana": "weekday(week_start)",
+    "dia_anio": "dayofyear(week_start)",
+    "num_semana_anio": "weekofyear(week_start)",
+}
 
 
 def calendar_features(df: DataFrame) -> DataFrame:
     """G1."""
-    d = F.col("week_start")
-    return df.withColumns(
-        {
-            "mes": F.month(d),
-            "trimestre": F.quarter(d),
-            "dia_semana": F.weekday(d),
-            "dia_anio": F.dayofyear(d),
-            "num_semana_anio": F.weekofyear(d),
-        }
-    )
+    return _with(df, _CALENDAR)
 
 
-def _lags(offsets=LAGS) -> dict[str, Column]:
-    return {f"lag_{n}": F.lag(X, n).over(_series()) for n in offsets}
+def _lags(offsets=LAGS) -> dict[str, str]:
+    return {f"lag_{n}": f"lag({X}, {n}) OVER ({SERIES})" for n in offsets}
 
 
 def lags(df: DataFrame, offsets: tuple[int, ...] = LAGS) -> DataFrame:
     """G2."""
-    return df.withColumns(_lags(offsets))
+    return _with(df, _lags(offsets))
 
 
-def _averages(windows=AVERAGES) -> dict[str, Column]:
-    return {f"ma_{w}": F.mean(X).over(_previous(w)) for w in windows}
+def _averages(windows=AVERAGES) -> dict[str, str]:
+    return {f"ma_{w}": f"avg({X}) OVER ({_previous(w)})" for w in windows}
 
 
 def moving_average(df: DataFrame, windows: tuple[int, ...] = AVERAGES) -> DataFrame:
     """Mean of the previous w weeks, fewer at the start, null in the first week."""
-    return df.withColumns(_averages(windows))
+    return _with(df, _averages(windows))
+
+
+def _anomaly(drop: float = 0.70) -> dict[str, str]:
+    return {"anomalia_binaria": f"int(coalesce({X} > 0 AND ma_4 > 0 AND {X} < {drop}D * ma_4, false))"}
 
 
 def anomaly_flag(df: DataFrame, drop: float = 0.70) -> DataFrame:
     """Demand more than 30 % below its recent mean."""
-    x, ma = F.col(X), F.col("ma_4")
-    hit = (x > 0) & (ma > 0) & (x < drop * ma)
-    return df.withColumn("anomalia_binaria", F.coalesce(hit, F.lit(False)).cast("int"))
+    return _with(df, _anomaly(drop))
 
 
-def _volatilities(windows=VOLATILITIES) -> dict[str, Column]:
-    return {f"volatilidad_{w}": F.coalesce(F.stddev_samp(X).over(_previous(w)), F.lit(0.0)) for w in windows}
+def _volatilities(windows=VOLATILITIES) -> dict[str, str]:
+    return {f"volatilidad_{w}": f"coalesce(stddev_samp({X}) OVER ({_previous(w)}), 0D)" for w in windows}
 
 
 def volatility(df: DataFrame, windows: tuple[int, ...] = VOLATILITIES) -> DataFrame:
     """G5."""
-    return df.withColumns(_volatilities(windows))
+    return _with(df, _volatilities(windows))
+
+
+def _trends(windows=TRENDS) -> dict[str, str]:
+    return {f"trend_vs_ma{w}": f"coalesce(try_divide({X} - ma_{w}, ma_{w}), 0D)" for w in windows}
 
 
 def trend_vs_ma(df: DataFrame, windows: tuple[int, ...] = TRENDS) -> DataFrame:
     """Relative distance to the moving average; 0 where that average is 0 or missing."""
-    return df.withColumns(
-        {f"trend_vs_ma{w}": ratio(F.col(X) - F.col(f"ma_{w}"), F.col(f"ma_{w}"), 0.0) for w in windows}
-    )
+    return _with(df, _trends(windows))
 
 
-def _position() -> Column:
-    return (F.row_number().over(_series()) - 1).cast("double")
+_POSITION = {"trend_lineal": f"double(row_number() OVER ({SERIES}) - 1)"}
 
 
 def linear_trend(df: DataFrame) -> DataFrame:
     """0-based position in the series."""
-    return df.withColumn("trend_lineal", _position())
+    return _with(df, _POSITION)
 
 
 def ewma(df: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
@@ -110,81 +110,82 @@ def ewma(df: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
     x_j (1-a)^-j inside blocks of 256 weeks (so powers stay in range) plus what the block before
     passes on; anything older is smaller than double precision can show.
     """
-    i = F.col("trend_lineal")
-    pos = i % EWMA_BLOCK
-    block = W.partitionBy("sku", F.floor(i / EWMA_BLOCK)).orderBy("week_start").rowsBetween(W.unboundedPreceding, 0)
-    alpha = {span: 2.0 / (span + 1) for span in spans}
-    keep = {span: F.lit(1.0 - a) for span, a in alpha.items()}
+    at = f"(trend_lineal % {EWMA_BLOCK})"
+    block = f"PARTITION BY sku, floor(trend_lineal / {EWMA_BLOCK}) ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     sums, states = {}, {}
     for span in spans:
-        weight = F.when(i == 1, F.lit(1.0)).otherwise(F.lit(alpha[span]))  # week 1 sees the first value
-        scaled = F.col("lag_1") * weight * F.pow(keep[span], -pos)
-        sums[f"_in_{span}"] = F.sum(scaled).over(block) * F.pow(keep[span], pos)
-    for span in spans:
-        block_end = F.when(pos == EWMA_BLOCK - 1, F.col(f"_in_{span}"))
-        passed = F.last(block_end, ignorenulls=True).over(_series().rowsBetween(W.unboundedPreceding, -1))
-        carried = F.coalesce(passed, F.lit(0.0)) * F.pow(keep[span], pos + 1)
-        states[f"ewma_{span}"] = F.when(i > 0, F.coalesce(F.col(f"_in_{span}"), F.lit(0.0)) + carried)
-    return df.withColumns(sums).withColumns(states).drop(*sums)
-
+        a = 2.0 / (span + 1)
+        keep = f"{1.0 - a!r}D"
+        # Week 1 sees the first value in full.
+        scaled = f"lag_1 * if(trend_lineal = 1, 1D, {a!r}D) * pow({keep}, -{at})"
+        sums[f"_in_{span}"] = f"coalesce(sum({scaled}) OVER ({block}) * pow({keep}, {at}), 0D)"
+        passed = f"last(if({at} = {EWMA_BLOCK - 1}, _in_{span}, null), true) OVER ({EARLIER})"
+        carried = f"coalesce({passed}, 0D) * pow({keep}, {at} + 1)"
+        states[f"ewma_{span}"] = f"if(trend_lineal > 0, _in_{span} + {carried}, null)"
+    return _with(_with(df, sums), states).drop(*sums)
 
-def _run_starts() -> dict[str, Column]:
-    has = F.col(X) > 0
-    before = F.lag(has).over(_series())
-    here = F.row_number().over(_series())
-    return {"_start": F.when(before.isNull() | (has != before), here), "_pos": here}
 
-
-def _run_position() -> Column:
-    return F.col("_pos") - F.last("_start", ignorenulls=True).over(_past())
+_RUN_STARTS = {
+    "_pos": f"row_number() OVER ({SERIES})",
+    "_start": f"if(({X} > 0) <=> (lag({X} > 0) OVER ({SERIES})), null, row_number() OVER ({SERIES}))",
+}
+_RUN_POSITION = {"semanas_desde_ultima_venta": f"_pos - last(_start, true) OVER ({PAST})"}
 
 
 def run_position(df: DataFrame) -> DataFrame:
     """0-based position inside the current run of weeks with, or without, demand."""
-    out = df.withColumns(_run_starts()).withColumn("semanas_desde_ultima_venta", _run_position())
-    return out.drop("_start", "_pos")
+    return _with(_with(df, _RUN_STARTS), _RUN_POSITION).drop(*_RUN_STARTS)
 
 
-def _yoy() -> Column:
-    value = ratio(F.lag(X, 1).over(_series()), F.lag(X, 52).over(_series()), 1.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(5.0), value))
+_YOY = {
+    "yoy_ratio": f"greatest(0D, least(5D, coalesce(try_divide(lag({X}, 1) OVER ({SERIES}), lag({X}, 52) OVER ({SERIES})), 1D)))"
+}
 
 
 def yoy_ratio(df: DataFrame) -> DataFrame:
     """Previous week against the same week last year; 1 where unknown, within [0, 5]."""
-    return df.withColumn("yoy_ratio", _yoy())
+    return _with(df, _YOY)
+
+
+def _per(numerator: str, denominator: str) -> str:
+    return f"{numerator} / if({denominator} = 0, 1D, {denominator})"
 
 
-def _one_if_zero(c: str) -> Column:
-    return F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c))
+_INTRA = {
+    "ratio_min_max": _per("salida_min", "salida_max"),
+    "variabilidad_intra": _per("salida_std", "salida_promedio"),
+}
 
 
 def intra_week_ratios(df: DataFrame) -> DataFrame:
     """G11."""
-    return df.withColumns(
-        {
-            "ratio_min_max": F.col("salida_min") / _one_if_zero("salida_max"),
-            "variabilidad_intra": F.col("salida_std") / _one_if_zero("salida_promedio"),
-        }
-    )
+    return _with(df, _INTRA)
 
 
-def _transactions() -> Column:
-    return ratio(F.col("transacciones"), F.mean("transacciones").over(_series().rowsBetween(-3, 0)))
+_TRANSACTIONS = {
+    "ratio_transacciones": "try_divide(transacciones, avg(transacciones) OVER "
+    f"({SERIES} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"
+}
 
 
 def ratio_transactions(df: DataFrame) -> DataFrame:
     """Transactions against their mean over this and the three weeks before."""
-    return df.withColumn("ratio_transacciones", _transactions())
+    return _with(df, _TRANSACTIONS)
+
+
+_WEEK_ANGLE = f"({2 * math.pi!r}D * num_semana_anio / 52)"
+_MONTH_ANGLE = f"({2 * math.pi!r}D * (mes - 1) / 12)"
+_CYCLES = {
+    "semana_sin": f"sin{_WEEK_ANGLE}",
+    "semana_cos": f"cos{_WEEK_ANGLE}",
+    "mes_sin": f"sin{_MONTH_ANGLE}",
+    "mes_cos": f"cos{_MONTH_ANGLE}",
+}
 
 
 def cyclic_encoding(df: DataFrame) -> DataFrame:
     """G13."""
-    week = F.lit(2 * math.pi) * F.col("num_semana_anio") / 52
-    month = F.lit(2 * math.pi) * (F.col("mes") - 1) / 12
-    return df.withColumns(
-        {"semana_sin": F.sin(week), "semana_cos": F.cos(week), "mes_sin": F.sin(month), "mes_cos": F.cos(month)}
-    )
+    return _with(df, _CYCLES)
 
 
 ONE_HOT = {"cliente_modo": "empresa", "canal_modo": "canal", "punto_modo": "punto", "trimestre": "trim"}
@@ -204,12 +205,13 @@ def categories(df: DataFrame, column: str, limit: int = 1000) -> list:
     return sorted(r[0] for r in rows)
 
 
-def _indicators(values: dict[str, list], columns: dict[str, str] = ONE_HOT) -> dict[str, Column]:
+def _indicators(values: dict[str, list], columns: dict[str, str] = ONE_HOT) -> dict[str, str]:
     out = {}
     for c, listed in values.items():
         for v in listed:
-            hit = (F.col(c) == F.lit(v)).cast("int")
-            out[f"{columns[c]}_{v}"] = F.when(F.max(hit).over(_whole()) == 1, hit)
+            text = str(v).replace("\\", "\\\\").replace("'", "\\'")
+            hit = f"int({c} = '{text}')"
+            out[f"{columns[c]}_{v}"] = f"if(max({hit}) OVER ({WHOLE}) = 1, {hit}, null)"
     return out
 
 
@@ -218,16 +220,15 @@ def one_hot(df: DataFrame, values: dict[str, list], columns: dict[str, str] = ON
 
     A category a SKU never has is null for that SKU, as the indicators are made per SKU.
     """
-    return df.withColumns(_indicators(values, columns))
+    return _with(df, _indicators(values, columns))
 
 
-def _cumulative() -> Column:
-    return F.sum((F.col(X) > 0).cast("int")).over(_past())
+_CUMULATIVE = {"semana_consecutivas_venta": f"sum(int({X} > 0)) OVER ({PAST})"}
 
 
 def cumulative_sale_weeks(df: DataFrame) -> DataFrame:
     """Running number of weeks with demand."""
-    return df.withColumn("semana_consecutivas_venta", _cumulative())
+    return _with(df, _CUMULATIVE)
 
 
 IMPUTED = tuple(
@@ -238,19 +239,13 @@ IMPUTED = tuple(
 )
 
 
-def _imputed(columns=IMPUTED, backfill: bool = True) -> dict[str, Column]:
-    out = {}
-    for c in columns:
-        steps = [F.col(c), F.last(c, ignorenulls=True).over(_past())]
-        if backfill:  # only weeks before the first known value are still open
-            steps.append(F.first(c, ignorenulls=True).over(_whole()))
-        out[c] = F.coalesce(*steps, F.lit(0.0))
-    return out
-
-
 def impute_lags(df: DataFrame, columns: tuple[str, ...] = IMPUTED, backfill: bool = True) -> DataFrame:
     """Forward, then backward fill within the SKU, then 0. ``backfill=False`` uses no later week."""
-    return df.withColumns(_imputed(columns, backfill))
+    forward = f"last({{c}}, true) OVER ({PAST})"
+    # After the forward fill only weeks before the first known value are open.
+    backward = f"first({{c}}, true) OVER ({WHOLE}), " if backfill else ""
+    filled = f"coalesce({{c}}, {forward}, {backward}0D)"
+    return _with(df, {c: filled.format(c=c) for c in columns})
 
 
 # Features that look at the current week's own demand: excluded from models by ``leak_safe``.
@@ -271,23 +266,19 @@ def build_features(
 
     The independent windows are declared together, so they run as one window operator.
     """
-    df = calendar_features(dense).withColumns(
-        {
-            **_lags(),
-            **_averages(),
-            **_volatilities(),
-            **_run_starts(),
-            **_indicators(one_hot_values or {}),
-            "trend_lineal": _position(),
-            "yoy_ratio": _yoy(),
-            "ratio_transacciones": _transactions(),
-            "semana_consecutivas_venta": _cumulative(),
-        }
-    )
-    df = ewma(df).withColumn("semanas_desde_ultima_venta", _run_position()).drop("_start", "_pos")
-    for step in (anomaly_flag, trend_vs_ma, intra_week_ratios, cyclic_encoding):
-        df = step(df)
-    return df.withColumns(_imputed(backfill=backfill)) if impute else df
+    first = {
+        **_CALENDAR, **_lags(), **_averages(), **_volatilities(), **_RUN_STARTS, **_POSITION, **_YOY, **_TRANSACTIONS,
+        **_CUMULATIVE,
+    }
+    if one_hot_values:
+        quarter = {"trimestre"} & set(one_hot_values)
+        first |= _indicators({c: v for c, v in one_hot_values.items() if c not in quarter})
+    df = ewma(_with(dense, first))
+    if one_hot_values and quarter:
+        df = one_hot(df, {"trimestre": one_hot_values["trimestre"]})
+    derived = {**_RUN_POSITION, **_anomaly(), **_trends(), **_INTRA, **_CYCLES}
+    df = _with(df, derived).drop(*_RUN_STARTS)
+    return impute_lags(df, backfill=backfill) if impute else df
 
 
 def feature_columns(df: DataFrame, leak_safe: bool = False) -> list[str]:

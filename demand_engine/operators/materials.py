@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demand_engine.functions.expressions import half_up, ratio
+from demand_engine.functions.expressions import beside, half_up, ratio
 from demand_engine.operators.planning import clamp_safety_weeks, month_label
 
 # Default prices per sheet type, units per sheet and sheets per unit of each SKU.
@@ -169,12 +169,12 @@ def overproduction_cost(summary: DataFrame, costs: DataFrame) -> DataFrame:
 
 def overproduction_impact(over: DataFrame, rates: DataFrame) -> DataFrame:
     """Y17 over all SKUs: material, extra costs, total impact, multiplier, share, mean efficiency."""
-    total = over.agg(
+    total = beside(over.agg(
         F.sum("sobreproduccion").alias("sobreproduccion"),
         F.sum("produccion_total").alias("_p"),
         F.coalesce(F.sum("costo_material"), F.lit(0.0)).alias("costo_material"),
         F.mean("eficiencia").alias("eficiencia_media"),
-    ).crossJoin(rates.agg(F.sum("pct").alias("_pct")))
+    ), rates.agg(F.sum("pct").alias("_pct")))
     extra = F.col("costo_material") * F.col("_pct") / 100
     return total.select(
         "sobreproduccion", "costo_material", extra.alias("costo_adicional"),
@@ -188,7 +188,7 @@ def overproduction_impact(over: DataFrame, rates: DataFrame) -> DataFrame:
 def extra_costs(over: DataFrame, rates: DataFrame) -> DataFrame:
     """One row per extra cost."""
     material = over.agg(F.coalesce(F.sum("costo_material"), F.lit(0.0)).alias("_m"))
-    return rates.crossJoin(material).select("key", "pct", (F.col("_m") * F.col("pct") / 100).alias("valor"))
+    return beside(rates, material).select("key", "pct", (F.col("_m") * F.col("pct") / 100).alias("valor"))
 
 
 def policy_savings(backtest: DataFrame, costs: DataFrame, weeks: float | str | None = 2.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from demand_engine.functions.expressions import beside
 from demand_engine.functions.regressors import ALGORITHMS, staged_predictions
 
 # The parameter grids.
@@ -105,11 +106,10 @@ def cross_validate(df: DataFrame, columns: list[str], grid: dict | None = None)
     unit, and SKUs x units run in parallel. The unit list has a fixed, small size.
     """
     units = work_units(grid or FULL_GRID)
-    listed = df.sparkSession.createDataFrame([(i,) for i in range(len(units))], "unit int")
     data = df.select(
         "sku", "week_start", F.col("salida").cast("double").alias("_y"),
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
-    ).crossJoin(F.broadcast(listed))
+    ).withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sku, number = key
@@ -226,7 +226,7 @@ def winner_tally(winners: DataFrame) -> DataFrame:
     """How often each algorithm wins; ``most_frequent`` marks the first."""
     counts = winners.groupBy("algorithm").agg(F.count("*").alias("wins"))
     top = counts.agg(F.max_by("algorithm", F.struct(F.col("wins"), -_preference(ALGORITHMS))).alias("_top"))
-    return counts.crossJoin(top).withColumn("most_frequent", F.col("algorithm") == F.col("_top")).drop("_top")
+    return beside(counts, top).withColumn("most_frequent", F.col("algorithm") == F.col("_top")).drop("_top")
 
 
 def mean_r2(best: DataFrame) -> DataFrame:

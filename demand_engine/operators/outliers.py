@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demand_engine.functions.expressions import beside
 from demand_engine.functions.ordering import exact_quantiles
 from demand_engine.operators.cleaning import sales
 
@@ -83,4 +84,4 @@ def cleaning_summary(raw: DataFrame, capped: DataFrame, top: DataFrame) -> DataF
             ",",
         ).alias("top_products")
     )
-    return raw.agg(F.count("*").alias("raw_rows")).crossJoin(counts).crossJoin(products).crossJoin(top_list)
+    return beside(raw.agg(F.count("*").alias("raw_rows")), counts, products, top_list)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demand_engine.functions.expressions import week_start
+from demand_engine.functions.expressions import beside, week_start
 from demand_engine.functions.ordering import modes, ranked_running_total
 from demand_engine.operators.cleaning import drop_undated, production, sales
 
@@ -24,7 +24,7 @@ def _profile(df: DataFrame, quantity: str, prefix: str, order: list[str]) -> Dat
     total = stats.agg(F.sum(f"{prefix}_total").alias("_all"))
     ranked = ranked_running_total(stats, f"{prefix}_total", "sku", "rank", "_running")
     return (
-        ranked.crossJoin(total)
+        beside(ranked, total)
         .withColumn("acumulado_pct", 100 * F.col("_running") / F.col("_all"))
         .drop("_running", "_all")
     )
@@ -129,11 +129,11 @@ def run_summary(df: DataFrame, level: float = 80.0) -> DataFrame:
     products = df.agg(F.count_distinct("sku").alias("productos_totales"))
     weeks = drop_undated(df).agg(F.count_distinct(week_start("fecha")).alias("semanas_analizadas"))
     totals = sales(df).where(F.col("sku").isNotNull()).groupBy("sku").agg(F.sum("salida").alias("total"))
-    share = ranked_running_total(totals, "total", "sku").crossJoin(totals.agg(F.sum("total").alias("_all")))
+    share = beside(ranked_running_total(totals, "total", "sku"), totals.agg(F.sum("total").alias("_all")))
     pareto = share.agg(
         F.count("*").alias("productos_con_ventas"),
         F.count_if(100 * F.col("running") / F.col("_all") <= level).alias("productos_pareto"),
     )
-    return base.crossJoin(products).crossJoin(weeks).crossJoin(pareto)
+    return beside(base, products, weeks, pareto)
 
 

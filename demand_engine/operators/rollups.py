@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demand_engine.functions.expressions import half_up, normalize_sku, ratio
+from demand_engine.functions.expressions import beside, half_up, normalize_sku, ratio
 
 CLIENTS_SHOWN = 15
 RISK_PCT = 80.0
@@ -113,8 +113,7 @@ def overproduction_kpis(yearly: DataFrame) -> DataFrame:
 
 def monthly_mean_demand(weekly: DataFrame) -> DataFrame:
     """Mean weekly sales per calendar month, all twelve months, 0 without data."""
-    months = weekly.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("mes"))
-    grid = weekly.select("sku").distinct().crossJoin(F.broadcast(months))  # twelve rows
+    grid = weekly.select("sku").distinct().withColumn("mes", F.explode(F.sequence(F.lit(1), F.lit(12))))
     means = weekly.groupBy("sku", F.month("week_start").alias("mes")).agg(half_up(F.mean("sales")).alias("ventas"))
     return grid.join(means, ["sku", "mes"], "left").fillna(0.0, ["ventas"])
 
@@ -148,14 +147,11 @@ def global_kpis(weeks: DataFrame, listing: DataFrame, n: int = 7) -> DataFrame:
     names = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("ventas")).alias("v"), F.col("sku").alias("s")))), lambda x: x["s"]
     )
-    return (
-        weeks.agg(
-            F.sum("sales").alias("ventas"), F.sum("production").alias("produccion"),
-            F.min("week_start").alias("desde"), F.max("week_start").alias("hasta"),
-        )
-        .crossJoin(listing.agg(F.count("*").alias("skus")))
-        .crossJoin(top.agg(F.array_join(names, ",").alias("principales")))
+    totals = weeks.agg(
+        F.sum("sales").alias("ventas"), F.sum("production").alias("produccion"),
+        F.min("week_start").alias("desde"), F.max("week_start").alias("hasta"),
     )
+    return beside(totals, listing.agg(F.count("*").alias("skus")), top.agg(F.array_join(names, ",").alias("principales")))
 
 
 def product_kpis(forecast: DataFrame, weekly: DataFrame, n: int = 104) -> DataFrame:

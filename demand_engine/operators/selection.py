@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demand_engine.functions.expressions import beside
 from demand_engine.functions.moments import correlation_p_value, pair_sums, pearson
 from demand_engine.operators.features import KEYS, feature_columns
 
@@ -141,5 +142,5 @@ def selection_summary(df: DataFrame, matrix: DataFrame, factors: DataFrame) -> D
     )
     bad = factors.agg(F.count_if(F.col("vif") > VIF_LIMIT).alias("features_problema"))
     constants = {"total_features": len(names), **{f"n_{k}": v for k, v in {**by_role, **sizes}.items()}}
-    counted = df.agg(F.count("*").alias("total_registros")).crossJoin(pairs).crossJoin(bad)
+    counted = beside(df.agg(F.count("*").alias("total_registros")), pairs, bad)
     return reduce(lambda d, kv: d.withColumn(kv[0], F.lit(kv[1])), constants.items(), counted)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demand_engine.functions.expressions import half_up, iso_year, week_start
+from demand_engine.functions.expressions import beside, half_up, iso_year, week_start
 from demand_engine.functions.ordering import modes
 from demand_engine.operators.cleaning import drop_undated
 
@@ -50,7 +50,7 @@ def weekly_closing_stock(df: DataFrame, order=DEFAULT_ORDER, carry_forward: bool
     if carry_forward:
         ends = by_sku.groupBy("sku").agg(F.min("week_start").alias("_first"))
         last = _weeks(df).agg(F.max("week_start").alias("_last"))
-        grid = ends.crossJoin(last).select(
+        grid = beside(ends, last).select(
             "sku", F.explode(F.expr("sequence(_first, _last, interval 7 days)")).alias("week_start")
         )
         order_by = W.partitionBy("sku").orderBy("week_start").rowsBetween(W.unboundedPreceding, 0)

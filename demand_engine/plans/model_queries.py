@@ -83,9 +83,9 @@ def _round(df):
 
 
 def critical_features(spark, d) -> DataFrame:
-    """Feature rows of the SKUs of the first demand group."""
+    """Feature rows of the SKUs of the first demand group, held for the model search."""
     group = classes(spark, d).where(F.col("grupo") == demand_class.GROUP_1)
-    return cleaning.critical_only(brand_features(spark, d), group)
+    return cleaning.critical_only(brand_features(spark, d), group).persist()
 
 
 @query("w1_usable_features", sql("""SELECT DISTINCT sku, unnest(['lag_1', 'lag_52', 'ma_4', 'yoy_ratio']) AS feature,
@@ -249,7 +249,7 @@ def x6_forecast_pivot(spark, d):
 
 
 def _fitted(spark, d):
-    df = critical_features(spark, d).persist()
+    df = critical_features(spark, d)
     columns = _model_columns(df)
     _, winners = models.search(df, columns, SMALL_GRID)
     return df, winners, columns

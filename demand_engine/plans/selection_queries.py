@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import features, selection
 from demand_engine.plans.registry import query, sql
-from demand_engine.plans.series_queries import brand_features
+from demand_engine.plans.series_queries import brand_features as lazy_features
+
+
+def brand_features(spark, d):
+    """The feature table, held: means and moments are two passes over it."""
+    return lazy_features(spark, d).persist()
 
 NAMES = sorted(
     (*features.IMPUTED, "mes", "trimestre", "dia_semana", "dia_anio", "num_semana_anio", "anomalia_binaria",
@@ -77,13 +82,13 @@ def v4_target_p_values(spark, d):
 
 @query("v5_feature_sets")
 def v5_feature_sets(spark, d):
-    df = brand_features(spark, d).persist()
+    df = brand_features(spark, d)
     return selection.select_sets(df, selection.vif(df))["intermediate"]
 
 
 @query("v6_selection_summary")
 def v6_selection_summary(spark, d):
-    df = brand_features(spark, d).persist()
+    df = brand_features(spark, d)
     return selection.selection_summary(df, selection.correlation_matrix(df), selection.vif(df))
 
 
@@ -111,7 +116,7 @@ SELECT a, b, round(r, 6) + 0.0 AS r FROM ({_matrix_sql(PAIRS)}) WHERE a IN (SELE
     ),
 )
 def v7_top_correlation_matrix(spark, d):
-    df = brand_features(spark, d).persist()
+    df = brand_features(spark, d)
     table = selection.target_correlation(df, NAMES).withColumn("abs_corr", F.round("abs_corr", 8))
     top = [r["feature"] for r in selection.top_by(table, "abs_corr", 30).collect()]
     return selection.correlation_matrix(df, top).where("a < b").select("a", "b", (F.round("r", 6) + 0.0).alias("r"))

@@ -6,13 +6,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings that affect results (time zone) or let AQE split skewed joins and size partitions.
+# Settings that affect results (time zone) or let AQE split skewed joins and size partitions. Wide
+# feature plans print to megabytes, which the driver would rebuild after every stage: hence the limit.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.maxPlanStringLength": "10000",
 }
 
 

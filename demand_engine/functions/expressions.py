@@ -75,4 +75,5 @@ def magnitude_bucket(c: Column | str, per_octave: int = 64) -> Column:
     into many small ones. 0 and below fall into one lowest bucket.
     """
     value = col(c)
-    return F.when(value > 0, F.floor(F.log2(value) * per_octave)).otherwise(F.lit(-1_000_000)).cast("int")
+    bucket = F.when(value > 0, F.floor(F.log2(value) * per_octave).cast("int"))
+    return F.coalesce(bucket, F.lit(-1_000_000))

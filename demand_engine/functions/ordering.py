@@ -15,10 +15,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     Returns ``keys, n, <one column per prob>``. Works on counts per distinct value (combined on the
     map side). A coarse histogram of geometric value buckets tells which buckets hold the wanted
     ranks; only those buckets are ordered, each on its own. A key with a third of all rows is so
-    spread over its buckets, and no task or buffer holds a key's values together.
+    spread over its buckets, and no task or buffer holds a key's values together. Null keys drop.
     """
+    known = F.col(value) > 0
+    for k in keys:  # the same for both uses of the counts below, so they share one exchange
+        known = known & F.col(k).isNotNull()
     values = (
-        df.where(F.col(value) > 0)
+        df.where(known)
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn("_b", magnitude_bucket("_v"))
@@ -59,25 +62,32 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return found.select(*keys, "n", *result)
 
 
-def ranked_running_total(df: DataFrame, value: str, tie: str, rank: str = "rank", total: str = "running") -> DataFrame:
-    """Global rank and running total by ``value`` descending (ties by ``tie`` ascending).
+def ranked_running_total(
+    df: DataFrame, value: str, tie: str, rank: str = "rank", running: str = "running", total: str = "total_all"
+) -> DataFrame:
+    """Global rank and running total by ``value`` descending (ties by ``tie`` ascending), and the total.
 
     ``df`` has one row per item and ``value >= 0``. The ordering is done per geometric value bucket;
     only the bucket totals (a few thousand rows at most) pass through one window.
     """
     buckets = df.withColumn("_b", magnitude_bucket(value))
-    totals = buckets.groupBy("_b").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    before = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    # Reading every column here too lets Spark compute ``df`` once for both uses (one shared exchange).
+    totals = buckets.groupBy("_b").agg(
+        F.count("*").alias("_n"), F.sum(value).alias("_s"), F.max(F.xxhash64(*df.columns)).alias("_seen")
+    ).where(F.col("_seen").isNotNull())
+    order = W.orderBy(F.desc("_b"))
+    before, every = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = totals.select(
         "_b",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"),
+        F.sum("_s").over(every).alias(total),
     )
     inside = W.partitionBy("_b").orderBy(F.desc(value), F.asc(tie))
     return (
         buckets.join(offsets, "_b")
         .withColumn(rank, F.col("_n0") + F.row_number().over(inside))
-        .withColumn(total, F.col("_s0") + F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn(running, F.col("_s0") + F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0)))
         .drop("_b", "_n0", "_s0")
     )
 

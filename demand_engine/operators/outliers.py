@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside
 from demand_engine.functions.ordering import exact_quantiles
-from demand_engine.operators.cleaning import sales
 
 MIN_POSITIVE = 4  # fewer positive movements than this: the SKU is left as it is
 
@@ -73,8 +72,8 @@ def cleaning_summary(raw: DataFrame, capped: DataFrame, top: DataFrame) -> DataF
         F.count_if(sold).alias("sale_rows"),
         F.count_if(sold & F.col("_top").isNotNull()).alias("top_rows"),
         (F.count_if("salida_capped") + F.count_if("entrada_capped")).alias("capped"),
+        F.count_distinct(F.when(sold, F.col("sku"))).alias("products"),
     )
-    products = sales(capped).agg(F.count_distinct("sku").alias("products"))
     top_list = top.agg(
         F.array_join(
             F.transform(
@@ -84,4 +83,4 @@ def cleaning_summary(raw: DataFrame, capped: DataFrame, top: DataFrame) -> DataF
             ",",
         ).alias("top_products")
     )
-    return beside(raw.agg(F.count("*").alias("raw_rows")), counts, products, top_list)
+    return beside(raw.agg(F.count("*").alias("raw_rows")), counts, top_list)

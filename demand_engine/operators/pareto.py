@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demand_engine.functions.expressions import beside, ratio
+from demand_engine.functions.expressions import ratio
 from demand_engine.functions.ordering import ranked_running_total
 
 
@@ -16,8 +16,8 @@ def pareto_curve(df: DataFrame, levels: tuple[int, ...] = (80, 90)) -> DataFrame
     unless nothing was sold at all.
     """
     totals = df.where(F.col("sku").isNotNull()).groupBy("sku").agg(F.sum("salida").alias("total"))
-    ranked = ranked_running_total(totals, "total", "sku", "rank", "_running")
-    curve = beside(ranked, totals.agg(F.sum("total").alias("_all"))).withColumn(
+    ranked = ranked_running_total(totals, "total", "sku", "rank", "_running", "_all")
+    curve = ranked.withColumn(
         "cum_pct", ratio(F.col("_running") * F.lit(100.0), F.col("_all"))
     )
     for level in levels:

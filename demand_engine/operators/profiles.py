@@ -21,13 +21,8 @@ def _profile(df: DataFrame, quantity: str, prefix: str, order: list[str]) -> Dat
         F.max(quantity).alias(f"{prefix}_max"),
         F.min_by("descripcion", F.when(F.col("descripcion").isNotNull(), F.struct(*order))).alias("descripcion"),
     )
-    total = stats.agg(F.sum(f"{prefix}_total").alias("_all"))
-    ranked = ranked_running_total(stats, f"{prefix}_total", "sku", "rank", "_running")
-    return (
-        beside(ranked, total)
-        .withColumn("acumulado_pct", 100 * F.col("_running") / F.col("_all"))
-        .drop("_running", "_all")
-    )
+    ranked = ranked_running_total(stats, f"{prefix}_total", "sku", "rank", "_running", "_all")
+    return ranked.withColumn("acumulado_pct", 100 * F.col("_running") / F.col("_all")).drop("_running", "_all")
 
 
 def sales_by_product(df: DataFrame, order: list[str]) -> DataFrame:
@@ -125,15 +120,14 @@ def run_summary(df: DataFrame, level: float = 80.0) -> DataFrame:
         F.count("*").alias("registros_totales"),
         F.min("fecha").alias("fecha_min"),
         F.max("fecha").alias("fecha_max"),
+        F.count_distinct("sku").alias("productos_totales"),
     )
-    products = df.agg(F.count_distinct("sku").alias("productos_totales"))
     weeks = drop_undated(df).agg(F.count_distinct(week_start("fecha")).alias("semanas_analizadas"))
     totals = sales(df).where(F.col("sku").isNotNull()).groupBy("sku").agg(F.sum("salida").alias("total"))
-    share = beside(ranked_running_total(totals, "total", "sku"), totals.agg(F.sum("total").alias("_all")))
-    pareto = share.agg(
+    pareto = ranked_running_total(totals, "total", "sku").agg(
         F.count("*").alias("productos_con_ventas"),
-        F.count_if(100 * F.col("running") / F.col("_all") <= level).alias("productos_pareto"),
+        F.count_if(100 * F.col("running") / F.col("total_all") <= level).alias("productos_pareto"),
     )
-    return beside(base, products, weeks, pareto)
+    return beside(base, weeks, pareto)
 
 

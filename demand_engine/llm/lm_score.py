@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from demand_engine.llm.text import slices, sums, words
 
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 BUCKET = 3_000_000  # n-grams of all blocks in one bucket, about
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)  # keys of the end and of the start state
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -82,7 +82,6 @@ class Tokens:
     offsets: np.ndarray
     keys: np.ndarray
     pairs: np.ndarray
-    before: np.ndarray
 
 
 def tokens(texts: pa.Array) -> Tokens:
@@ -102,7 +101,7 @@ def tokens(texts: pa.Array) -> Tokens:
     before = np.empty_like(keys)
     before[1:] = keys[:-1]
     before[ends[:-1]] = BEGIN
-    return Tokens(ends, keys, pair_keys(before, keys), before)
+    return Tokens(ends, keys, pair_keys(before, keys))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -162,28 +161,43 @@ def add_up(table: pa.Table) -> pa.Table:
                      "totals": pa.array([pack(answer[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the number of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, bool)
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], number
+
+
 def score_block(train_tokens: int, train_types: int, s: Settings):
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
         t = tokens(texts["text"].combine_chunks())
         asked = distinct(t)
         total = np.concatenate([unpack(x, np.uint64) for x in totals.sort_by("bucket")["totals"].to_pylist()]).astype(np.float64)
-        word, place = np.unique(t.keys, return_inverse=True)
-        state, state_place = np.unique(t.before, return_inverse=True)
-        pair, pair_place = np.unique(t.pairs, return_inverse=True)
-        at = lambda keys: total[np.searchsorted(asked, keys)]
-        c = at(word)
-        root = (c + s.added) / (train_tokens + s.added * (train_types + 1))
-        c_state, c_pair = at(state), at(pair)
-        failure = np.where(c_state > 0, np.log10(s.mu / (c_state + s.mu)), 0.0)  # no such state: already at the root
-        seen = c_pair[pair_place] > 0
-        weight = failure[state_place] + np.log10(root)[place]
-        own = c_state[state_place[seen]]
-        weight[seen] = np.log10((c_pair[pair_place[seen]] + s.mu * root[place[seen]]) / (own + s.mu))
+        word, place = numbered(t.keys)
+        pair, pair_place = numbered(t.pairs)
+        t.keys = t.pairs = None
+        c, c_pair = total[np.searchsorted(asked, word)], total[np.searchsorted(asked, pair)]
+        begin = total[np.searchsorted(asked, BEGIN)]
+        del asked, total, word, pair
+        arc = (c + s.added) / (train_tokens + s.added * (train_types + 1))
+        root, state, both = arc[place], c[place], c_pair[pair_place]  # of each token; the state's count is that of the token before
+        del pair_place
+        known, base = sums(state > 0, t.offsets), sums(np.log10(root), t.offsets)
+        state[1:] = state[:-1].copy()
+        state[t.offsets[:-1]] = begin
+        weight = np.log10(root)
+        there = state > 0  # else the root is where the traversal stands
+        weight[there] += np.log10(s.mu / (state[there] + s.mu))  # the failure arc, where no arc is seen
+        seen = both > 0
+        weight[seen] = np.log10((both[seen] + s.mu * root[seen]) / (state[seen] + s.mu))
         n = len(t.offsets) - 1
         return pa.table({
             "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(np.diff(t.offsets)),
-            "n_known": pa.array(sums((c > 0)[place], t.offsets)), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)),
-            "base_score": pa.array(sums(np.log10(root)[place], t.offsets)), "score": pa.array(sums(weight, t.offsets))})
+            "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)),
+            "base_score": pa.array(base), "score": pa.array(sums(weight, t.offsets))})
 
     return run
 

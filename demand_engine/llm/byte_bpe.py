@@ -28,7 +28,7 @@ NONE = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
 LONG = 2048
 CELLS = 1 << 17  # of one matrix
-SLICE = 8 << 20  # bytes of text whose distinct segments are split and merged together
+SLICE = 4 << 20  # bytes of text whose distinct segments are split and merged together
 LETTER = regex.compile("\\p{L}")
 # A white-space character right before a space: there a space doesn't start a segment.
 IRREGULAR = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "

@@ -60,9 +60,8 @@ class Grams:
 def grams(texts: list[str | None], s: Settings) -> Grams:
     """Lower-cased letters, everything else one blank; n-grams with two blanks in a row don't count."""
     low = [(t or "").lower() for t in texts]
-    gap = " " * s.longest
-    sizes = np.array([len(t) + len(gap) for t in low], np.int64)
-    code = np.frombuffer((gap.join(low) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)[: int(sizes.sum())]
+    sizes = np.array([len(t) + 2 for t in low], np.int64)  # a blank on either side, so two between texts
+    code = np.frombuffer("".join(f" {t} " for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[code]
     starts = np.cumsum(sizes) - sizes
     seen = np.concatenate(([0], np.cumsum(letter)))

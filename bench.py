@@ -22,6 +22,8 @@ HEADLINE = [
     "g_all_features",
     "k2_classify_demand",
     "v1_correlation_matrix",
+    "w3_ridge_grid",
+    "x4_recursive_forecast",
     "y5_production_plan",
 ]
 
@@ -39,6 +41,7 @@ def main() -> None:
     for name in HEADLINE:
         runs = []
         for _ in range(4):  # the first run warms up
+            spark.catalog.clearCache()
             start = time.perf_counter()
             catalog.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import magnitude_bucket
+from demand_engine.session import keep_table
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -67,15 +68,14 @@ def ranked_running_total(
 ) -> DataFrame:
     """Global rank and running total by ``value`` descending (ties by ``tie`` ascending), and the total.
 
-    ``df`` has one row per item and ``value >= 0``. The ordering is done per geometric value bucket;
-    only the bucket totals (a few thousand rows at most) pass through one window.
+    ``df`` has one row per item. The items are written, dealt by ranges of (value, tie), and ordered within each
+    range; only the totals of the ranges pass through one window. Equal values spread over ranges like any others.
     """
-    buckets = df.withColumn("_b", magnitude_bucket(value))
-    # Reading every column here too lets Spark compute ``df`` once for both uses (one shared exchange).
-    totals = buckets.groupBy("_b").agg(
-        F.count("*").alias("_n"), F.sum(value).alias("_s"), F.max(F.xxhash64(*df.columns)).alias("_seen")
-    ).where(F.col("_seen").isNotNull())
-    order = W.orderBy(F.desc("_b"))
+    items = keep_table(df, "items")
+    ranged = items.repartitionByRange(F.desc(value), F.asc(tie)).withColumn("_b", F.spark_partition_id())
+    parts = keep_table(ranged, "ranges")
+    totals = parts.groupBy("_b").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    order = W.orderBy("_b")
     before, every = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = totals.select(
         "_b",
@@ -85,7 +85,7 @@ def ranked_running_total(
     )
     inside = W.partitionBy("_b").orderBy(F.desc(value), F.asc(tie))
     return (
-        buckets.join(offsets, "_b")
+        parts.join(offsets, "_b")
         .withColumn(rank, F.col("_n0") + F.row_number().over(inside))
         .withColumn(running, F.col("_s0") + F.sum(value).over(inside.rowsBetween(W.unboundedPreceding, 0)))
         .drop("_b", "_n0", "_s0")

@@ -1,15 +1,9 @@
-"""Small regressors for one SKU's weekly series, used inside grouped tasks: ridge and trees.
-
-A series has a few hundred rows, so one fit is one task's work; Spark spreads (SKU, model) pairs.
-The tree grower works level by level on histograms, which numpy handles without Python row loops.
-"""
+"""The regressor of one SKU's weekly series, used inside grouped tasks."""
 
 from __future__ import annotations
 
 import numpy as np
 
-MAX_BINS = 64
-
 
 class Ridge:
     """Least squares with penalty alpha * |w|^2 on centred columns."""
@@ -27,153 +21,3 @@ class Ridge:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return (x - self.x_mean) @ self.w + self.y_mean
-
-
-class Bins:
-    """Maps each column to at most MAX_BINS ordered codes; cuts lie midway between known values."""
-
-    def __init__(self, x: np.ndarray):
-        self.cuts = []
-        for column in x.T:
-            known = np.unique(column)
-            cuts = (known[1:] + known[:-1]) / 2
-            if len(cuts) >= MAX_BINS:
-                cuts = np.unique(np.quantile(column, np.arange(1, MAX_BINS) / MAX_BINS))
-            self.cuts.append(cuts)
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, v) for c, v in zip(self.cuts, x.T, strict=True)], axis=1)
-
-
-class Tree:
-    """Squared-error tree. ``penalty`` shrinks leaf values and is part of the split gain."""
-
-    def __init__(self, depth: int, min_leaf: int, min_split: int = 2, penalty: float = 0.0):
-        self.depth, self.min_leaf, self.min_split, self.penalty = depth, min_leaf, min_split, penalty
-
-    def fit(self, codes: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: np.ndarray) -> Tree:
-        size = 2 ** (self.depth + 1) - 1
-        self.column, self.cut = np.full(size, -1), np.zeros(size, dtype=int)
-        rows = weight > 0
-        sub, y, weight = codes[np.ix_(rows, columns)], y[rows], weight[rows]
-        node = np.zeros(len(y), dtype=int)
-        for level in range(self.depth):
-            first, count = 2**level - 1, 2**level
-            at = np.flatnonzero(node >= first)
-            if not len(at):
-                break
-            best = self._best_cuts(sub[at], y[at], weight[at], node[at] - first, count)
-            for slot, (column, cut) in best.items():
-                self.column[first + slot], self.cut[first + slot] = columns[column], cut
-            column = self.column[node[at]]
-            moving = at[column >= 0]
-            inside = np.searchsorted(columns, self.column[node[moving]])
-            right = sub[moving, inside] > self.cut[node[moving]]
-            node[moving] = 2 * node[moving] + 1 + right
-        total = np.bincount(node, weights=weight * y, minlength=size)
-        mass = np.bincount(node, weights=weight, minlength=size)
-        self.value = np.divide(total, mass + self.penalty, out=np.zeros(size), where=mass > 0)
-        return self
-
-    def _best_cuts(self, codes, y, weight, slot, count) -> dict[int, tuple[int, int]]:
-        width = codes.shape[1]
-        cell = ((slot[:, None] * width + np.arange(width)) * MAX_BINS + codes).ravel()
-        shape = (count, width, MAX_BINS)
-
-        def left_sums(values):
-            cells = np.bincount(cell, weights=np.repeat(values, width), minlength=count * width * MAX_BINS)
-            return cells.reshape(shape).cumsum(axis=2)
-
-        total, mass, members = left_sums(weight * y), left_sums(weight), left_sums(np.ones(len(y)))
-        all_total, all_mass, all_members = total[:, :, -1:], mass[:, :, -1:], members[:, :, -1:]
-        allowed = (members >= self.min_leaf) & (all_members - members >= self.min_leaf) & (all_members >= self.min_split)
-
-        def score(t, m):
-            return np.divide(t * t, m + self.penalty, out=np.zeros(np.broadcast(t, m).shape), where=m > 0)
-
-        gain = score(total, mass) + score(all_total - total, all_mass - mass) - score(all_total, all_mass)
-        gain = np.where(allowed, gain, 0.0).reshape(count, -1)
-        pick = gain.argmax(axis=1)
-        return {s: divmod(int(pick[s]), MAX_BINS) for s in range(count) if gain[s, pick[s]] > 1e-9}
-
-    def predict(self, codes: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(codes), dtype=int)
-        for _ in range(self.depth):
-            column = self.column[node]
-            inner = column >= 0
-            right = codes[np.flatnonzero(inner), column[inner]] > self.cut[node[inner]]
-            node[inner] = 2 * node[inner] + 1 + right
-        return self.value[node]
-
-
-class BoostedTrees:
-    """Gradient boosting of squared error with row and column sampling."""
-
-    def __init__(self, n_estimators: int, max_depth: int, learning_rate: float, subsample: float = 0.8,
-                 colsample_bytree: float = 0.8, min_child_weight: int = 3, seed: int = 42):
-        self.n, self.rate, self.rows, self.cols, self.seed = n_estimators, learning_rate, subsample, colsample_bytree, seed
-        self.tree = (int(max_depth), int(min_child_weight), 2, 1.0)
-
-    def fit(self, x, y) -> BoostedTrees:
-        rng = np.random.default_rng(self.seed)
-        self.bins, self.base, self.trees = Bins(x), y.mean(), []
-        codes, current, width = self.bins.codes(x), np.full(len(y), y.mean()), x.shape[1]
-        for _ in range(int(self.n)):
-            weight = (rng.random(len(y)) < self.rows).astype(float)
-            columns = np.sort(rng.choice(width, max(1, int(self.cols * width)), replace=False))
-            tree = Tree(*self.tree).fit(codes, y - current, weight, columns)
-            current = current + self.rate * tree.predict(codes)
-            self.trees.append(tree)
-        return self
-
-    def staged(self, x, stages: list[int]) -> dict[int, np.ndarray]:
-        """Predictions after the given numbers of trees."""
-        codes, current, out = self.bins.codes(x), np.full(len(x), self.base), {}
-        for i, tree in enumerate(self.trees, 1):
-            current = current + self.rate * tree.predict(codes)
-            if i in stages:
-                out[i] = current
-        return out
-
-    def predict(self, x):
-        return self.staged(x, [len(self.trees)])[len(self.trees)]
-
-
-class Forest:
-    """Mean of trees grown on bootstrap samples, all columns at every split."""
-
-    def __init__(self, n_estimators: int, max_depth: int, min_samples_split: int, min_samples_leaf: int = 2, seed: int = 42):
-        self.n, self.seed = n_estimators, seed
-        self.tree = (int(max_depth), int(min_samples_leaf), int(min_samples_split))
-
-    def fit(self, x, y) -> Forest:
-        rng = np.random.default_rng(self.seed)
-        self.bins = Bins(x)
-        codes, columns = self.bins.codes(x), np.arange(x.shape[1])
-        draws = [np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float) for _ in range(int(self.n))]
-        self.trees = [Tree(*self.tree).fit(codes, y, w, columns) for w in draws]
-        return self
-
-    def staged(self, x, stages: list[int]) -> dict[int, np.ndarray]:
-        codes = self.bins.codes(x)
-        running = np.cumsum([t.predict(codes) for t in self.trees], axis=0)
-        return {n: running[n - 1] / n for n in stages}
-
-    def predict(self, x):
-        return self.staged(x, [len(self.trees)])[len(self.trees)]
-
-
-# Labels of the three algorithms, in order of preference when scores tie.
-ALGORITHMS = {"Ridge": Ridge, "XGBoost": BoostedTrees, "RandomForest": Forest}
-
-
-def make(algorithm: str, params: dict[str, float]):
-    return ALGORITHMS[algorithm](**params)
-
-
-def staged_predictions(algorithm: str, params: dict[str, float], stages: list[int], train, test) -> dict[int, np.ndarray]:
-    """Test predictions per ensemble size from one fit of the largest; ridge has the single stage 0."""
-    x, y = train
-    if not stages:
-        return {0: make(algorithm, params).fit(x, y).predict(test)}
-    return make(algorithm, {**params, "n_estimators": max(stages)}).fit(x, y).staged(test, stages)

@@ -107,21 +107,24 @@ def ewma(df: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
     """e_t = (1-a) e_{t-1} + a x_{t-1}, a = 2/(span+1), started at the first value.
 
     Needs ``trend_lineal`` (G8) and ``lag_1`` (G2). The recursion is written as a running sum of
-    x_j (1-a)^-j inside blocks of 256 weeks (so powers stay in range) plus what the block before
-    passes on; anything older is smaller than double precision can show.
+    x_j (1-a)^-j inside blocks of 256 weeks (so powers stay in range); the values at the ends of all
+    blocks before are folded into what is carried over. A span of 1 is the value before.
     """
     at = f"(trend_lineal % {EWMA_BLOCK})"
     block = f"PARTITION BY sku, floor(trend_lineal / {EWMA_BLOCK}) ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     sums, states = {}, {}
     for span in spans:
+        if span == 1:
+            states["ewma_1"] = "if(trend_lineal > 0, lag_1, null)"
+            continue
         a = 2.0 / (span + 1)
         keep = f"{1.0 - a!r}D"
         # Week 1 sees the first value in full.
         scaled = f"lag_1 * if(trend_lineal = 1, 1D, {a!r}D) * pow({keep}, -{at})"
         sums[f"_in_{span}"] = f"coalesce(sum({scaled}) OVER ({block}) * pow({keep}, {at}), 0D)"
-        passed = f"last(if({at} = {EWMA_BLOCK - 1}, _in_{span}, null), true) OVER ({EARLIER})"
-        carried = f"coalesce({passed}, 0D) * pow({keep}, {at} + 1)"
-        states[f"ewma_{span}"] = f"if(trend_lineal > 0, _in_{span} + {carried}, null)"
+        ends = f"collect_list(if({at} = {EWMA_BLOCK - 1}, _in_{span}, null)) OVER ({EARLIER})"
+        passed = f"aggregate({ends}, 0D, (carried, x) -> carried * pow({keep}, {EWMA_BLOCK}) + x)"
+        states[f"ewma_{span}"] = f"if(trend_lineal > 0, _in_{span} + {passed} * pow({keep}, {at} + 1), null)"
     return _with(_with(df, sums), states).drop(*sums)
 
 
@@ -197,12 +200,9 @@ def one_hot_long(df: DataFrame, columns: dict[str, str] = ONE_HOT) -> DataFrame:
     return df.select("sku", "week_start", F.explode(F.array(*named)).alias("feature"), F.lit(1).alias("value"))
 
 
-def categories(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """The distinct values of a column, for ``one_hot``; refuses more than a table can have columns."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories: use one_hot_long")
-    return sorted(r[0] for r in rows)
+def categories(df: DataFrame, column: str) -> list:
+    """The distinct values of a column, for the wide ``one_hot``: for columns of few values such as the quarter."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def _indicators(values: dict[str, list], columns: dict[str, str] = ONE_HOT) -> dict[str, str]:
@@ -251,6 +251,24 @@ def impute_lags(df: DataFrame, columns: tuple[str, ...] = IMPUTED, backfill: boo
 # Features that look at the current week's own demand: excluded from models by ``leak_safe``.
 LEAKING = ("anomalia_binaria", "trend_vs_ma4", "trend_vs_ma8", "semanas_desde_ultima_venta", "semana_consecutivas_venta",
            "ratio_min_max", "ratio_transacciones", "variabilidad_intra")
+# What a feature tells: the past of the series, or its place in time. Indicators (G14) tell what is planned ahead.
+PAST_ROLE, TIME_ROLE, AHEAD_ROLE = "pasado", "temporal", "futuro"
+SMOOTHED = {**{f"ma_{w}": w for w in AVERAGES}, **{f"ewma_{s}": s for s in SPANS}}
+ROLES = {
+    **dict.fromkeys([f"lag_{n}" for n in LAGS] + [*SMOOTHED, "trend_lineal"], PAST_ROLE),
+    **dict.fromkeys([f"volatilidad_{w}" for w in VOLATILITIES] + [f"trend_vs_ma{w}" for w in TRENDS], PAST_ROLE),
+    **dict.fromkeys([*_INTRA, *_TRANSACTIONS], PAST_ROLE),
+    **dict.fromkeys([*_CALENDAR, *_CYCLES, *_CUMULATIVE], TIME_ROLE),
+}
+
+
+def role(name: str) -> str | None:
+    """Role of a feature: as declared, or ahead for an indicator of one of the ``ONE_HOT`` columns; else none."""
+    if name in ROLES:
+        return ROLES[name]
+    return AHEAD_ROLE if name.split("_")[0] in ONE_HOT.values() and "_" in name else None
+
+
 KEYS = ("sku", "week_start", "iso_year", "iso_week", "salida")
 NOT_FEATURES = (*KEYS, "transacciones", "salida_promedio", "salida_std", "salida_min", "salida_max",
                 "cliente_modo", "canal_modo", "punto_modo", "is_imputed")

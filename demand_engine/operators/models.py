@@ -3,36 +3,27 @@
 from __future__ import annotations
 
 import itertools
-import json
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside
-from demand_engine.functions.regressors import ALGORITHMS, staged_predictions
+from demand_engine.functions.regressors import Ridge
+from demand_engine.session import keep_table
 
 # The parameter grids.
 RIDGE_GRID = {"alpha": [1.0, 10.0, 100.0]}
-BOOSTED_GRID = {
-    "n_estimators": [100, 200, 300],
-    "max_depth": [3, 4, 5, 6],
-    "learning_rate": [0.05, 0.1],
-    "subsample": [0.8],
-    "colsample_bytree": [0.8],
-    "min_child_weight": [3],
-}
-FOREST_GRID = {
-    "n_estimators": [100, 200],
-    "max_depth": [5, 8],
-    "min_samples_split": [5, 8],
-    "min_samples_leaf": [2],
-}
-FULL_GRID = {"Ridge": RIDGE_GRID, "XGBoost": BOOSTED_GRID, "RandomForest": FOREST_GRID}
+FULL_GRID = {"Ridge": RIDGE_GRID}
 MAPE_CAP = 200.0
+ALGORITHMS = {"Ridge": Ridge}
+
+
+def make(algorithm: str, params: dict[str, float]):
+    return ALGORITHMS[algorithm](**params)
 
 
 def usable_features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -84,72 +75,34 @@ def candidates(grid: dict[str, dict[str, list]]) -> list[dict]:
     return out
 
 
-def work_units(grid: dict[str, dict[str, list]]) -> list[dict]:
-    """Candidates that differ only in the number of trees share one fit, so they form one unit."""
-    units: dict[str, dict] = {}
-    for c in candidates(grid):
-        params = dict(c["params"])
-        stage = int(params.pop("n_estimators", 0))
-        key = json.dumps([c["algorithm"], params])
-        unit = units.setdefault(key, {"algorithm": c["algorithm"], "params": params, "stages": {}})
-        unit["stages"][stage] = c["candidate"]
-    return list(units.values())
+PREDICTIONS = "sku string, algorithm string, candidate int, fold int, week_start date, y double, yhat double"
 
 
-PREDICTIONS = "sku string, algorithm string, candidate int, fold int, week_start date, y double, yhat double"
+def numeric(columns: list[str]) -> list[Column]:
+    """Features as numbers; null, and text that is none, count as 0."""
+    return [F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c) for c in columns]
 
 
 def cross_validate(df: DataFrame, columns: list[str], grid: dict | None = None) -> DataFrame:
-    """Out-of-fold predictions of every candidate, per SKU.
+    """Out-of-fold predictions of every candidate, per SKU.
 
-    The key of the grouped map is (SKU, work unit): a SKU's few hundred weeks go to one task per
-    unit, and SKUs x units run in parallel. The unit list has a fixed, small size.
+    One group per SKU: a series has a few hundred weeks, and a fit solves one small linear system.
     """
-    units = work_units(grid or FULL_GRID)
-    data = df.select(
-        "sku", "week_start", F.col("salida").cast("double").alias("_y"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns],
-    ).withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))))
+    listed = candidates(grid or FULL_GRID)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sku, number = key
-        unit = units[number]
         pdf = pdf.sort_values("week_start")
-        x, y = pdf[columns].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
-        stages = [s for s in unit["stages"] if s]
-        parts = []
+        x, y, weeks = pdf[columns].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float), pdf["week_start"].to_numpy()
+        parts = [pd.DataFrame(columns=["sku", "algorithm", "candidate", "fold", "week_start", "y", "yhat"])] * (not fold_bounds(len(y)))
         for fold, (start, end) in enumerate(fold_bounds(len(y))):
-            by_stage = staged_predictions(
-                unit["algorithm"], unit["params"], stages, (x[:start], y[:start]), x[start:end]
-            )
-            for stage, candidate in unit["stages"].items():
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "sku": sku,
-                            "algorithm": unit["algorithm"],
-                            "candidate": np.int32(candidate),
-                            "fold": np.int32(fold),
-                            "week_start": pdf["week_start"].to_numpy()[start:end],
-                            "y": y[start:end],
-                            "yhat": by_stage[stage],
-                        }
-                    )
-                )
-        if not parts:
-            return pd.DataFrame(columns=["sku", "algorithm", "candidate", "fold", "week_start", "y", "yhat"])
+            for c in listed:
+                yhat = make(c["algorithm"], c["params"]).fit(x[:start], y[:start]).predict(x[start:end])
+                parts.append(pd.DataFrame({"sku": key[0], "algorithm": c["algorithm"], "candidate": np.int32(c["candidate"]),
+                                           "fold": np.int32(fold), "week_start": weeks[start:end], "y": y[start:end], "yhat": yhat}))
         return pd.concat(parts, ignore_index=True)
 
-    return spread(data, "sku", "unit").groupBy("sku", "unit").applyInPandas(run, PREDICTIONS)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition by the keys for CPU-bound grouped work.
-
-    The rows are few and the work per group is long, so partitions follow the cores of the cluster
-    and not the bytes (which AQE would coalesce into a single task).
-    """
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    data = df.select("sku", "week_start", F.col("salida").cast("double").alias("_y"), *numeric(columns))
+    return data.groupBy("sku").applyInPandas(run, PREDICTIONS)
 
 
 def capped_mape(y, yhat):
@@ -206,12 +159,11 @@ def with_params(best: DataFrame, grid: dict | None = None) -> DataFrame:
 
 
 def search(
-    df: DataFrame, columns: list[str], grid: dict | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist
+    df: DataFrame, columns: list[str], grid: dict | None = None, keep: Callable[[DataFrame], DataFrame] = keep_table
 ) -> tuple[DataFrame, DataFrame]:
-    """(best candidate per SKU and algorithm, winner per SKU), both with their parameters.
+    """(best candidate per SKU and algorithm, winner per SKU), both with their parameters.
 
-    Both come from the same predictions, and the search is the costly part: ``keep`` holds its
-    result (persisted by default, or written to a table).
+    Both come from the same predictions, and the search is the costly part: ``keep`` writes its result.
     """
     best = keep(with_params(best_candidates(mean_scores(score_folds(cross_validate(df, columns, grid)))), grid))
     return best, with_params(select_winner(best), grid)

@@ -31,21 +31,27 @@ def channel_by_product(df: DataFrame) -> DataFrame:
     )
 
 
-def channel_mix(by_channel: DataFrame, selected: DataFrame, channels: list[str]) -> DataFrame:
-    """Selected SKUs x channels with totals and whole percents."""
+def channel_shares(by_channel: DataFrame, selected: DataFrame) -> DataFrame:
+    """D11, long: ventas, total and whole percent of every channel a selected SKU sells through."""
     keys = selected.select(normalize_sku("sku").alias("_key")).distinct()
     rows = by_channel.withColumn("sku", normalize_sku("sku"))
-    wide = (
-        rows.join(keys, rows["sku"] == keys["_key"], "left_semi")
-        .groupBy("sku")
-        .pivot("canal", channels)
-        .agg(F.sum("ventas"))
-        .fillna(0.0, channels)
-    )
-    total = sum((F.col(f"`{c}`") for c in channels), F.lit(0.0))
-    out = wide.withColumn("total", total)
-    share = {f"{c}_pct": half_up(ratio(F.col(f"`{c}`") * 100, F.col("total"), 0.0)) for c in channels}
-    return out.withColumns(share)
+    sums = rows.join(keys, rows["sku"] == keys["_key"], "left_semi").groupBy("sku", "canal").agg(F.sum("ventas").alias("ventas"))
+    total = F.sum("ventas").over(W.partitionBy("sku"))
+    return sums.withColumn("total", total).withColumn("pct", half_up(ratio(F.col("ventas") * 100, F.col("total"), 0.0)))
+
+
+def channel_mix(by_channel: DataFrame, selected: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """D11, wide: selected SKUs x channels with totals and whole percents, both over all channels.
+
+    ``channels`` lists the columns to show; without it they are the channels there are (an action).
+    """
+    shares = channel_shares(by_channel, selected)
+    if channels is None:
+        channels = sorted(r[0] for r in shares.select("canal").distinct().collect())
+    shown = {c: F.coalesce(F.max(F.when(F.col("canal") == c, F.col("ventas"))), F.lit(0.0)) for c in channels}
+    shown["total"] = F.max("total")
+    shown |= {f"{c}_pct": F.coalesce(F.max(F.when(F.col("canal") == c, F.col("pct"))), F.lit(0.0)) for c in channels}
+    return shares.groupBy("sku").agg(*[e.alias(c) for c, e in shown.items()])
 
 
 def top_clients(df: DataFrame, k: int = CLIENTS_SHOWN) -> DataFrame:

@@ -10,16 +10,11 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside
 from demand_engine.functions.moments import correlation_p_value, pair_sums, pearson
+from demand_engine.operators import features
 from demand_engine.operators.features import KEYS, feature_columns
 
 VIF_LIMIT = 10.0
-KEPT_AVERAGES = ("ma_2", "ma_13")
-
-# The name fragments that give a feature its role.
-PAST = ("lag_", "ma_", "volatilidad_", "trend_", "ratio_", "variabilidad_intra")
-FUTURE = ("empresa_", "canal_", "punto_", "trim_")
-TEMPORAL = ("mes", "trimestre", "dia_semana", "dia_anio", "num_semana_anio", "semana_sin", "semana_cos",
-            "semana_consecutivas")
+KEPT_SMOOTHED = ("ma_2", "ma_13")  # of the averages, the shortest and the quarterly one
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -41,7 +36,8 @@ def vif(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = columns or feature_columns(df)
     sums = pair_sums(df, names, centre=False).collect()  # k x k numbers
     rows = max((s["n"] for s in sums), default=0.0)
-    complete = [c for c in names if any(s["a"] == c and s["b"] == c and s["n"] == rows for s in sums)]
+    known = {s["a"] for s in sums if s["a"] == s["b"] and s["n"] == rows}
+    complete = [c for c in names if c in known]
     place = {c: i for i, c in enumerate(complete)}
     gram = np.zeros((len(complete), len(complete)))
     for s in sums:
@@ -88,36 +84,22 @@ def top_by(df: DataFrame, column: str, n: int, name: str = "feature") -> DataFra
     return df.orderBy(F.desc_nulls_last(column), name).limit(n)
 
 
-def _has(name: str, fragments: tuple[str, ...]) -> bool:
-    return any(f in name for f in fragments)
-
-
 def feature_roles(names: list[str]) -> dict[str, str]:
-    """Role of each feature by its name: the moving-average fragment also covers the weighted ones,
-    and the year-on-year ratio counts as a ratio."""
-    roles = {}
-    for c in names:
-        if _has(c, PAST):
-            roles[c] = "pasado"
-        elif _has(c, FUTURE):
-            roles[c] = "futuro"
-        elif _has(c, TEMPORAL):
-            roles[c] = "temporal"
-    return roles
+    """Roles of the features that have one, as declared beside the features."""
+    return {c: r for c in names if (r := features.role(c))}
 
 
 def feature_sets(names: list[str], problems: list[str]) -> dict[str, list[str]]:
-    """V5: Conservative = past features without most averages; Intermediate adds what is known of
-    the future; Aggressive is everything. All without the inflated ones."""
-    roles = feature_roles(names)
-    averages = [c for c in names if "ma_" in c and c not in KEPT_AVERAGES]
-    usable = [c for c in names if c not in problems]
-    past = [c for c in usable if roles.get(c) == "pasado" and c not in averages]
-    return {
-        "conservative": past,
-        "intermediate": past + [c for c in usable if roles.get(c) == "futuro"],
-        "aggressive": usable,
-    }
+    """V5: conservative (the past, two averages only), intermediate (and what is known ahead), aggressive (everything);
+    none has the inflated features."""
+    inflated = set(problems)
+    by_role: dict[str | None, list[str]] = {}
+    for c in names:
+        if c not in inflated:
+            by_role.setdefault(features.role(c), []).append(c)
+    past = [c for c in by_role.get(features.PAST_ROLE, []) if c not in features.SMOOTHED or c in KEPT_SMOOTHED]
+    ahead = by_role.get(features.AHEAD_ROLE, [])
+    return {"conservative": past, "intermediate": past + ahead, "aggressive": [c for c in names if c not in inflated]}
 
 
 def problem_features(factors: DataFrame, limit: float = VIF_LIMIT) -> list[str]:

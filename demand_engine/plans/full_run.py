@@ -108,13 +108,14 @@ def prepare(ledger: DataFrame, top: int = 20, run: Run | None = None) -> Run:
     return run
 
 
-def build_model_table(run: Run, one_hot=tuple(features.ONE_HOT)) -> Run:
-    """Feature table with one column per category of the ``one_hot`` columns, and its selection.
+def build_model_table(run: Run, one_hot: tuple[str, ...] = ("trimestre",)) -> Run:
+    """Feature table and its selection; ``indicators`` has the sparse form of all categories, however many.
 
-    Looks up the categories (an action); a column with very many is refused, leave it out then.
+    ``one_hot`` names the columns that also get a table column per category (an action looks them up).
     """
     dense = run.keep("weekly_dense", weekly.weekly_dense(run["weekly_demand"]))
     with_quarter = features.calendar_features(dense)
+    run.tables["indicators"] = features.one_hot_long(with_quarter)
     values = {c: features.categories(with_quarter, c) for c in one_hot}
     table = run.keep("features", features.build_features(dense, values))
     matrix, factors = run.keep("correlation", selection.correlation_matrix(table)), run.keep("vif", selection.vif(table))

@@ -13,15 +13,9 @@ from demand_engine.functions.expressions import rounded
 from demand_engine.operators import cleaning, demand_class, features, forecast, models
 from demand_engine.plans.registry import part, query, sql
 from demand_engine.plans.series_queries import brand_dense, brand_features, classes
+from demand_engine.session import keep_table
 
 NAIVE = ("lag_1", "ma_4", "ma_13")
-# One small combination per algorithm; the full grids are the operators' defaults.
-SMALL_GRID = {
-    "Ridge": models.RIDGE_GRID,
-    "XGBoost": {"n_estimators": [25, 50], "max_depth": [3], "learning_rate": [0.1]},
-    "RandomForest": {"n_estimators": [20], "max_depth": [5], "min_samples_split": [5, 8]},
-}
-
 part(
     "folds",
     ("features",),
@@ -83,9 +77,9 @@ def _round(df):
 
 
 def critical_features(spark, d) -> DataFrame:
-    """Feature rows of the SKUs of the first demand group, held for the model search."""
+    """Feature rows of the SKUs of the first demand group, written for the model search."""
     group = classes(spark, d).where(F.col("grupo") == demand_class.GROUP_1)
-    return cleaning.critical_only(brand_features(spark, d), group).persist()
+    return keep_table(cleaning.critical_only(brand_features(spark, d), group), "critical")
 
 
 @query("w1_usable_features", sql("""SELECT DISTINCT sku, unnest(['lag_1', 'lag_52', 'ma_4', 'yoy_ratio']) AS feature,
@@ -111,17 +105,7 @@ def _scores(spark, d, grid):
 
 @query("w3_ridge_grid")
 def w3_ridge_grid(spark, d):
-    return _round(_scores(spark, d, {"Ridge": SMALL_GRID["Ridge"]}))
-
-
-@query("w4_boosted_grid")
-def w4_boosted_grid(spark, d):
-    return _round(_scores(spark, d, {"XGBoost": SMALL_GRID["XGBoost"]}))
-
-
-@query("w5_forest_grid")
-def w5_forest_grid(spark, d):
-    return _round(_scores(spark, d, {"RandomForest": SMALL_GRID["RandomForest"]}))
+    return _round(_scores(spark, d, models.FULL_GRID))
 
 
 @query("w6_select_winner", sql(f"SELECT sku, algorithm, 0 AS candidate, {ROUNDED} FROM winners", "winners"))
@@ -251,7 +235,7 @@ def x6_forecast_pivot(spark, d):
 def _fitted(spark, d):
     df = critical_features(spark, d)
     columns = _model_columns(df)
-    _, winners = models.search(df, columns, SMALL_GRID)
+    _, winners = models.search(df, columns)
     return df, winners, columns
 
 

@@ -10,6 +10,7 @@ from demand_engine.plans.ledger_views import ORDER, clean_ledger
 from demand_engine.plans.model_queries import SHOWN, level_forecast
 from demand_engine.plans.registry import part, query, sql
 from demand_engine.plans.series_queries import brand_dense, brand_weeks
+from demand_engine.session import keep_table
 
 
 def up(x: str, digits: int = 0) -> str:
@@ -44,7 +45,23 @@ FROM (SELECT upper(sku) AS sku, COALESCE(SUM(ventas) FILTER (canal = 'Online'),
 def d11_channel_mix(spark, d):
     clean = clean_ledger(spark, d, parties=True)
     chosen = pareto.pareto_curve(cleaning.sales(clean)).where("in_80")
-    return rollups.channel_mix(rollups.channel_by_product(clean), chosen, ["Online", "Presencial"])
+    return rollups.channel_mix(keep_table(rollups.channel_by_product(clean)), chosen)
+
+
+@query(
+    "d11_channel_shares",
+    sql(
+        f"""SELECT sku, canal, ventas, total, {up('100 * ventas / total')} AS pct
+FROM (SELECT *, SUM(ventas) OVER (PARTITION BY sku) AS total FROM (
+        SELECT upper(sku) AS sku, canal, SUM(ventas) AS ventas FROM by_channel WHERE sku IN (SELECT sku FROM pareto WHERE in_80) GROUP BY ALL))""",
+        "by_channel",
+        "pareto",
+    ),
+)
+def d11_channel_shares(spark, d):
+    clean = clean_ledger(spark, d, parties=True)
+    chosen = pareto.pareto_curve(cleaning.sales(clean)).where("in_80")
+    return rollups.channel_shares(rollups.channel_by_product(clean), chosen)
 
 
 part(

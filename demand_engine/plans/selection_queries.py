@@ -8,11 +8,13 @@ from demand_engine.functions.expressions import rounded
 from demand_engine.operators import features, selection
 from demand_engine.plans.registry import query, sql
 from demand_engine.plans.series_queries import brand_features as lazy_features
+from demand_engine.session import keep_table
 
 
 def brand_features(spark, d):
-    """The feature table, held: means and moments are two passes over it."""
-    return lazy_features(spark, d).persist()
+    """The feature table, written once: means and moments are two passes over it."""
+    return keep_table(lazy_features(spark, d), "features")
+
 
 NAMES = sorted(
     (*features.IMPUTED, "mes", "trimestre", "dia_semana", "dia_anio", "num_semana_anio", "anomalia_binaria",

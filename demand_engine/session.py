@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that affect results (time zone) or let AQE split skewed joins and size partitions. Wide
 # feature plans print to megabytes, which the driver would rebuild after every stage: hence the limit.
@@ -41,3 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def keep_table(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` written below the shared folder and read back: computed once, its lineage cut, and no cache left behind."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,10 +9,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,12 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*canonical_headers(df.columns))
 
 
+def file_named(pattern: str) -> Column:
+    """What ``pattern`` finds in the path of a row's file; the path's escapes (of blanks and the like) are undone."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(path, pattern, 1)
+
+
 def separator(header: str) -> str:
     return ";" if ";" in header else ","
 
@@ -69,7 +76,7 @@ def _with_headers(files: DataFrame) -> DataFrame:
         for batch in batches:
             lines = []
             for p in batch["path"]:
-                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", p))
+                system, inner = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", p), safe=":/"))
                 with system.open_input_stream(inner) as stream:
                     start = b""
                     while b"\n" not in start and (more := stream.read(65536)):
@@ -90,7 +97,7 @@ def _read_layout(spark: SparkSession, header: str, paths: list[str]) -> DataFram
     kept = {n: i for i, n in reversed(list(enumerate(names))) if n in wanted}
     return raw.select(
         *[F.col(f"c{i}").alias(wanted[n]) for n, i in kept.items()],
-        F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+\.csv)(/part-[^/]*)?$", 1).alias("archivo"),
+        file_named(r"/([^/]+\.csv)(/part-[^/]*)?$").alias("archivo"),
     )
 
 
@@ -159,7 +166,7 @@ def validate_ingest(spark: SparkSession, path: str) -> DataFrame:
 
 def count_rows(spark: SparkSession, path: str) -> DataFrame:
     """Data rows per ledger file: its non-blank lines without the header."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", file_named("^(.*)$").alias("path"))
     per_part = lines.where(F.trim("value") != "").groupBy("path").agg((F.count("*") - 1).alias("rows"))
     name = F.regexp_extract("path", r"/([^/]+\.[cC][sS][vV])(/part-[^/]*)?$", 1)
     return per_part.groupBy(name.alias("filename")).agg(F.sum("rows").alias("rows"))

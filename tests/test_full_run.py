@@ -5,7 +5,7 @@ import pytest
 
 from demand_engine.plans import full_run
 
-GRID = {"Ridge": {"alpha": [1.0, 10.0]}, "RandomForest": {"n_estimators": [5], "max_depth": [3], "min_samples_split": [5]}}
+GRID = {"Ridge": {"alpha": [1.0, 10.0]}}
 
 
 def test_ledger_to_plan(ledger):

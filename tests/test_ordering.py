@@ -45,3 +45,16 @@ def test_no_task_holds_a_whole_hot_key(spark):
     df = spark.range(100000).select((F.exp(F.randn(5) * 2)).alias("v"))
     largest = df.groupBy(magnitude_bucket("v").alias("b")).count().agg(F.max("count")).first()[0]
     assert largest < 1000
+
+
+def test_equal_totals_are_dealt_to_many_tasks(spark):
+    items = spark.range(40000).select(F.format_string("s%05d", "id").alias("s"), F.lit(1.0).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranked_running_total(items, "v", "s")
+        sizes = out.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 1 and max(r["count"] for r in sizes) < 30000
+        wrong = out.where((F.col("rank") != F.substring("s", 2, 5).cast("int") + 1) | (F.col("running") != F.col("rank")))
+        assert wrong.count() == 0 and out.count() == 40000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

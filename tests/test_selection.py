@@ -98,7 +98,14 @@ def test_summary_counts(frame):
     table = df.withColumn("sku", F.lit("a"))
     matrix, factors = selection.correlation_matrix(table, NAMES), selection.vif(table, NAMES)
     row = selection.selection_summary(table, matrix, factors).first()
-    assert row["total_registros"] == 60 and row["total_features"] == 8 and row["n_pasado"] == 6
+    assert row["total_registros"] == 60 and row["total_features"] == 8 and row["n_pasado"] == 5  # trend_4 is no declared feature
     sets = selection.select_sets(table, factors)
     assert set(sets) == {"conservative", "intermediate", "aggressive"}
     assert all({"sku", "salida"} <= set(s.columns) for s in sets.values())
+
+
+def test_roles_do_not_depend_on_what_categories_are_called():
+    names = ["empresa_Alma_X", "canal_Gama_Alta", "punto_lag_1", "trim_2", "trend_vs_ma4", "ewma_4", "salida_total"]
+    roles = selection.feature_roles(names)
+    assert roles == {**dict.fromkeys(names[:4], "futuro"), "trend_vs_ma4": "pasado", "ewma_4": "pasado"}
+    assert selection.feature_sets(names, [])["intermediate"] == ["trend_vs_ma4", *names[:4]]

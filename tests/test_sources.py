@@ -67,3 +67,10 @@ def test_nested_report(spark):
     rows = {r["sku"]: r for r in tables.flatten_model_report(tables.report_rows(spark.createDataFrame([(json.dumps(doc),)], "value string"))).collect()}
     assert (rows["A"]["ganador"], rows["A"]["mape"], rows["A"]["r2_XGBoost"], rows["A"]["r2_RandomForest"]) == ("Ridge", None, 0.4, None)
     assert rows["B"]["ganador"] == "—"
+
+
+@pytest.mark.parametrize("name", ["Movimientos_2024 copia.csv", "Movimientos_100%.csv", "Movimientos_año+1.csv"])
+def test_file_names_of_any_kind(spark, tmp_path, name):
+    write(tmp_path, name, "Fecha;Código;Salida;Entrada\n2023-01-01;P001;3;0\n")
+    rows = ledger.read_movements(spark, str(tmp_path)).collect()
+    assert [(r["archivo"], r["sku"], r["salida"]) for r in rows] == [(name, "P001", 3.0)]

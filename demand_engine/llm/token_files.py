@@ -33,19 +33,60 @@ PAGE = 128 << 10
 PAGE_ROWS = 2000
 
 
-@lru_cache(maxsize=2)
-def tokenizer(vocabulary: bytes):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-    from tokenizers import Tokenizer
+# Letters that all Unicode versions know and that stay one letter in lower case, then nothing or other ASCII: there the
+# tokenizer starts anew, and no letter composes with what follows.
+LEAD = "^(?P<lead>[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{24F}]+)(?P<rest>(?:[!-@\\[-`{-~](?s:.*))?)$"
+CACHED = 300_000  # parts of words
+
+
+class Words:
+    """Ids of words by the tokenizers library; a worker keeps those of the parts it has seen, up to ``CACHED``."""
+
+    def __init__(self, vocabulary: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        from tokenizers import Tokenizer
+
+        self.made = Tokenizer.from_buffer(vocabulary)
+        self.made.encode_special_tokens = True
+        self.made.no_truncation()
+        self.made.no_padding()
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, parts: pa.StringArray) -> np.ndarray:
+        """Places of the parts in ``starts`` and ``sizes``."""
+        coded = parts.dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        new = [p for p in listed if p not in self.seen]
+        if new:
+            ids = [e.ids for e in self.made.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.array([len(i) for i in ids], np.int64)
+            starts = np.cumsum(sizes) - sizes + len(self.pool)
+            self.seen.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
+            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))])
+            self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        return np.array([self.seen[p] for p in listed], np.int64)[coded.indices.to_numpy()]
+
+    def ids(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and their counts."""
+        if len(self.seen) > CACHED:
+            self.clear()
+        split = pc.extract_regex(distinct, LEAD)
+        lead, rest = pc.coalesce(pc.struct_field(split, 0), distinct), pc.fill_null(pc.struct_field(split, 1), "")
+        parts = np.stack([self.find(lead), self.find(rest)], axis=1)
+        size = self.sizes[parts.ravel()]
+        return self.pool[ranges(self.starts[parts.ravel()], size)], size.reshape(-1, 2).sum(1)
+
 
-    made = Tokenizer.from_buffer(vocabulary)
-    made.encode_special_tokens = True
-    made.no_truncation()
-    made.no_padding()
-    return made
+@lru_cache(maxsize=2)
+def word_ids(vocabulary: bytes) -> Words:
+    return Words(vocabulary)
 
 
-def encode(texts: pa.Array, made, end: int) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, made: Words, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ids, each text with the end id behind. Distinct words are encoded once for all texts.
 
     Right for tokenizers that drop white space and let no token cross it, as those that split by words do.
@@ -53,19 +94,15 @@ def encode(texts: pa.Array, made, end: int) -> tuple[np.ndarray, np.ndarray]:
     offsets, flat = words(texts)
     flat = pc.if_else(pc.string_is_ascii(flat), pc.ascii_lower(flat), flat)  # the vocabulary has lower case only
     coded = flat.dictionary_encode()
-    found = made.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)
-    ids = [e.ids for e in found]
-    sizes = np.array([len(i) for i in ids], np.int64)
-    pool = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+    pool, sizes = made.ids(coded.dictionary)
     index = coded.indices.to_numpy().astype(np.int64)
     size = sizes[index]
     before = np.concatenate(([0], np.cumsum(size)))[offsets]
     rows = np.arange(len(offsets))
     out = np.full(int(before[-1]) + len(offsets) - 1, end, np.int32)
-    text_ids = pool[ranges((np.cumsum(sizes) - sizes)[index], size)]
     inside = np.ones(len(out), bool)
     inside[before[1:] + rows[:-1]] = False
-    out[inside] = text_ids
+    out[inside] = pool[ranges((np.cumsum(sizes) - sizes)[index], size)]
     return before + rows, out
 
 
@@ -76,7 +113,7 @@ def token_ids(spark: SparkSession, text: Column, path: str, end: int = 2) -> Col
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        made = tokenizer(vocabulary.value)
+        made = word_ids(vocabulary.value)
         for batch in batches:
             parts = [pa.array([], pa.list_(pa.int32()))]
             for a, b in slices(batch):

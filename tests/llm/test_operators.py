@@ -42,7 +42,7 @@ def lower(text):
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(5)
-    parts = ["ab", "C", " ", "  ", "\n", "\t", "'s", "é", "漢", "🙂", "12", ",", "!!", "　", "\x85", "x" * 40, "<|endoftext|>", "\x1c"]
+    parts = ["ab", "C", " ", "  ", "\n", "\t", "'s", "é", "漢", "🙂", "12", ",", "!!", "　", "\x85", "x" * 40, "<|endoftext|>", "\x1c", "İ", "Σ", "\u0301", "-"]
     some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(150)]
     return [None, "", " ", "a", "a b", "a b c", *some, some[3], some[3], LONG]
 

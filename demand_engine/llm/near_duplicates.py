@@ -9,6 +9,10 @@ Copies are folded into one row per fingerprint before the tables. Small buckets
 emitted); in large ones fingerprints meet at a common neighbour at one bit, as two within two bits share one, so the work
 grows with the members and not with their pairs. Components come from star contraction, checkpointed every round.
 
+A few changed words flip more than two bits of a whole text's fingerprint, so ``keep_one`` also takes fingerprints of parts:
+shingles are dealt to parts by hash, and an edited copy agrees with its original in some part exactly (radius 0, one
+table). Texts that do are compared by the Jaccard similarity of their five-word shingles, which decides.
+
 A null text has no word; texts without a word have fingerprint zero and are linked like any other. Repeated rows are kept
 as rows. A null doc_id has a null component unless a linked document has an id. Other columns are not read.
 """
@@ -16,6 +20,7 @@ as rows. A null doc_id has a null component unless a linked document has an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,16 @@ SEED = 42
 SMALL = 64  # members of a bucket that are compared pair by pair
 
 
+@dataclass(frozen=True)
+class Copies:
+    """What counts as an edited copy, and how its parts are printed."""
+
+    similarity: float = 0.8  # of the sets of word shingles
+    shingle: int = 5  # words
+    parts: int = 20  # of a text's shingles, by hash
+    least: int = 5  # shingles of a part that are printed, those of the smallest hashes
+
+
 def masks(radius: int = 2) -> list[int]:
     """One 64-bit mask for each table; position i has vector 1 + i mod (2^(radius+1) - 1)."""
     tables = (1 << (radius + 1)) - 1
@@ -41,41 +56,107 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles, text by text, and their number in each; words are lower-cased in A-Z.
+
+    Fewer words than ``size`` are one shingle, no word none.
+    """
+    offsets, flat = words(texts, lower=True)
+    data, ends = data_of(flat)
+    length = np.diff(ends)
+    spaced = np.full(len(data) + len(length), 32, np.uint8)  # every word followed by one space
+    starts = ends[:-1] + np.arange(len(length))
+    inside = np.ones(len(spaced), bool)
+    inside[starts + length] = False
+    spaced[inside] = data
+    text_bytes, stops = spaced.tobytes(), starts + length
+    count = np.diff(offsets)
+    n = np.where(count == 0, 0, np.maximum(count - size + 1, 1))
+    first = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    last = np.minimum(first + size, np.repeat(offsets[1:], n)) - 1
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(text_bytes[i:j], SEED) for i, j in zip(starts[first].tolist(), stops[last].tolist())), np.uint64, len(first))
+    return hashes, n
+
+
+def majority(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each run of ``n`` hashes: the bits that more than half of them have; zero for an empty run."""
+    some = np.nonzero(n)[0]
+    ones = np.zeros((len(n), BITS), np.int64)
+    if len(some):
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[some] = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
+
+
 def fingerprint(text: Column, shingle: int = 3) -> Column:
-    """SimHash of the texts' word shingles as a bigint; words are lower-cased in A-Z, fewer words are one shingle."""
+    """SimHash of the texts' word shingles, repeats included, as a bigint."""
 
     @F.arrow_udf("bigint")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            out = []
-            for a, b in slices(batch, 1 << 20):
-                offsets, flat = words(batch.slice(a, b - a), lower=True)
-                data, ends = data_of(flat)
-                size = np.diff(ends)
-                spaced = np.full(len(data) + len(size), 32, np.uint8)  # every word followed by one space
-                starts = ends[:-1] + np.arange(len(size))
-                inside = np.ones(len(spaced), bool)
-                inside[starts + size] = False
-                spaced[inside] = data
-                text_bytes, stops = spaced.tobytes(), starts + size
-                count = np.diff(offsets)
-                n = np.where(count == 0, 0, np.maximum(count - shingle + 1, 1))
-                first = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                last = np.minimum(first + shingle, np.repeat(offsets[1:], n)) - 1
-                hashes = np.fromiter((digest(text_bytes[i:j], SEED) for i, j in zip(starts[first].tolist(), stops[last].tolist())), np.uint64, len(first))
-                some = np.nonzero(n)[0]
-                ones = np.zeros((len(n), BITS), np.int64)
-                if len(some):
-                    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones[some] = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
-                majority = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little")
-                out.append(majority.view("<i8").ravel())
+            out = [majority(*shingles(batch.slice(a, b - a), shingle)) for a, b in slices(batch, 1 << 20)]
             yield pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))
 
     return run(text)
 
 
+def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles in ascending order, text by text, and the text of each."""
+    hashes, n = shingles(texts, size)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], owner[new]
+
+
+def part_prints(text: Column, copies: Copies) -> Column:
+    """Array of a SimHash for each part that has a shingle, mixed with the part's number."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = [pa.array([], pa.list_(pa.int64()))]
+            for a, b in slices(batch, 1 << 20):
+                hashes, owner = distinct_shingles(batch.slice(a, b - a), copies.shingle)
+                group = owner * copies.parts + (hashes % np.uint64(copies.parts)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                hashes, group = hashes[order], group[order]
+                found, at, n = np.unique(group, return_index=True, return_counts=True)
+                least = np.arange(len(group)) - np.repeat(at, n) < copies.least
+                prints = majority(hashes[least], np.minimum(n, copies.least))
+                keys = prints ^ ((found % copies.parts + 1) * 0x1E3779B97F4A7C15)
+                offsets = np.searchsorted(found, np.arange(b - a + 1) * copies.parts)
+                out.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys)))
+            yield pa.concat_arrays(out)
+
+    return run(text)
+
+
+def likeness(a: Column, b: Column, shingle: int) -> Column:
+    """Jaccard similarity of the sets of word shingles of two texts; 0 where both are empty."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            out = []
+            for x, y in slices(left, 1 << 20):
+                one, own = distinct_shingles(left.slice(x, y - x), shingle)
+                two, other = distinct_shingles(right.slice(x, y - x), shingle)
+                sizes = np.bincount(own, minlength=y - x) + np.bincount(other, minlength=y - x)
+                both, owner = np.concatenate([one, two]), np.concatenate([own, other])
+                order = np.lexsort((both, owner))
+                both, owner = both[order], owner[order]
+                same = (both[1:] == both[:-1]) & (owner[1:] == owner[:-1])
+                common = np.bincount(owner[1:][same], minlength=y - x)
+                out.append(common / np.maximum(sizes - common, 1))
+            yield pa.array(np.concatenate([*out, np.zeros(0)]))
+
+    return run(a, b)
+
+
 def links(prints: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints (column ``fp``) that connect all within ``radius`` of each other.
 
@@ -122,12 +203,43 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Prints (doc_id, h, fp), h a hash of the text, and per fingerprint the least (id, h) of its component."""
+def copy_links(docs: DataFrame, folded: DataFrame, copies: Copies) -> DataFrame:
+    """Pairs (a, b), a < b, of fingerprints whose first texts are as similar as ``copies`` asks.
+
+    Texts that agree in a part's print form a group. Each is compared, on whole texts, with the member that agrees with
+    most others in all parts (the original of a family of copies), so comparisons grow with the members of a group.
+    """
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"), "text").where(F.col("text").isNotNull())
+    firsts = folded.select("fp", F.col("least.doc_id").alias("id"), F.col("least.h").alias("first_h"))
+    here = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("first_h"))
+    texts = rows.join(firsts, here).dropDuplicates(["fp"]).select("fp", "text")
+    members = keep_table(texts.select("fp", F.explode(part_prints(F.col("text"), copies)).alias("part")), "parts")
+    sizes = members.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = members.join(sizes, "part")
+    weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))
+    weighed = shared.select("part", "fp").join(weight, "fp")
+    hubs = weighed.groupBy("part").agg(F.max(F.struct("weight", "fp")).alias("hub")).select("part", F.col("hub.fp").alias("hub"))
+    pairs = shared.select("part", "fp").join(hubs, "part").where(F.col("fp") != F.col("hub"))
+    pairs = keep_table(pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "pairs")
+    named = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = keep_table(texts.join(named, "fp"), "texts")
+    first, second = wanted.select(F.col("fp").alias("a"), F.col("text").alias("one")), wanted.select(F.col("fp").alias("b"), F.col("text").alias("two"))
+    judged = pairs.join(first, "a").join(second, "b").select("a", "b", likeness(F.col("one"), F.col("two"), copies.shingle).alias("likeness"))
+    return judged.where(F.col("likeness") >= copies.similarity).select("a", "b")
+
+
+def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, copies: Copies | None = None) -> tuple[DataFrame, DataFrame]:
+    """Prints (doc_id, h, fp), h a hash of the text, and per fingerprint the least (id, h) of its component.
+
+    With ``copies`` edited copies beyond the radius are linked, too.
+    """
     prints = keep_table(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
     folded = prints.groupBy("fp").agg(F.min(row).alias("least"))
-    roots = components(links(folded.select("fp"), radius))
+    edges = links(folded.select("fp"), radius)
+    if copies is not None:
+        edges = edges.unionByName(copy_links(docs, folded, copies))
+    roots = components(edges)
     merged = folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = merged.groupBy("root").agg(F.min("least").alias("first"))
     return prints, merged.join(ids, "root").select(F.col("fp").alias("key"), "first")
@@ -140,12 +252,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, copies: Copies | None = Copies()) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id (null ids come last).
 
-    Of rows that repeat an id the one with the smallest hash of its text stays, of rows that repeat id and text one.
+    Components are those of the fingerprints, joined by the links of edited copies. Of rows that repeat an id the one with
+    the smallest hash of its text stays, of rows that repeat id and text one.
     """
-    prints, labels = classes(docs, shingle, radius)
+    prints, labels = classes(docs, shingle, radius, copies)
     best = labels.select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"))
     kept = rows.join(best, rows["row_id"].eqNullSafe(best["id"]) & (rows["row_h"] == best["h"]), "left_semi")

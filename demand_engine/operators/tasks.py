@@ -40,11 +40,18 @@ def _with_ids(operators: Column, week: Column) -> Column:
     return F.transform(operators, fill)
 
 
+def _latest(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """The last row of each key by ``time`` (null comes first; ties: the larger row as JSON)."""
+    values = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*values), F.struct(time, F.to_json(F.struct(*values))))
+    return df.groupBy(*keys).agg(last.alias("_l")).select(*keys, "_l.*")
+
+
 def merge_assignments(current: DataFrame, updates: DataFrame) -> DataFrame:
     """Upsert by week. A new version replaces start, targets and operators; progress and
-    creation time stay. ``updates`` holds one row per week, with the time of the change in
-    ``updated_at``."""
-    c, u = current.alias("c"), updates.alias("u")
+    creation time stay. ``updates`` has the time of the change in ``updated_at``; of several rows of a
+    week the last one counts."""
+    c, u = current.alias("c"), _latest(updates, ["semana"], "updated_at").alias("u")
     new = F.col("u.semana").isNotNull()
 
     def pick(name: str, value: Column) -> Column:
@@ -65,13 +72,14 @@ def merge_assignments(current: DataFrame, updates: DataFrame) -> DataFrame:
 
 def latest_progress(updates: DataFrame) -> DataFrame:
     """The last report per (week, operator)."""
-    values = [c for c in updates.columns if c not in ("semana", "operario_id")]
-    last = F.max_by(F.struct(*values), "updated")
-    return updates.groupBy("semana", "operario_id").agg(last.alias("_l")).select("semana", "operario_id", "_l.*")
+    return _latest(updates, ["semana", "operario_id"], "updated")
 
 
 def merge_progress(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(assignments with the latest progress, rejected updates of unknown weeks)."""
+    """(assignments with the latest progress, rejected updates of unknown weeks).
+
+    A stored entry that is newer than the update stays.
+    """
     known = updates.join(current.select("semana"), "semana", "left_semi")
     rejected = updates.join(current.select("semana"), "semana", "left_anti")
     entry = F.struct("operario_id", F.struct(
@@ -83,11 +91,13 @@ def merge_progress(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, D
         F.map_from_entries(F.collect_list(entry)).alias("_new"), F.max("updated").alias("_at")
     )
     old = F.coalesce("progreso", F.create_map().cast(f"map<string,{PROGRESS}>"))
-    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(F.col("_new"), k))
+    newer = lambda k, v: F.coalesce(v["updated"] > F.col("_new")[k]["updated"], F.lit(False))
+    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(F.col("_new"), k) | newer(k, v))
+    fresh = F.map_filter("_new", lambda k, v: ~F.map_contains_key(kept, k))
     merged = current.join(new, "semana", "left").withColumns(
         {
-            "progreso": F.when(F.col("_new").isNull(), old).otherwise(F.map_concat(kept, "_new")),
-            "updated_at": F.coalesce("_at", "updated_at"),
+            "progreso": F.when(F.col("_new").isNull(), old).otherwise(F.map_concat(kept, fresh)),
+            "updated_at": F.greatest("_at", "updated_at"),
         }
     )
     return merged.drop("_new", "_at"), rejected

@@ -42,7 +42,7 @@ def movements(
     names: bool = False,
 ) -> DataFrame:
     """``sku``: 'brand' (few, dense SKUs) or 'item' (many, sparse). ``parties`` adds channel, client
-    and point of sale, ``names`` the description. ``with_balance`` adds the running stock."""
+    and point of sale, ``names`` the description."""
     line = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part")
     flag, status, qty = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_quantity")

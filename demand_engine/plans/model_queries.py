@@ -108,6 +108,31 @@ def w3_ridge_grid(spark, d):
     return _round(_scores(spark, d, models.FULL_GRID))
 
 
+TWO = ("lag_1", "ma_4")
+# Ridge on two columns in closed form: the centred sums of the training rows and a 2 x 2 system for each penalty.
+part(
+    "ridge_two",
+    ("folds",),
+    f"""
+SELECT sku, candidate, fold, week_start, y, ym + w1 * (x1 - m1) + w2 * (x2 - m2) AS yhat
+FROM (SELECT sku, fold, week_start, salida AS y, COALESCE(lag_1, 0.0) AS x1, COALESCE(ma_4, 0.0) AS x2 FROM folds WHERE NOT is_train)
+JOIN (
+  SELECT *, (s1y * (s22 + alpha) - s2y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w1,
+    (s2y * (s11 + alpha) - s1y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w2
+  FROM (
+    SELECT sku, fold, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS ym, COUNT(*) * var_pop(x1) AS s11, COUNT(*) * var_pop(x2) AS s22,
+      COUNT(*) * covar_pop(x1, x2) AS s12, COUNT(*) * covar_pop(x1, y) AS s1y, COUNT(*) * covar_pop(x2, y) AS s2y
+    FROM (SELECT sku, fold, salida AS y, COALESCE(lag_1, 0.0) AS x1, COALESCE(ma_4, 0.0) AS x2 FROM folds WHERE is_train) GROUP BY ALL),
+    (VALUES {", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(models.RIDGE_GRID["alpha"]))}) t(candidate, alpha)) USING (sku, fold)""",
+)
+
+
+@query("w3_ridge_two_features", sql("SELECT sku, candidate, fold, week_start, round(yhat, 4) + 0.0 AS yhat FROM ridge_two", "ridge_two"))
+def w3_ridge_two_features(spark, d):
+    found = models.cross_validate(brand_features(spark, d), list(TWO))
+    return found.select("sku", "candidate", "fold", "week_start", (F.round("yhat", 4) + 0.0).alias("yhat"))
+
+
 @query("w6_select_winner", sql(f"SELECT sku, algorithm, 0 AS candidate, {ROUNDED} FROM winners", "winners"))
 def w6_select_winner(spark, d):
     return _round(models.select_winner(naive_best(spark, d), NAIVE))

@@ -62,6 +62,24 @@ def v3_vif(spark, d):
     return rounded(selection.vif(brand_features(spark, d)), 4, "vif")
 
 
+THREE = ("lag_1", "ma_4", "volatilidad_4")
+
+
+@query(
+    "v3_vif_three_features",
+    sql(
+        """SELECT feature, round(vif, 4) AS vif FROM (SELECT unnest([{'feature': 'lag_1', 'vif': aa * (bb * cc - bc * bc) / det}, {'feature': 'ma_4', 'vif': bb * (aa * cc - ac * ac) / det},
+  {'feature': 'volatilidad_4', 'vif': cc * (aa * bb - ab * ab) / det}], recursive := true)
+FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM (
+  SELECT SUM(a * a) AS aa, SUM(b * b) AS bb, SUM(c * c) AS cc, SUM(a * b) AS ab, SUM(a * c) AS ac, SUM(b * c) AS bc
+  FROM (SELECT lag_1 AS a, ma_4 AS b, volatilidad_4 AS c FROM features))))""",
+        "features",
+    ),
+)
+def v3_vif_three_features(spark, d):
+    return rounded(selection.vif(brand_features(spark, d), list(THREE)), 4, "vif")
+
+
 TARGET = _matrix_sql([(c, "salida") for c in NAMES])
 
 

@@ -33,8 +33,8 @@ part(
     "active",
     ("work", "week_target"),
     """
-SELECT CAST(w.fecha_inicio AS VARCHAR) AS semana, w.fecha_inicio, operario AS operario_id, sku, asignado AS meta, avance
-FROM work w JOIN week_target t USING (fecha_inicio, sku)""",
+SELECT CAST(s.fecha_inicio AS VARCHAR) AS semana, s.operario AS operario_id, sku, COALESCE(w.asignado, 0.0) AS meta, COALESCE(w.avance, 0.0) AS avance
+FROM (SELECT DISTINCT fecha_inicio, operario FROM work) s LEFT JOIN week_target t USING (fecha_inicio) LEFT JOIN work w USING (fecha_inicio, operario, sku)""",
 )
 
 
@@ -176,28 +176,25 @@ PCT = "CASE WHEN SUM(meta) > 0 THEN floor(SUM(avance) * 100 / SUM(meta) + 0.5) E
 part(
     "rollup_rows",
     ("active",),
-    f"SELECT semana, operario_id, SUM(meta) AS meta, SUM(avance) AS avance, {PCT} AS pct FROM active GROUP BY ALL HAVING SUM(meta) > 0 OR SUM(avance) > 0",
+    f"SELECT semana, operario_id, SUM(meta) AS meta, SUM(avance) AS avance, {PCT} AS pct FROM active GROUP BY semana, operario_id",
 )
 
 
 @query("z5_progress_rollup", sql("SELECT * FROM rollup_rows", "rollup_rows"))
 def z5_progress_rollup(spark, d):
-    return tasks.progress_rollup(tracked(spark, d)).where("meta > 0 or avance > 0")
+    return tasks.progress_rollup(tracked(spark, d))
 
 
 @query(
     "z5_progress_by_sku",
     sql(
         """SELECT semana, operario_id, sku, meta, avance,
-  least(100.0, CASE WHEN meta > 0 THEN floor(avance * 100 / meta + 0.5) ELSE 0.0 END) AS pct FROM active""",
+  least(100.0, CASE WHEN meta > 0 THEN floor(avance * 100 / meta + 0.5) ELSE 0.0 END) AS pct FROM active WHERE sku IS NOT NULL""",
         "active",
     ),
 )
 def z5_progress_by_sku(spark, d):
-    # Operators without any line of the SKU in that week show zeros; SQL starts from the lines.
-    rows = tasks.progress_by_sku(tracked(spark, d))
-    lines = work(spark, d).select(F.col("fecha_inicio").cast("string").alias("semana"), F.col("operario").alias("operario_id"), "sku")
-    return rows.join(lines, ["semana", "operario_id", "sku"], "left_semi")
+    return tasks.progress_by_sku(tracked(spark, d))
 
 
 @query(
@@ -209,7 +206,7 @@ def z5_progress_by_sku(spark, d):
     ),
 )
 def z6_progress_status(spark, d):
-    rows = tasks.progress_rollup(tracked(spark, d)).where("meta > 0 or avance > 0")
+    rows = tasks.progress_rollup(tracked(spark, d))
     return rows.select("semana", "operario_id", "pct", tasks.progress_status("pct").alias("estado"))
 
 

@@ -46,6 +46,22 @@ def test_latest_progress_wins_and_unknown_weeks_are_rejected(spark, stored):
     assert [r["semana"] for r in rejected.collect()] == ["2030-01-01"]
 
 
+def test_the_last_version_of_a_week_counts(spark, stored):
+    new = spark.createDataFrame(
+        [("2024-01-01", dt.date(2024, 1, 3), {"A": 30.0}, [], None, None, T2), ("2024-01-01", dt.date(2024, 1, 2), {"A": 20.0}, [], None, None, T1),
+         ("2024-01-01", dt.date(2024, 1, 4), {"A": 40.0}, [], None, None, None)], tasks.ASSIGNMENTS)
+    row = tasks.merge_assignments(stored, new).collect()
+    assert [(r["fecha_inicio"], r["metas_sku"], r["updated_at"]) for r in row] == [(dt.date(2024, 1, 3), {"A": 30.0}, T2)]
+
+
+def test_an_older_report_does_not_replace_a_newer_entry(spark, stored):
+    first = spark.createDataFrame([("2024-01-01", "o1", {"A": 9.0}, "new", T2)], tasks.UPDATES)
+    merged, _ = tasks.merge_progress(stored, first)
+    late = spark.createDataFrame([("2024-01-01", "o1", {"A": 5.0}, "old", T1), ("2024-01-01", "o2", {"A": 1.0}, "", T1)], tasks.UPDATES)
+    row = tasks.merge_progress(merged, late)[0].first()
+    assert {k: v["notas"] for k, v in row["progreso"].items()} == {"o1": "new", "o2": ""} and row["updated_at"] == T2
+
+
 def test_rollup_status_and_over_assignment(stored):
     rows = {r["operario_id"]: (r["meta"], r["avance"], r["pct"]) for r in tasks.progress_rollup(stored).collect()}
     assert rows == {"o1": (6.0, 3.0, 50.0), "o2": (6.0, 0.0, 0.0)}

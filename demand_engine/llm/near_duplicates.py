@@ -209,11 +209,7 @@ def copy_links(docs: DataFrame, folded: DataFrame, copies: Copies) -> DataFrame:
     Texts that agree in a part's print form a group. Each is compared, on whole texts, with the member that agrees with
     most others in all parts (the original of a family of copies), so comparisons grow with the members of a group.
     """
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"), "text").where(F.col("text").isNotNull())
-    firsts = folded.select("fp", F.col("least.doc_id").alias("id"), F.col("least.h").alias("first_h"))
-    here = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("first_h"))
-    texts = rows.join(firsts, here).dropDuplicates(["fp"]).select("fp", "text")
-    members = keep_table(texts.select("fp", F.explode(part_prints(F.col("text"), copies)).alias("part")), "parts")
+    members = keep_table(folded.select("fp", F.explode("least.parts").alias("part")), "parts")
     sizes = members.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = members.join(sizes, "part")
     weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))
@@ -222,7 +218,11 @@ def copy_links(docs: DataFrame, folded: DataFrame, copies: Copies) -> DataFrame:
     pairs = shared.select("part", "fp").join(hubs, "part").where(F.col("fp") != F.col("hub"))
     pairs = keep_table(pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "pairs")
     named = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = keep_table(texts.join(named, "fp"), "texts")
+    # the few texts to compare are picked before texts are joined
+    chosen = folded.select("fp", F.col("least.doc_id").alias("id"), F.col("least.h").alias("first_h")).join(named, "fp")
+    rows = docs.select(F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"), "text")
+    here = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("first_h"))
+    wanted = keep_table(rows.join(chosen, here).dropDuplicates(["fp"]).select("fp", "text"), "texts")
     first, second = wanted.select(F.col("fp").alias("a"), F.col("text").alias("one")), wanted.select(F.col("fp").alias("b"), F.col("text").alias("two"))
     judged = pairs.join(first, "a").join(second, "b").select("a", "b", likeness(F.col("one"), F.col("two"), copies.shingle).alias("likeness"))
     return judged.where(F.col("likeness") >= copies.similarity).select("a", "b")
@@ -233,12 +233,14 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, copies: Copies |
 
     With ``copies`` edited copies beyond the radius are linked, too.
     """
-    prints = keep_table(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
+    parts = [part_prints(F.col("text"), copies).alias("parts")] if copies is not None else []
+    prints = keep_table(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint(F.col("text"), shingle).alias("fp"), *parts), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", *(["parts"] if parts else []))
     folded = prints.groupBy("fp").agg(F.min(row).alias("least"))
     edges = links(folded.select("fp"), radius)
     if copies is not None:
         edges = edges.unionByName(copy_links(docs, folded, copies))
+        folded = folded.withColumn("least", F.col("least").dropFields("parts"))
     roots = components(edges)
     merged = folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = merged.groupBy("root").agg(F.min("least").alias("first"))

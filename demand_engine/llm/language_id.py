@@ -25,6 +25,7 @@ from demand_engine.llm.text import slices
 
 UNKNOWN = "und"
 SPACE = 32
+SLICE = 256 << 10  # bytes of text worked on at once; arrays of all n-grams take about 100 times that
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ def grams(texts: list[str | None], s: Settings) -> Grams:
 
 
 def by_slice(batch: pa.Array, s: Settings) -> Iterator[Grams]:
-    for a, b in slices(batch, 1 << 20):
+    for a, b in slices(batch, SLICE):
         yield grams(batch.slice(a, b - a).to_pylist(), s)
 
 

@@ -32,6 +32,7 @@ from demand_engine.llm.text import data_of, keep_table, slices, words
 
 BITS = 64
 SEED = 42
+SLICE = 256 << 10  # bytes of text worked on at once
 SMALL = 64  # members of a bucket that are compared pair by pair
 
 
@@ -95,7 +96,7 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     @F.arrow_udf("bigint")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = [majority(*shingles(batch.slice(a, b - a), shingle)) for a, b in slices(batch, 1 << 20)]
+            out = [majority(*shingles(batch.slice(a, b - a), shingle)) for a, b in slices(batch, SLICE)]
             yield pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))
 
     return run(text)
@@ -119,7 +120,7 @@ def part_prints(text: Column, copies: Copies) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = [pa.array([], pa.list_(pa.int64()))]
-            for a, b in slices(batch, 1 << 20):
+            for a, b in slices(batch, SLICE):
                 hashes, owner = distinct_shingles(batch.slice(a, b - a), copies.shingle)
                 group = owner * copies.parts + (hashes % np.uint64(copies.parts)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
@@ -142,7 +143,7 @@ def likeness(a: Column, b: Column, shingle: int) -> Column:
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             out = []
-            for x, y in slices(left, 1 << 20):
+            for x, y in slices(left, SLICE):
                 one, own = distinct_shingles(left.slice(x, y - x), shingle)
                 two, other = distinct_shingles(right.slice(x, y - x), shingle)
                 sizes = np.bincount(own, minlength=y - x) + np.bincount(other, minlength=y - x)

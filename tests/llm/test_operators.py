@@ -201,6 +201,28 @@ def test_edited_copies_are_one_component_and_others_stay(spark):
     assert len(near_duplicates.keep_one(docs, copies=None).collect()) >= len(kept)
 
 
+def test_a_family_without_a_central_text_is_linked_like_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, values = [word() for _ in range(200)], [word() for _ in range(8)]
+    slots = rng.sample(range(200), 8)
+    texts = []
+    for _ in range(250):
+        w = list(base)
+        for i in slots:
+            w[i] = rng.choice(values)
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets, prints, root = [shingle_set(t) for t in texts], [print_of(t) for t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        linked = 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 2
+        if root[a] != root[b] and linked:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    assert sorted(r["doc_id"] for r in near_duplicates.keep_one(docs).collect()) == sorted(set(root))
+
+
 def test_likeness_is_that_of_shingle_sets(spark):
     rng = random.Random(3)
     text = lambda: " ".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))

@@ -29,7 +29,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"), whole=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

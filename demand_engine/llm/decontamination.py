@@ -10,6 +10,11 @@ A document is contaminated by an item if consistent alignments cover ``min_token
 of them where that is less. Windows with fewer than half plain words are no evidence, and items (or documents) of fewer
 tokens than a window cannot match. Null texts have no tokens. Rows that agree in id and text are one document.
 
+``whole_matches``, which the pipeline's stage uses, goes further. Each text gives two streams of windows: one with names
+and one without, so a copy is found whatever its case. Windows whose slots have equal values are verbatim and always count. The
+others count if half of their alignment's slot pairs or more are a one-to-one map, so values that coincide or a slot that
+breaks the map lose nothing. Operator 4 itself keeps to its SQL: one stream, and all pairs of an alignment consistent.
+
 The benchmark's windows are broadcast in parts of at most ``PART`` rows, so a part has a proven size at any benchmark size.
 """
 
@@ -94,6 +99,66 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens:
     return sums.where(F.col("covered") >= F.least(F.lit(float(min_tokens)), F.col("n_item") * min_share))
 
 
+def typed(text: Column, names: bool) -> Column:
+    """Template of a text; without ``names`` it does not depend on the case."""
+    named = F.lower(F.regexp_replace(text, NAMES, NAME) if names else text)
+    numbered = F.regexp_replace(named, NUMBERS, NUMBER)
+    return F.regexp_replace(numbered, f"{NUMBER}( ?)(?:{UNITS})\\b", f"{NUMBER}$1{UNIT}")
+
+
+def window_hashes(tokens: Column, df: DataFrame, name: str, window: int) -> DataFrame:
+    """Adds ``name``, the hashes of all windows of ``window`` tokens (a power of two), by doubling."""
+    df, width = df.withColumn(name, F.transform(tokens, lambda t: F.xxhash64(t))), 1
+    while width < window:
+        left = F.greatest(F.size(name) - width, F.lit(0))
+        df = df.withColumn(name, F.zip_with(F.slice(name, F.lit(1), left), F.slice(name, F.lit(width + 1), left), lambda a, b: F.xxhash64(a, b)))
+        width *= 2
+    return df
+
+
+def whole_item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, n_item, at, hash, slots) as ``item_windows`` gives, of both streams."""
+    found = None
+    for names in (True, False):
+        items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+        items = items.withColumn("tokens", split_tokens(typed(F.col("text"), names))).withColumn("plain", split_tokens(F.col("text")))
+        rows = window_hashes(F.col("tokens"), items, "hashes", window).select("item_id", F.size("tokens").alias("n_item"), "tokens", "plain", F.posexplode("hashes").alias("at", "hash"))
+        part, plain = F.slice("tokens", F.col("at") + 1, window), F.slice("plain", F.col("at") + 1, window)
+        marked = F.zip_with(part, F.transform(plain, lambda v, i: F.struct(i.alias("offset"), F.lower(v).alias("value"))), lambda t, v: F.when(is_slot(t), v))
+        rows = rows.withColumn("slots", F.filter(marked, lambda x: x.isNotNull()))
+        rows = rows.where(F.size("slots") * 2 <= window).select("item_id", "n_item", "at", "hash", "slots")
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()  # windows without a name are in both
+
+
+def whole_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, min_share: float = 0.75) -> DataFrame:
+    """(id, h, item_id, covered, n_item) as ``matches`` gives, by both streams, with verbatim windows always counted."""
+    wanted = whole_item_windows(benchmark, window)
+    n_parts = 1 + wanted.count() // PART
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
+    for name, names in (("named", True), ("literal", False)):
+        rows = window_hashes(split_tokens(typed(F.col("text"), names)), rows, name, window)
+    rows = rows.withColumn("plain", split_tokens(F.col("text")))
+    both = F.zip_with("named", "literal", lambda a, b: F.array_distinct(F.array(a, b)))
+    rows = rows.select("id", "h", "plain", F.posexplode_outer(both).alias("pos", "both")).select("id", "h", "plain", "pos", F.explode_outer("both").alias("hash"))
+    found = None
+    for k in range(n_parts):
+        part = wanted.where(F.pmod(F.col("hash"), F.lit(n_parts)) == k) if n_parts > 1 else wanted
+        got = rows.join(F.broadcast(part), "hash")
+        found = got if found is None else found.unionByName(got)
+    slots = F.transform("slots", lambda s: F.struct(s["value"].alias("item"), F.lower(F.element_at("plain", F.col("pos") + s["offset"] + 1)).alias("doc")))
+    found = found.select("id", "h", "item_id", "n_item", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("slots"))
+    verbatim = F.forall("slots", lambda s: s["item"] == s["doc"])
+    lines = found.groupBy("id", "h", "item_id", "n_item", "shift").agg(
+        F.collect_set("at").alias("at"), F.collect_set(F.when(verbatim, F.col("at"))).alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    distinct = lambda field: F.size(F.array_distinct(F.transform("slots", lambda s: s[field])))
+    counted = F.when(2 * F.least(distinct("item"), distinct("doc")) >= F.size("slots"), F.col("at")).otherwise(F.col("verbatim"))
+    covered = lines.select("id", "h", "item_id", "n_item", F.explode(counted).alias("at")).distinct()
+    token = covered.select("id", "h", "item_id", "n_item", F.explode(F.sequence("at", F.col("at") + (window - 1))).alias("token")).distinct()
+    sums = token.groupBy("id", "h", "item_id", "n_item").agg(F.count("*").alias("covered"))
+    return sums.where(F.col("covered") >= F.least(F.lit(float(min_tokens)), F.col("n_item") * min_share))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """doc_id, n_items (contaminating it) and contaminated, for every document."""
     found = matches(docs, benchmark, **settings).groupBy("id", "h").agg(F.count("*").alias("n_items"))
@@ -103,9 +168,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFram
     return joined.select("doc_id", n.alias("n_items"), (n > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents, with all their columns, that no item contaminates."""
-    found = matches(docs, benchmark, **settings).select("id", "h").distinct()
+def keep_clean(docs: DataFrame, benchmark: DataFrame, whole: bool = False, **settings) -> DataFrame:
+    """The documents, with all their columns, that no item contaminates, by ``matches`` or ``whole_matches``."""
+    found = (whole_matches if whole else matches)(docs, benchmark, **settings).select("id", "h").distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"))
     return rows.join(found, rows["row_id"].eqNullSafe(found["id"]) & (rows["row_h"] == found["h"]), "left_anti").select("row.*")
 

@@ -394,6 +394,20 @@ def test_templates_catch_questions_with_other_values(spark, text, caught):
     assert kept.columns == docs.columns and kept.count() == (1 if caught else 3)
 
 
+@pytest.mark.parametrize("item, text, caught", [
+    (ITEM, ITEM.replace("12 apples to", "13 apples to"), True),  # one slot broken, all else verbatim
+    (ITEM, ITEM.replace("12", "4").replace("7", "4"), True),  # values that coincide
+    (ITEM, " ".join(ITEM.split()[:9]) + " something else entirely follows here", False),
+    (ITEM, "Bob sells 9 plums or 8 figs in a shop and later sells 9 plums for his brother after running 3 km away", False),
+    (ITEM, "12 7 12 5 km 12 7 12 5 km 12 7 12 5 km", False), (ITEM, None, False), (ITEM, "", False),
+])
+def test_the_pipeline_catches_copies_of_any_layout_and_value(spark, item, text, caught):
+    docs = spark.createDataFrame([(1, text, 3), (2, "a clean text of its own with more than eight words in it", 3)], "doc_id long, text string, at int")
+    benchmark = spark.createDataFrame([(0, item), (1, None)], "item_id long, text string")
+    kept = decontamination.keep_clean(docs, benchmark, whole=True)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == ([2] if caught else [1, 2])
+
+
 def test_a_benchmark_in_several_parts_gives_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"prefix {ITEM if i % 2 else 'nothing of it'} suffix") for i in range(6)], "doc_id long, text string")
     benchmark = spark.createDataFrame([(0, ITEM)], "item_id long, text string")

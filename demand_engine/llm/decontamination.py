@@ -10,8 +10,9 @@ A document is contaminated by an item if consistent alignments cover ``min_token
 of them where that is less. Windows with fewer than half plain words are no evidence, and items (or documents) of fewer
 tokens than a window cannot match. Null texts have no tokens. Rows that agree in id and text are one document.
 
-``whole_matches``, which the pipeline's stage uses, goes further. Each text gives two streams of windows: one with names
-and one without, so a copy is found whatever its case. Windows whose slots have equal values are verbatim and always count. The
+``whole_matches``, which the pipeline's stage uses, goes further. Each text gives two streams of windows: one with every
+capitalised word as a name, wherever it stands (but for common words that open sentences), and one with no names at all, so
+a copy is found whatever its case and white space. Windows whose slots have equal values are verbatim and always count. The
 others count if half of their alignment's slot pairs or more are a one-to-one map, so values that coincide or a slot that
 breaks the map lose nothing. Operator 4 itself keeps to its SQL: one stream, and all pairs of an alignment consistent.
 
@@ -30,6 +31,9 @@ NAMES = "\\p{Lu}(?<=[\\p{Ll},;] \\p{Lu})\\p{L}+"
 NUMBERS = "[0-9]+(?:[.,:/][0-9]+)*"
 # Units of length, mass, volume, time, money and data.
 UNITS = "km|m|cm|mm|mi|miles|mile|feet|foot|ft|inches|inch|kg|g|mg|lb|lbs|pounds|l|ml|litres|liters|hours|hour|h|minutes|minute|min|seconds|second|s|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|percent|kb|mb|gb|tb"
+# Words that open sentences, in the languages of the tables; capitalised they are no names.
+OPENERS = "A|An|And|As|At|But|By|Does|Do|Each|Every|Find|For|From|He|Her|His|How|If|In|Is|It|Its|Of|On|One|She|So|Some|That|The|Their|Then|There|These|They|This|To|We|What|When|Where|Which|Who|Why|With|You|Das|Der|Die|Ein|Eine|Er|Es|Im|Sie|Und|Wie|Wir|Ce|Cette|Elle|Et|Il|La|Le|Les|Un|Une|El|En|Las|Los|Una"
+ANY_NAME = f"(?<![\\p{{L}}\\p{{N}}])(?!(?:{OPENERS})(?!\\p{{L}}))\\p{{Lu}}\\p{{L}}+"
 DROPPED = "[^\\p{L}\\p{N}\\x01-\\x03\\x09-\\x0D ]+"
 
 
@@ -100,10 +104,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens:
 
 
 def typed(text: Column, names: bool) -> Column:
-    """Template of a text; without ``names`` it does not depend on the case."""
-    named = F.lower(F.regexp_replace(text, NAMES, NAME) if names else text)
+    """Template of a text that does not depend on where its words stand; without ``names`` also not on its case."""
+    named = F.lower(F.regexp_replace(text, ANY_NAME, NAME) if names else text)
     numbered = F.regexp_replace(named, NUMBERS, NUMBER)
-    return F.regexp_replace(numbered, f"{NUMBER}( ?)(?:{UNITS})\\b", f"{NUMBER}$1{UNIT}")
+    return F.regexp_replace(numbered, f"{NUMBER}([\\x09-\\x0D ]*)(?:{UNITS})\\b", f"{NUMBER}$1{UNIT}")
 
 
 def window_hashes(tokens: Column, df: DataFrame, name: str, window: int) -> DataFrame:

@@ -394,9 +394,16 @@ def test_templates_catch_questions_with_other_values(spark, text, caught):
     assert kept.columns == docs.columns and kept.count() == (1 if caught else 3)
 
 
+TOM = "Tom has 3 apples and 2 green pears. Tom eats 1 ripe apple today. Then Mary buys 4 more pears. Mary gives 1 to him"
+
+
 @pytest.mark.parametrize("item, text, caught", [
     (ITEM, ITEM.replace("12 apples to", "13 apples to"), True),  # one slot broken, all else verbatim
     (ITEM, ITEM.replace("12", "4").replace("7", "4"), True),  # values that coincide
+    (TOM, TOM.replace("Tom", "Ivan").replace("Mary", "Olga"), True),  # names that open sentences
+    (TOM, TOM.replace("3", "7").replace("Tom", "Ivan").replace("Mary", "Olga").replace("4", "7"), True),
+    (ITEM, ITEM.lower(), True), (ITEM, ITEM.upper(), True), (ITEM, ITEM.title(), True), (TOM, TOM.lower().replace("3", "8"), True),
+    (TOM, TOM.replace(" ", "  ").replace("  Mary", "\nMary"), True),
     (ITEM, " ".join(ITEM.split()[:9]) + " something else entirely follows here", False),
     (ITEM, "Bob sells 9 plums or 8 figs in a shop and later sells 9 plums for his brother after running 3 km away", False),
     (ITEM, "12 7 12 5 km 12 7 12 5 km 12 7 12 5 km", False), (ITEM, None, False), (ITEM, "", False),

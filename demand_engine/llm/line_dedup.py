@@ -5,15 +5,33 @@ Windows are hashed; of all windows with the same hash the one of the smallest (d
 first, and the lines covered by any later one go. Only ids, positions and hashes are shuffled for that; the joined sides
 are split by Spark where a passage is common.
 
+``without_repeats``, which the pipeline's stage uses, also removes passages of ``PASSAGE`` words or more that lie on fewer
+lines or begin and end inside lines; white space doesn't matter to them. Of the hashes of ``GRAM`` words in a row the least
+of every ``PASSAGE - GRAM + 1`` neighbours is picked, so two texts that share a passage pick an equal one in it. Texts are
+laid beside the first text with the same pick, and what is equal around it, word by word, is the passage. Where parts of
+it come from several texts, every ``GRAM`` words of it have been seen before. ``dedup_lines`` keeps to lines, as its SQL.
+
 Null texts stay null, texts of fewer lines stay whole. Null ids come first. Rows that agree in id and text are one
 document read twice: they are treated alike.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demand_engine.llm.text import keep_table, slices, words
+
+PASSAGE = 50  # words of a repeated passage that is removed, at least
+GRAM = 32  # words that are hashed together, a power of two
+SLICE = 256 << 10  # bytes of text worked on at once
+WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 BLANK = "^[\\x09-\\x0D\\x20]*$"
 
 
@@ -59,9 +77,135 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     return dedup(docs, size).select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, text by text, and the offsets of the texts."""
+    offsets, flat = words(texts)
+    coded = pa.array(flat).dictionary_encode()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return known[coded.indices.to_numpy(zero_copy_only=False)], offsets
+
+
+def picks(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the picked runs of ``GRAM`` words of one text."""
+    if len(hashes) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    g, width = hashes, 1
+    while width < GRAM:
+        left, right = g[:-width], g[width:]
+        g = (left ^ (left >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        width *= 2
+    g = (g ^ (g >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    n = PASSAGE - GRAM + 1
+    least = np.lib.stride_tricks.sliding_window_view(g, n).min(1)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(least, n - 1), n).max(1)
+    at = np.nonzero(g == around)[0]
+    return at, g[at]
+
+
+def picked(text: Column) -> Column:
+    @F.arrow_udf("array<struct<pos: bigint, g: bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = [pa.array([], pa.list_(pa.struct([("pos", pa.int64()), ("g", pa.int64())])))]
+            for a, b in slices(batch, SLICE):
+                hashes, offsets = word_hashes(batch.slice(a, b - a))
+                found = [picks(hashes[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+                ends = np.cumsum([0, *(len(at) for at, _ in found)]).astype(np.int32)
+                at, g = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(at), pa.array(g.view(np.int64))], ["pos", "g"])))
+            yield pa.concat_arrays(out)
+
+    return run(text)
+
+
+def equal_runs(text: Column, first: Column, shifts: Column) -> Column:
+    """Ranges (a, b) of the words of ``text`` that ``first`` has, ``shift`` words before; of ``GRAM`` words or more."""
+
+    @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, firsts, moved in batches:
+            out = []
+            for k in range(len(texts)):
+                one, two, found = word_hashes(texts.slice(k, 1))[0], word_hashes(firsts.slice(k, 1))[0], []
+                for shift in moved[k].as_py():
+                    low, high = max(0, shift), min(len(one), len(two) + shift)
+                    same = np.concatenate([[False], one[low:high] == two[low - shift: high - shift], [False]])
+                    a, b = np.nonzero(same[1:] & ~same[:-1])[0], np.nonzero(same[:-1] & ~same[1:])[0]
+                    found += [{"a": low + int(x), "b": low + int(y)} for x, y in zip(a, b) if y - x >= GRAM]
+                out.append(found)
+            yield pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    return run(text, first, shifts)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(id, h, spans): ranges of words seen before, for the documents that have some."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
+    found = keep_table(texts.select("id", "h", F.explode(picked(F.col("text"))).alias("x")).select("id", "h", "x.*"), "picks")
+    place = F.struct("id", "h", "pos")
+    firsts = found.groupBy("g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
+    later = found.join(firsts.select("g", "first"), "g").where(~place.eqNullSafe(F.col("first")))
+    shift = F.col("pos") - F.col("first.pos")
+    pairs = later.groupBy("id", "h", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")).agg(F.collect_set(shift).alias("shifts"))
+    pairs = keep_table(pairs, "pairs")
+    one, two = texts.toDF("one_id", "one_h", "one"), texts.toDF("two_id", "two_h", "two")
+    beside = pairs.join(one, pairs["id"].eqNullSafe(one["one_id"]) & (pairs["h"] == one["one_h"]))
+    beside = beside.join(two, beside["first_id"].eqNullSafe(two["two_id"]) & (beside["first_h"] == two["two_h"]))
+    runs = beside.select("id", "h", equal_runs(F.col("one"), F.col("two"), F.col("shifts")).alias("runs"))
+    return runs.where(F.size("runs") > 0).groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("runs")))).alias("spans"))
+
+
+def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    """Spans in order, joined where every ``GRAM`` words across are in one of them; those of a passage's length."""
+    out: list[list[int]] = []
+    for x in spans:
+        if out and x["a"] <= out[-1][1] - GRAM + 1:
+            out[-1][1] = max(out[-1][1], x["b"])
+        else:
+            out.append([x["a"], x["b"]])
+    return [(a, b) for a, b in out if b - a >= PASSAGE]
+
+
+def without_spans(text: str, gone: list[int], spans: list[dict]) -> str:
+    """``text`` without the lines ``gone`` and the passages of ``spans``; a line of which nothing is left goes, too."""
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    cuts, dropped, kept, at = [(starts[a], starts[b]) for a, b in merged(spans)], set(gone), [], 0
+    for n, line in enumerate(text.split("\n")):
+        left, place = "", at
+        for a, b in cuts:
+            if a < at + len(line) and b > at:
+                left += text[place: max(place, a)]
+                place = max(place, min(b, at + len(line)))
+        left += text[place: at + len(line)]
+        if n not in dropped and (left == line or WORD.search(left)):
+            kept.append(left)
+        at += len(line) + 1
+    return "\n".join(kept)
+
+
+def cut(text: Column, gone: Column, spans: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lines, ranges in batches:
+            yield pa.array([None if x is None else without_spans(x, lines[k].as_py(), ranges[k].as_py()) for k, x in enumerate(texts.to_pylist())], pa.string())
+
+    return run(text, gone, spans)
+
+
 def without_repeats(docs: DataFrame, size: int = 3) -> DataFrame:
     """The documents with their repeated passages removed (and n_chars set anew); those of which nothing is left go."""
-    out = dedup(docs, size).where((F.col("n_removed") == 0) | ~F.col("kept_text").rlike(BLANK))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"))
+    gone, spans = covered(docs, size), passages(docs).toDF("span_id", "span_h", "spans")
+    marked = rows.join(gone, rows["row_id"].eqNullSafe(gone["id"]) & (rows["row_h"] == gone["h"]), "left")
+    marked = marked.join(spans, marked["row_id"].eqNullSafe(spans["span_id"]) & (marked["row_h"] == spans["span_h"]), "left")
+    lines = F.array_join(F.filter(F.split(F.col("row.text"), "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    whole = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(lines)
+    # only texts with spans go to Python
+    asked = F.when(F.col("spans").isNotNull(), F.col("row.text"))
+    by_word = cut(asked, F.coalesce("gone", F.array().cast("array<int>")), F.coalesce("spans", F.array().cast("array<struct<a: bigint, b: bigint>>")))
+    out = marked.select("row", "gone", "spans", whole.alias("whole"), by_word.alias("by_word"))
+    out = out.withColumn("kept_text", F.when(F.col("spans").isNull(), F.col("whole")).otherwise(F.col("by_word")))
+    out = out.where((F.col("row.text").isNull()) | (F.col("kept_text") == F.col("row.text")) | ~F.col("kept_text").rlike(BLANK))
     columns = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*[columns[c].alias(c) if c in columns else F.col("row")[c].alias(c) for c in docs.columns])
 

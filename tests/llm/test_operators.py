@@ -260,6 +260,26 @@ def test_later_occurrences_of_line_windows_go(spark):
             assert i not in left
 
 
+def test_later_occurrences_of_long_passages_inside_lines_go(spark):
+    rng = random.Random(14)
+    some = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts, kept = [], []
+    for n in (50, 51, 60, 200, 900, 49, 30):
+        passage, sides = some(n), [some(20) for _ in range(4)]
+        texts += [f"{sides[0]} {passage} {sides[1]}", f"{sides[2]} {passage} {sides[3]}"]
+        kept += [texts[-2], f"{sides[2]} {sides[3]}" if n >= 50 else texts[-1]]
+    wrapped, sides = some(70).split(), [some(9) for _ in range(3)]
+    texts += [sides[0] + "\n" + " ".join(wrapped), sides[1] + " " + "\n".join([" ".join(wrapped[:33]), " ".join(wrapped[33:])]) + " " + sides[2], " ".join(wrapped)]
+    kept += [texts[-3], sides[1] + " \n" + sides[2], None]  # set in other lines; and nothing else
+    inside = some(55)
+    texts += [f"{sides[0]} x {inside} y {inside} z"]  # twice in one text
+    kept += [f"{sides[0]} x {inside} y z"]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    got = rows_of(line_dedup.without_repeats(docs))
+    assert [got[i]["text"] if i in got else None for i in range(len(texts))] == kept
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def counts_of(text):
     w = WORDS.findall(text or "")
     windows = Counter(zip(w, w[1:], w[2:]))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from demand_engine.llm import (
     byte_bpe,
     chat_format,
+    collocations,
     decontamination,
     language_id,
     line_dedup,
@@ -85,3 +86,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = collocations.ORACLE

@@ -5,10 +5,11 @@ between two overlapping nodes and weighs its occurrences. Only edges are counted
 from the flow: a node occurs as often as the edges that leave it weigh, plus the pieces that end in it, and in the same
 way pairs get their counts from nodes and words from pairs.
 
-A phrase can't be frequent if one of its words is not, so pieces are cut at rare words first (such a cut is a piece end
-like any other, and the flow stays exact). Which words are frequent is known to the tasks by a bitmap of fixed size
-(``BITS``), set at the hashes of the frequent words: words that collide with one are merely not cut at. Slices of text count
-their distinct edges by whole numbers and send them as words, so no count depends on a hash.
+A phrase can't be frequent if one of its words, or of its pairs of neighbours, is not, so pieces are cut at rare words and
+within rare pairs first (such a cut is a piece end like any other, and the flow stays exact). Words are therefore counted
+before the graph, and pairs by 32-bit hashes. What is frequent is known to the tasks by two bitmaps of fixed size (``BITS``), set
+at the hashes of frequent words and pairs: what collides with one is merely not cut at, so no result depends on a hash.
+Slices of text count their distinct edges by whole numbers and send them as words.
 
 Unary paths of the frequent graph (a node with one edge in and one out, of equal weight) are compacted by pointer
 doubling into long phrases of one weight; they say which shorter candidates lie inside an edge of what weight.
@@ -34,6 +35,9 @@ from demand_engine.llm.text import data_of, keep_table, ranges, slices, words
 
 LONGEST = 4  # words of an edge
 BITS = 27  # the bitmap of frequent words has 2^27 bits, 16 MB, at every size of the corpus
+PART = 23  # pair hashes are counted in 2^(32 - 23) parts
+PAIRS = 8_000_000  # pairs of words that a task counts before it sends them
+SEED = 42  # of Spark's xxhash64
 CHUNK = 1024  # edges of a compacted path in one row
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
@@ -55,7 +59,8 @@ class Pieces:
     codes: np.ndarray
     piece: np.ndarray
     langs: pa.Array  # of the codes
-    keys: np.ndarray  # of the codes
+    words: pa.Array
+    keys: np.ndarray
     flat: pa.Array
 
 
@@ -74,8 +79,11 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def hashes(dictionary: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(dictionary))
+def keys_of(langs: pa.Array, lang_of: np.ndarray, words_: pa.Array, word_of: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64(lang, word)`` of each pair of language and word."""
+    seeds = [xxhash.xxh64_intdigest(lang, SEED) for lang in langs.cast(pa.binary()).to_pylist()]
+    plain, digest = words_.cast(pa.binary()).to_pylist(), xxhash.xxh64_intdigest
+    return np.fromiter((digest(plain[w], seeds[x]) for x, w in zip(lang_of.tolist(), word_of.tolist())), np.uint64, len(word_of))
 
 
 def pieces(texts: pa.Array, langs: pa.Array) -> Pieces:
@@ -94,11 +102,12 @@ def pieces(texts: pa.Array, langs: pa.Array) -> Pieces:
     pair = lang.indices.to_numpy()[text].astype(np.int64) * max(1, len(word.dictionary)) + word.indices.to_numpy()
     found, codes = np.unique(pair, return_inverse=True)
     lang_of, word_of = np.divmod(found, max(1, len(word.dictionary)))
-    return Pieces(codes, piece, lang.dictionary.take(pa.array(lang_of)), mixed(hashes(lang.dictionary)[lang_of], hashes(word.dictionary)[word_of]), flat)
+    return Pieces(codes, piece, lang.dictionary.take(pa.array(lang_of)), word.dictionary.take(pa.array(word_of)),
+                  keys_of(lang.dictionary, lang_of, word.dictionary, word_of), flat)
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each word's key; the row without a key has all words of the language."""
+    """Occurrences of each word; the row without a word has all words of the language."""
     for batch in batches:
         texts, langs = batch.columns
         for a, b in slices(texts):
@@ -108,47 +117,123 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(p.codes, minlength=len(p.keys))
             coded = p.langs.dictionary_encode()
             whole = np.bincount(coded.indices.to_numpy(), weights=n, minlength=len(coded.dictionary)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([p.langs, coded.dictionary]),
-                                              pa.concat_arrays([pa.array(p.keys.view(np.int64)), pa.nulls(len(whole), pa.int64())]),
-                                              pa.array(np.concatenate([n, whole]))], ["lang", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([p.langs, coded.dictionary]), pa.concat_arrays([p.words, pa.nulls(len(whole), pa.string())]),
+                                              pa.array(np.concatenate([n, whole]))], ["lang", "word", "n"])
 
 
 def frequent_words(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, key, n) of the words with ``least`` occurrences, and (lang, null, n) for all words of a language."""
-    counted = docs.select("text", "lang").mapInArrow(word_counts, "lang string, key bigint, n bigint")
-    total = counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return keep_table(total.where((F.col("n") >= least) | F.col("key").isNull()), "words")
+    """(lang, word, n) of the words with ``least`` occurrences, and (lang, null, n) for all words of a language."""
+    counted = docs.select("text", "lang").mapInArrow(word_counts, "lang string, word string, n bigint")
+    total = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return keep_table(total.where((F.col("n") >= least) | F.col("word").isNull()), "words")
 
 
-def bitmap(frequent: DataFrame) -> np.ndarray:
+def word_bits(frequent: DataFrame) -> np.ndarray:
     """2^BITS bits as bytes. The driver gets 4 KB for each part of the bitmap that has a bit set, 16 MB at most."""
-    place = F.shiftrightunsigned("key", 64 - BITS) + 1
-    parts = (frequent.where("key is not null").select(place.alias("place"))
+    place = F.shiftrightunsigned(F.xxhash64("lang", "word"), 64 - BITS) + 1
+    parts = (frequent.where("word is not null").select(place.alias("place"))
              .groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")))
+    return joined_bits(parts, 4096)
+
+
+def joined_bits(parts: DataFrame, width: int) -> np.ndarray:
     out = np.zeros(1 << (BITS - 3), np.uint8)
     for row in parts.toLocalIterator():
-        bits = np.frombuffer(row["bits"], np.uint8)
-        out[(row["part"] - 1) * 4096:][: len(bits)] = bits
+        out[(row["part"] - 1) * width: row["part"] * width] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
+def has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def known_words(p: Pieces, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the frequent words, and which of them follow the one before without a gap in the same piece."""
+    at = np.nonzero(has(bits, (p.keys >> np.uint64(64 - BITS)).astype(np.int64))[p.codes])[0]
+    follows = np.zeros(len(at), bool)
+    follows[1:] = (np.diff(at) == 1) & (np.diff(p.piece[at]) == 0)
+    return at, follows
+
+
+def pair_places(p: Pieces, at: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """32-bit hash of the pair of words that ends at each of ``at[second]``."""
+    key = p.keys[p.codes[at]]
+    return (mixed(key[second - 1], key[second]) >> np.uint64(32)).astype(np.uint32)
+
+
+def pair_counts(bits: np.ndarray, least: int):
+    """How often each pair hash occurs, sorted and packed by its upper bits; counts stop at ``least``, which is all that is asked."""
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        value, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint32)]), return_counts=True)
+        low = (value & np.uint32((1 << PART) - 1)).astype(np.uint32)
+        cuts = np.searchsorted(value >> np.uint32(PART), np.arange((1 << (32 - PART)) + 1))
+        rows = np.nonzero(np.diff(cuts))[0]
+        n = np.minimum(n, min(least, 65535)).astype(np.uint16)
+        return pa.RecordBatch.from_arrays([pa.array((rows + 1).astype(np.int32)), pa.array([low[cuts[k]: cuts[k + 1]].tobytes() for k in rows], pa.binary()),
+                                           pa.array([n[cuts[k]: cuts[k + 1]].tobytes() for k in rows], pa.binary())], ["part", "pairs", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for batch in batches:
+            texts, langs = batch.columns
+            for a, b in slices(texts):
+                p = pieces(texts.slice(a, b - a), langs.slice(a, b - a))
+                at, follows = known_words(p, bits)
+                found.append(pair_places(p, at, np.nonzero(follows)[0]))
+                size += len(found[-1])
+                if size > PAIRS:
+                    yield packed(found)
+                    found, size = [], 0
+        if size:
+            yield packed(found)
+
+    return run
+
+
+def summed_pairs(least: int):
+    """Adds up one part of the pair hashes, batch by batch; a bit is set if one of its 32 hashes has ``least`` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(1 << PART, np.uint32), None
+        for batch in batches:
+            part = batch["part"][0]
+            for pairs, n in zip(batch["pairs"], batch["n"]):
+                low = np.frombuffer(pairs.as_buffer(), np.uint32)
+                total[low] = np.minimum(total[low] + np.frombuffer(n.as_buffer(), np.uint16), 1 << 30)
+        bits = np.packbits((total >= min(least, 65535)).reshape(-1, 1 << (32 - BITS)).any(1), bitorder="little")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+    return run
+
+
+def pair_bits(docs: DataFrame, bits: np.ndarray, least: int) -> np.ndarray:
+    """The bitmap of frequent pairs, of the size of that of words; the driver gets its 16 MB in parts."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    packed = docs.select("text", "lang").mapInArrow(lambda b: pair_counts(sent.value, least)(b), "part int, pairs binary, n binary")
+    parts = keep_table(packed.groupBy("part").applyInArrow(summed_pairs(least), "part int, bits binary"), "pairs")
+    return joined_bits(parts, 1 << (PART + BITS - 32 - 3))
+
+
 def numbered(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
     """A number for each distinct pair of numbers, below the count of pairs."""
     return np.unique(left * size + right, return_inverse=True)[1]
 
 
-def edges_of(bits: np.ndarray):
+def edges_of(word_map: np.ndarray, pair_map: np.ndarray):
     """Edges and piece ends of the slices: language, node (the first words), the word after it (null: an end), size of the node, weight."""
 
     def rows(p: Pieces) -> Iterator[pa.RecordBatch]:
-        place = (p.keys >> np.uint64(64 - BITS)).astype(np.int64)
-        known = ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)[p.codes]
-        at = np.nonzero(known)[0]
+        at, follows = known_words(p, word_map)
+        second = np.nonzero(follows)[0]
+        rare = ~has(pair_map, (pair_places(p, at, second) >> np.uint32(32 - BITS)).astype(np.int64))
+        follows[second[rare]] = False
+        within = follows.copy()  # words alone in their run say nothing
+        within[:-1] |= follows[1:]
+        at, follows = at[within], follows[within]
         if not len(at):
             return
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(at) > 1) | (np.diff(p.piece[at]) > 0)
-        begin = np.nonzero(new)[0]
+        begin = np.nonzero(~follows)[0]
         length = np.diff(np.append(begin, len(at)))
         left = np.repeat(begin + length, length) - np.arange(len(at))  # words up to the end of the run, the word itself included
         data, offsets = data_of(p.flat)
@@ -159,7 +244,7 @@ def edges_of(bits: np.ndarray):
             grown = np.zeros(len(at), np.int64)
             grown[inside] = numbered(number[-1][inside], code[k:][inside[: len(at) - k]], len(p.keys) + 1)
             number.append(grown)
-        for k in range(1, LONGEST + 1):
+        for k in range(2, LONGEST + 1):
             where = np.nonzero(left >= k if k == LONGEST else left == k)[0]
             if not len(where):
                 continue
@@ -208,20 +293,21 @@ def flow(counted: DataFrame, size: int, least: int) -> DataFrame:
     return (counted.select("lang", "n", F.explode(out).alias("p")).groupBy("lang", "p.phrase", "p.size").agg(F.sum("n").alias("n")))
 
 
-def frequent_phrases(docs: DataFrame, bits: np.ndarray, s: Settings) -> DataFrame:
+def frequent_phrases(docs: DataFrame, frequent: DataFrame, s: Settings) -> DataFrame:
     """(lang, phrase, size, n) of all phrases of up to LONGEST words with ``s.least`` occurrences."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bits)
-    found = docs.select("text", "lang").mapInArrow(lambda b: edges_of(sent.value)(b), "lang string, node string, after string, size int, n bigint")
+    word_map = word_bits(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((word_map, pair_bits(docs, word_map, s.least)))
+    found = docs.select("text", "lang").mapInArrow(lambda b: edges_of(*sent.value)(b), "lang string, node string, after string, size int, n bigint")
     # one exchange by node serves the edges and the flow out of the node
     edges = found.repartition("lang", "node").groupBy("lang", "node", "size", "after").agg(F.sum("n").alias("n"))
     both = F.when(F.col("after").isNotNull() & (F.col("n") >= s.least), F.array(F.col("after"), F.lit(None).cast("string"))).otherwise(
         F.array(F.lit(None).cast("string")))
     nodes = edges.select("lang", "node", "size", "n", F.explode(both).alias("after")).groupBy("lang", "node", "size", "after").agg(F.sum("n").alias("n"))
     counted = nodes.select("lang", F.concat_ws(" ", "node", "after").alias("phrase"), (F.col("size") + F.col("after").isNotNull().cast("int")).alias("size"), "n")
-    for size in range(LONGEST - 1, 1, -1):
+    for size in range(LONGEST - 1, 2, -1):
         counted = flow(counted, size, s.least)
-    return keep_table(counted.where(F.col("n") >= s.least), "phrases")
+    single = frequent.where("word is not null").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
+    return keep_table(counted.where(F.col("n") >= s.least).unionByName(single), "phrases")
 
 
 def without_first(phrase: str) -> Column:
@@ -293,12 +379,12 @@ def scored(frequent: DataFrame, scale: int) -> DataFrame:
 def mine(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The columns of ``MINED``: the first ``s.top`` phrases of each language by score, count and phrase."""
     counted = frequent_words(docs, s.least)
-    frequent = frequent_phrases(docs, bitmap(counted), s)
+    frequent = frequent_phrases(docs, counted, s)
     kept = scored(frequent, s.scale).join(covered(frequent), ["lang", "phrase"], "left").where(
         F.col("longest").isNull() | (F.lit(100) * F.col("longest") < F.lit(s.inside) * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= s.top)
-    every = counted.where("key is null").select("lang", "n")
+    every = counted.where("word is null").select("lang", "n")
     return ranked.join(every, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

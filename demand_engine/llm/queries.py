@@ -12,7 +12,9 @@ from demand_engine.llm import (
     chat_format,
     collocations,
     decontamination,
+    hard_negatives,
     language_id,
+    license_scan,
     line_dedup,
     lm_score,
     near_duplicates,
@@ -94,3 +96,16 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_collocations"] = collocations.ORACLE
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_hard_negatives"] = hard_negatives.ORACLE
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))

@@ -277,21 +277,21 @@ mpl-2 | mozilla public | this source code form is subject to the terms of the mo
 mpl-1.1 | mozilla public | the contents of this file are subject to the mozilla public license version 1 1
 epl-1 | accompanying program | the accompanying program is provided under the terms of this eclipse public license
 cddl-1 | common development | the contents of this file are subject to the terms of the common development and distribution license
-zlib | freely subject | permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
+zlib | redistribute it freely | permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
 zlib | origin of this software | the origin of this software must not be misrepresented
-libpng | libpng | the png reference library is supplied as is
+libpng | png reference | the png reference library is supplied as is
 boost-1 | accompanying documentation | obtaining a copy of the software and accompanying documentation covered by this license
 unlicense | released into the public domain | this is free and unencumbered software released into the public domain
 wtfpl | what the | do what the f\S* you want to public license
 beerware | beer | you can buy me a beer in return
 cc0 | affirmer | affirmer hereby overtly fully permanently irrevocably and unconditionally waives
 cc0 | waived all copyright | waived all copyright and related or neighboring rights
-cc-by | attribution | you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by | appropriate credit | you must give appropriate credit provide a link to the license and indicate if changes were made
 cc-by-nc | commercial purposes | you may not use the material for commercial purposes
 cc-by-nd | modified material | if you remix transform or build upon the material you may not distribute the modified material
 cc-by-sa | contributions under | you must distribute your contributions under the same license as the original
 ofl-1.1 | reserved font name | no modified version of the font software may use the reserved font name
-artistic-1 | standard version | the intent of this document is to state the conditions under which a package may be copied
+artistic-1 | under which a package | the intent of this document is to state the conditions under which a package may be copied
 openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
 ssleay | cryptographic software | this product includes cryptographic software written by eric young
 postgresql | without a written agreement | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
@@ -299,12 +299,12 @@ x11 | x consortium | except as contained in this notice the name of the x consor
 ncsa | deal with the software | to deal with the software without restriction
 json | good not evil | the software shall be used for good not evil
 ijg | independent jpeg group | this software is based in part on the work of the independent jpeg group
-ntp | ntp | permission to use copy modify and distribute this software and its documentation for any purpose with or without fee
+ntp | with or without fee | permission to use copy modify and distribute this software and its documentation for any purpose with or without fee
 php-3 | php | this product includes php software
 psf-2 | psf | psf hereby grants licensee a nonexclusive royalty free world wide license
 vim | vim | there are no restrictions on distributing unmodified copies of vim
 elastic-2 | hosted or managed service | you may not provide the software to third parties as a hosted or managed service
-commons-clause | commons clause | the license does not include and the license does not grant to you the right to sell the software
+commons-clause | right to sell | the license does not include and the license does not grant to you the right to sell the software
 busl-1.1 | production use | use of the licensed work (?:\S+ ){0,12}production use
 sspl-1 | service source code | you must make the service source code available via network download
 gfdl | invariant sections | with no invariant sections no front cover texts and no back cover texts
@@ -332,14 +332,14 @@ lgpl | library general | (?:gnu )?library general public licen[cs]e
 gpl | general public licen | (?:gnu )?general public licen[cs]e
 gpl | gnu gpl | gnu gpl
 gfdl | free documentation | (?:gnu )?free documentation licen[cs]e
-bsd | bsd licen | bsd (?:style )?licen[cs]e
+bsd | bsd | bsd (?:style )?licen[cs]e
 isc | isc licen | isc licen[cs]e
 mpl | mozilla public | mozilla public licen[cs]e
 epl | eclipse public | eclipse public licen[cs]e
 edl-1 | eclipse distribution | eclipse distribution licen[cs]e
 eupl | european union public | european union public licen[cs]e
 artistic | artistic licen | artistic licen[cs]e
-zlib | zlib licen | zlib(?: libpng)? licen[cs]e
+zlib | zlib | zlib(?: libpng)? licen[cs]e
 libpng | libpng licen | libpng licen[cs]e
 unlicense | the unlicense | the unlicense
 wtfpl | wtfpl | wtfpl
@@ -348,7 +348,7 @@ cecill | cecill | cecill(?: [bc])?(?: licen[cs]e)?
 vim | vim licen | vim licen[cs]e
 ruby | ruby licen | ruby licen[cs]e
 php | php licen | php licen[cs]e
-perl | perl itself | (?:under )?the same terms as perl(?: \d)? itself
+perl | the same terms as perl | (?:under )?the same terms as perl(?: \d)? itself
 psf | python licen | python licen[cs]e
 openssl | openssl licen | openssl licen[cs]e
 postgresql | postgresql licen | postgresql licen[cs]e

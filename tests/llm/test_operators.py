@@ -83,7 +83,6 @@ def test_very_long_pieces_take_the_same_merges():
 
 def test_token_files_equal_the_library(spark, docs, texts):
     made = Tokenizer.from_file(WORD_BPE)
-    made.encode_special_tokens = True
     got, start = rows_of(token_files.token_documents(docs, WORD_BPE)), 0
     for i, t in enumerate(texts):
         ids = made.encode(t or "", add_special_tokens=False).ids + [2]
@@ -539,3 +538,19 @@ def test_nothing_to_learn_from(spark):
     nameless = docs.selectExpr("*", "cast(NULL as string) AS lang")
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in language_id.identify(nameless).collect())
     assert all(not r["contaminated"] for r in decontamination.decontaminate(docs, spark.createDataFrame([(1, "x")], "item_id long, text string")).collect())
+
+
+def test_token_files_spread_one_id_over_several_parts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(5 if i % 4 else i, f"text {i} " * (i % 5)) for i in range(800)] + [(None, "none")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    bounds = token_files.bounds_of(df, 6)
+    ids, hashes = np.array([5] * 1000), np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 1000)
+    parts = token_files.part_of(ids, np.sort(hashes), bounds)
+    assert len(set(parts.tolist())) >= 3 and (np.diff(parts) >= 0).all()
+    got = sorted(token_files.token_documents(df, WORD_BPE).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.concatenate(([0], np.cumsum([r.n_tokens for r in got])[:-1])).tolist()
+    assert [r.doc_id is not None for r in got] == [False] * 300 + [True] * 800
+    assert [r.doc_id for r in got[300:]] == sorted(r[0] for r in rows[:800])
+    assert got[0].n_tokens == df.where(F.col("doc_id").isNull()).count() // 300 + 1

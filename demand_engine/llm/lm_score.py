@@ -12,7 +12,8 @@ that its own texts can reach. What is shuffled grows with the distinct n-grams o
 block and bucket sizes, which are fixed.
 
 Null texts are empty: they have the end token only. A null id counts as an empty text in the fold and so is held out.
-Repeated rows count and are scored each. Other columns are not read. An empty table gives an empty result.
+Repeated rows count and are scored each; rows are dealt to blocks by their place, so they
+don't meet in one. A very long text makes its block longer, and is worked on whole. Ties can't matter. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,41 +78,43 @@ def vocabulary(docs: DataFrame) -> tuple[int, int]:
 
 @dataclass
 class Tokens:
-    """Token keys of a block's texts, each text with the end behind, and the pairs' keys with the state before."""
+    """Tokens of a block's texts, each text with the end behind: places in the sorted word keys, and keys of the pairs with the state before."""
 
     offsets: np.ndarray
-    keys: np.ndarray
+    words: np.ndarray  # distinct keys in order, with those of the end and of the start state
+    place: np.ndarray
     pairs: np.ndarray
 
 
 def tokens(texts: pa.Array) -> Tokens:
-    parts, sizes = [], []
+    found, parts, sizes = [np.array([END, BEGIN])], [], []
     for a, b in slices(texts):
         offsets, flat = words(texts.slice(a, b - a), lower=True)
         coded = flat.dictionary_encode()
-        rows = np.arange(b - a)
-        out = np.full(int(offsets[-1]) + b - a, END, np.uint64)
+        out = np.zeros(int(offsets[-1]) + b - a, np.int32)  # 0: the end
         inside = np.ones(len(out), bool)
-        inside[offsets[1:] + rows] = False
-        out[inside] = keys_of(coded.dictionary)[coded.indices.to_numpy()]
+        inside[offsets[1:] + np.arange(b - a)] = False
+        out[inside] = coded.indices.to_numpy() + sum(map(len, found))
+        found.append(keys_of(coded.dictionary))
         parts.append(out)
         sizes.append(np.diff(offsets) + 1)
-    keys = np.concatenate([*parts, np.zeros(0, np.uint64)])
+    keys, number = np.unique(np.concatenate(found), return_inverse=True)
+    place = number.astype(np.int32)[np.concatenate([*parts, np.zeros(0, np.int32)])]
     ends = np.concatenate(([0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))))
-    before = np.empty_like(keys)
-    before[1:] = keys[:-1]
-    before[ends[:-1]] = BEGIN
-    return Tokens(ends, keys, pair_keys(before, keys))
+    before = np.empty_like(place)
+    before[1:] = place[:-1]
+    before[ends[:-1]] = number[1]  # the start
+    return Tokens(ends, keys, place, pair_keys(keys[before], keys[place]))
 
 
 def pack(values: np.ndarray) -> bytes:
     """Byte planes, so that the shuffle's compression finds the zeros."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, len(data) // width).T).view(kind).ravel()
 
 
 def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -120,84 +123,103 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, np.array(limits, np.uint64)), [len(keys)])).astype(np.int64)
 
 
-def distinct(t: Tokens) -> np.ndarray:
-    """All keys a block asks for, sorted: its words, the end, the start and its pairs."""
-    return np.unique(np.concatenate([np.unique(t.keys), np.unique(t.pairs), np.array([BEGIN, END])]))
+def packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[list[bytes], list[bytes]]:
+    """Sorted keys, as differences, and their counts, for each hash range."""
+    cuts = bucket_cuts(keys, buckets)
+    ranges_ = list(zip(cuts[:-1], cuts[1:]))
+    return [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in ranges_], [pack(counts[a:b]) for a, b in ranges_]
 
 
 def count_block(buckets: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         t = tokens(table["text"].combine_chunks())
-        asked = distinct(t)
-        total = np.zeros(len(asked), np.uint32)
         train = ~table["held_out"].combine_chunks().to_numpy(zero_copy_only=False)
         kept = np.repeat(train, np.diff(t.offsets))
-        for values in (t.keys[kept], t.pairs[kept], np.full(int(train.sum()), BEGIN)):
-            found, n = np.unique(values, return_counts=True)
-            total[np.searchsorted(asked, found)] += n.astype(np.uint32)
-        cuts = bucket_cuts(asked, buckets)
-        rows = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-        return pa.table({
-            "bucket": pa.array(rows, pa.int64()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-            "keys": pa.array([pack(np.diff(asked[cuts[k]: cuts[k + 1]], prepend=np.uint64(0))) for k in rows], pa.binary()),
-            "counts": pa.array([pack(total[cuts[k]: cuts[k + 1]]) for k in rows], pa.binary())})
+        count = np.bincount(t.place[kept], minlength=len(t.words)).astype(np.uint32)
+        count[np.searchsorted(t.words, BEGIN)] += train.sum()
+        pairs = np.sort(t.pairs)
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
+        there = np.sort(t.pairs[kept])
+        count_pairs = (np.searchsorted(there, pairs, "right") - np.searchsorted(there, pairs, "left")).astype(np.uint32)
+        made = [*packed(t.words, count, buckets), *packed(pairs, count_pairs, buckets)]
+        used = [k for k in range(buckets) if made[0][k] or made[2][k]]
+        return pa.table({"bucket": pa.array(used, pa.int64()), "block": pa.array(np.full(len(used), key[0].as_py())),
+                         **{name: pa.array([x[k] for k in used], pa.binary()) for name, x in zip(("words", "word_counts", "pairs", "pair_counts"), made)}})
 
     return run
 
 
-def add_up(table: pa.Table) -> pa.Table:
+def sum_up(keys: list[bytes], counts: list[bytes]) -> list[bytes]:
     """The totals over all blocks of each key, for each block in the order of its own keys."""
-    asked = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in table["keys"].to_pylist()]
+    asked = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) for k in keys]
     every = np.concatenate(asked)
+    if not len(every):
+        return [b""] * len(keys)
     order = np.argsort(every)
     new = np.concatenate([[True], every[order[1:]] != every[order[:-1]]])
     group = np.cumsum(new) - 1
-    counts = np.concatenate([unpack(c, np.uint32) for c in table["counts"].to_pylist()]).astype(np.uint64)
-    total = np.add.reduceat(counts[order], np.nonzero(new)[0])
+    count = np.concatenate([unpack(c, np.uint32) for c in counts]).astype(np.uint64)
     answer = np.empty(len(every), np.uint64)
-    answer[order] = total[group]
+    answer[order] = np.add.reduceat(count[order], np.nonzero(new)[0])[group]
     cuts = np.cumsum([0] + [len(a) for a in asked])
-    return pa.table({"block": table["block"], "bucket": table["bucket"],
-                     "totals": pa.array([pack(answer[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+    return [pack(answer[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def add_up(table: pa.Table) -> pa.Table:
+    made = [sum_up(table[k].to_pylist(), table[n].to_pylist()) for k, n in (("words", "word_counts"), ("pairs", "pair_counts"))]
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "words": pa.array(made[0], pa.binary()), "pairs": pa.array(made[1], pa.binary())})
+
+
+@dataclass
+class Automaton:
+    """The part of the automaton that a block's texts can reach. States are words; arcs of the root and failure arcs by word."""
+
+    root: np.ndarray  # log10 weight of each word's arc out of the root
+    failure: np.ndarray  # log10 weight of each state's failure arc to the root; 0 where the word is no state
+    arcs: np.ndarray  # log10 weight of each pair's arc out of the state of its first word; no number where there is none
+
+    def walk(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray) -> np.ndarray:
+        """Weight of one step of many traversals: along the arc, or the failure arc and then the root's."""
+        step = self.arcs[arc]
+        fails = np.isnan(step)
+        step[fails] = self.failure[state[fails]] + self.root[word[fails]]
+        return step
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the number of each key among them."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(keys) else np.zeros(0, bool)
-    number = np.empty(len(keys), np.int32)
-    number[order] = np.cumsum(new, dtype=np.int32) - 1
-    return ordered[new], number
+def built(c: np.ndarray, c_pair: np.ndarray, first: np.ndarray, last: np.ndarray, train_tokens: int, train_types: int, s: Settings) -> Automaton:
+    """From the counts of words (of the start: of texts) and pairs, and the words that the pairs join."""
+    p = (c + s.added) / (train_tokens + s.added * (train_types + 1))
+    failure, seen = np.zeros(len(c)), c_pair > 0
+    failure[c > 0] = np.log10(s.mu / (c[c > 0] + s.mu))
+    arcs = np.full(len(c_pair), np.nan)
+    arcs[seen] = np.log10((c_pair[seen] + s.mu * p[last[seen]]) / (c[first[seen]] + s.mu))
+    return Automaton(np.log10(p), failure, arcs)
 
 
 def score_block(train_tokens: int, train_types: int, s: Settings):
     def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
         t = tokens(texts["text"].combine_chunks())
-        asked = distinct(t)
-        total = np.concatenate([unpack(x, np.uint64) for x in totals.sort_by("bucket")["totals"].to_pylist()]).astype(np.float64)
-        word, place = numbered(t.keys)
-        pair, pair_place = numbered(t.pairs)
-        t.keys = t.pairs = None
-        c, c_pair = total[np.searchsorted(asked, word)], total[np.searchsorted(asked, pair)]
-        begin = total[np.searchsorted(asked, BEGIN)]
-        del asked, total, word, pair
-        arc = (c + s.added) / (train_tokens + s.added * (train_types + 1))
-        root, state, both = arc[place], c[place], c_pair[pair_place]  # of each token; the state's count is that of the token before
-        del pair_place
-        known, base = sums(state > 0, t.offsets), sums(np.log10(root), t.offsets)
-        state[1:] = state[:-1].copy()
-        state[t.offsets[:-1]] = begin
-        weight = np.log10(root)
-        there = state > 0  # else the root is where the traversal stands
-        weight[there] += np.log10(s.mu / (state[there] + s.mu))  # the failure arc, where no arc is seen
-        seen = both > 0
-        weight[seen] = np.log10((both[seen] + s.mu * root[seen]) / (state[seen] + s.mu))
+        totals = totals.sort_by("bucket")
+        c, c_pair = (np.concatenate([np.zeros(0, np.uint64), *(unpack(x, np.uint64) for x in totals[k].to_pylist())]).astype(np.float64) for k in ("words", "pairs"))
+        # The state before each token is the word before it, so all steps of the traversal can be taken at once.
+        state = np.empty_like(t.place)
+        state[1:] = t.place[:-1]
+        state[t.offsets[:-1]] = np.searchsorted(t.words, BEGIN)
+        order = np.argsort(t.pairs)
+        t.pairs = t.pairs[order]
+        new = np.concatenate([[True], t.pairs[1:] != t.pairs[:-1]])[: len(order)]
+        t.pairs = None
+        arc = np.empty(len(order), np.int32)
+        arc[order] = np.cumsum(new, dtype=np.int32) - 1
+        one = order[new]
+        del order, new
+        made = built(c, c_pair, state[one], t.place[one], train_tokens, train_types, s)
+        weight = made.walk(state, t.place, arc)
         n = len(t.offsets) - 1
         return pa.table({
             "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(np.diff(t.offsets)),
-            "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)),
-            "base_score": pa.array(base), "score": pa.array(sums(weight, t.offsets))})
+            "n_known": pa.array(sums(c[t.place] > 0, t.offsets)), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)),
+            "base_score": pa.array(sums(made.root[t.place], t.offsets)), "score": pa.array(sums(weight, t.offsets))})
 
     return run
 
@@ -209,7 +231,7 @@ def score_documents(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     blocks = max(1, -(-size // BLOCK))
     buckets = max(1, -(-2 * n_tokens // BUCKET))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"),
-                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    asked = dealt.groupBy("block").applyInArrow(count_block(buckets), "bucket bigint, block bigint, keys binary, counts binary")
-    totals = asked.groupBy("bucket").applyInArrow(add_up, "block bigint, bucket bigint, totals binary")
+                        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))  # repeated rows are dealt out, too
+    asked = dealt.groupBy("block").applyInArrow(count_block(buckets), "bucket bigint, block bigint, words binary, word_counts binary, pairs binary, pair_counts binary")
+    totals = asked.groupBy("bucket").applyInArrow(add_up, "block bigint, bucket bigint, words binary, pairs binary")
     return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score_block(n_tokens, n_types, s), SCORED)

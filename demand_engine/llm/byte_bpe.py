@@ -19,8 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from demand_engine.llm.text import data_of, ranges, slices
 
@@ -28,7 +27,7 @@ NONE = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
 LONG = 2048
 CELLS = 1 << 17  # of one matrix
-SLICE = 4 << 20  # bytes of text whose distinct segments are split and merged together
+SLICE = 1 << 20  # bytes of text whose distinct segments are split and merged together
 LETTER = regex.compile("\\p{L}")
 # A white-space character right before a space: there a space doesn't start a segment.
 IRREGULAR = "[\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
@@ -73,9 +72,20 @@ class PairTable:
         return out
 
 
+    def get(self, left: int, right: int) -> int:
+        """As ``find`` for one pair."""
+        key = (left << 32) | right
+        slot = ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - self.bits)
+        while (there := int(self.keys[slot])) != key:
+            if there == 2**64 - 1:
+                return int(NONE)
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        return int(self.ranks[slot])
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.pattern = regex.compile(pattern)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         pairs = []
@@ -86,7 +96,6 @@ class ByteBpe:
                 if a is not None and b is not None:
                     pairs.append((a, b, rank))
         self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
-        self.merges = {(a, b): r for a, b, r in pairs}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_size = np.array([len(t) for t in tokens], np.int64)
@@ -157,21 +166,24 @@ class ByteBpe:
 
     def long(self, piece: np.ndarray) -> np.ndarray:
         """The same merges for a very long piece: a heap of (rank, position) over a linked list."""
-        ids = self.single[piece].tolist()
+        start = self.single[piece]
+        ids = start.tolist()
         n = len(ids)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.merges.get((ids[i], ids[i + 1]))) is not None]
+        ranks = self.pairs.find(start[:-1], start[1:])
+        at = np.nonzero(ranks != NONE)[0]
+        heap = list(zip(ranks[at].tolist(), at.tolist()))
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = following[i]
-            if ids[i] < 0 or j >= n or self.merges.get((ids[i], ids[j])) != r:
+            if ids[i] < 0 or j >= n or self.pairs.get(ids[i], ids[j]) != r:
                 continue  # an entry of a pair that is gone
             ids[i], ids[j], following[i] = r, -1, following[j]
             if following[i] < n:
                 before[following[i]] = i
             for a in (before[i], i):
-                if a >= 0 and following[a] < n and (s := self.merges.get((ids[a], ids[following[a]]))) is not None:
+                if a >= 0 and following[a] < n and (s := self.pairs.get(ids[a], ids[following[a]])) != NONE:
                     heapq.heappush(heap, (s, a))
         return np.array([i for i in ids if i >= 0], np.int32)
 
@@ -245,44 +257,30 @@ def coder(vocabulary: bytes, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
-def byte_bpe(spark: SparkSession, text: Column, path: str, pattern: str, with_ids: bool = False) -> Column:
-    """Struct of n_tokens, ids_sha256 and decoded_sha256 (and ids) for each text; a null text counts as empty.
+def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids). Other columns are not read.
 
-    ``path`` is a rank file the driver can read; executors get its bytes (under 1 MB) by broadcast.
+    ``path`` is a rank file the driver can read; executors get its bytes (under 1 MB) by broadcast. A null text counts as
+    empty. Repeated rows and null ids give a row each; an empty table gives an empty one.
     """
     with open(path, "rb") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    kind = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + ", ids: array<int>" * with_ids + ">"
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
-    @F.arrow_udf(kind)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary.value, pattern)
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for a, b in slices(batch, SLICE):
-                offsets, ids = bpe.encode(pc.fill_null(batch.slice(a, b - a), ""))
+            doc_id, texts = batch.columns
+            for a, b in slices(texts, SLICE):  # what a slice needs is gone before the next one
+                offsets, ids = bpe.encode(pc.fill_null(texts.slice(a, b - a), ""))
                 back, data = bpe.decode(offsets, ids)
-                ids = ids.astype("<u4")
-                for i in range(b - a):
-                    out[1].append(hashlib.sha256(ids[offsets[i]: offsets[i + 1]]).hexdigest())
-                    out[2].append(hashlib.sha256(data[back[i]: back[i + 1]]).hexdigest())
-                out[0].append(np.diff(offsets))
+                ids = ids.astype("<u4", copy=False)
+                coded = [hashlib.sha256(ids[i:j]).hexdigest() for i, j in zip(offsets[:-1], offsets[1:])]
+                decoded = [hashlib.sha256(data[i:j]).hexdigest() for i, j in zip(back[:-1], back[1:])]
+                columns = [doc_id.slice(a, b - a), pa.array(np.diff(offsets)), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    out[3].append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))))
-            sizes = pa.array(np.concatenate([*out[0], np.zeros(0, np.int64)]))
-            columns = [sizes, pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            if with_ids:
-                columns.append(pa.concat_arrays([*out[3], pa.array([], pa.list_(pa.int32()))]))
-            yield pa.StructArray.from_arrays(columns, names)
-
-    return run(text)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-
-def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids). Other columns are not read.
-
-    Repeated rows and null ids give a row each; an empty table gives an empty one.
-    """
-    coded = byte_bpe(docs.sparkSession, F.col("text"), path, pattern, with_ids)
-    return docs.select("doc_id", coded.alias("coded")).select("doc_id", "coded.*")
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, kind)

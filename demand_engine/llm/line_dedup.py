@@ -11,7 +11,8 @@ of every ``PASSAGE - GRAM + 1`` neighbours is picked, so two texts that share a
 laid beside the first text with the same pick, and what is equal around it, word by word, is the passage. Where parts of
 it come from several texts, every ``GRAM`` words of it have been seen before. ``dedup_lines`` keeps to lines, as its SQL.
 
-Null texts stay null, texts of fewer lines stay whole. Null ids come first. Rows that agree in id and text are one
+Null texts stay null, texts of fewer lines stay whole, an empty table stays empty. What a very long text costs grows with
+its lines, however many of them go. Null ids come first. Rows that agree in id and text are one
 document read twice: they are treated alike.
 """
 
@@ -66,8 +67,10 @@ def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     gone = covered(docs, size)
     marked = rows.join(gone, rows["row_id"].eqNullSafe(gone["id"]) & (rows["row_h"] == gone["h"]), "left")
     lines = F.split(F.col("row.text"), "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
-        F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    # only texts with lines to remove go to Python
+    shorter = cut(F.when(F.col("gone").isNotNull(), F.col("row.text")), lines_or_none(), spans_or_none(F.lit(None)))
+    marked = marked.select("row", "gone", shorter.alias("shorter"))
+    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.col("shorter"))
     count = lambda array: F.when(array.isNull(), 0).otherwise(F.size(array)).cast("long")
     return marked.select("row", kept.alias("kept_text"), count(lines).alias("n_lines"), count(F.col("gone")).alias("n_removed"))
 
@@ -168,21 +171,35 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 def without_spans(text: str, gone: list[int], spans: list[dict]) -> str:
     """``text`` without the lines ``gone`` and the passages of ``spans``; a line of which nothing is left goes, too."""
-    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)] if spans else []
     cuts, dropped, kept, at = [(starts[a], starts[b]) for a, b in merged(spans)], set(gone), [], 0
+    ahead = 0  # the first of the cuts, in order, that doesn't end before the line
     for n, line in enumerate(text.split("\n")):
-        left, place = "", at
-        for a, b in cuts:
-            if a < at + len(line) and b > at:
-                left += text[place: max(place, a)]
-                place = max(place, min(b, at + len(line)))
-        left += text[place: at + len(line)]
+        left, place, end = "", at, at + len(line)
+        while ahead < len(cuts) and cuts[ahead][1] <= at:
+            ahead += 1
+        for k in range(ahead, len(cuts)):
+            a, b = cuts[k]
+            if a >= end:
+                break
+            left += text[place: max(place, a)]
+            place = max(place, min(b, end))
+        left += text[place:end]
         if n not in dropped and (left == line or WORD.search(left)):
             kept.append(left)
         at += len(line) + 1
     return "\n".join(kept)
 
 
+def lines_or_none() -> Column:
+    return F.coalesce("gone", F.array().cast("array<int>"))
+
+
+def spans_or_none(spans: Column) -> Column:
+    kind = "array<struct<a: bigint, b: bigint>>"
+    return F.coalesce(spans.cast(kind), F.array().cast(kind))
+
+
 def cut(text: Column, gone: Column, spans: Column) -> Column:
     @F.arrow_udf("string")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -198,13 +215,11 @@ def without_repeats(docs: DataFrame, size: int = 3) -> DataFrame:
     gone, spans = covered(docs, size), passages(docs).toDF("span_id", "span_h", "spans")
     marked = rows.join(gone, rows["row_id"].eqNullSafe(gone["id"]) & (rows["row_h"] == gone["h"]), "left")
     marked = marked.join(spans, marked["row_id"].eqNullSafe(spans["span_id"]) & (marked["row_h"] == spans["span_h"]), "left")
-    lines = F.array_join(F.filter(F.split(F.col("row.text"), "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    whole = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(lines)
-    # only texts with spans go to Python
-    asked = F.when(F.col("spans").isNotNull(), F.col("row.text"))
-    by_word = cut(asked, F.coalesce("gone", F.array().cast("array<int>")), F.coalesce("spans", F.array().cast("array<struct<a: bigint, b: bigint>>")))
-    out = marked.select("row", "gone", "spans", whole.alias("whole"), by_word.alias("by_word"))
-    out = out.withColumn("kept_text", F.when(F.col("spans").isNull(), F.col("whole")).otherwise(F.col("by_word")))
+    touched = F.col("gone").isNotNull() | F.col("spans").isNotNull()
+    # only texts with something to remove go to Python
+    shorter = cut(F.when(touched, F.col("row.text")), lines_or_none(), spans_or_none(F.col("spans")))
+    out = marked.select("row", touched.alias("touched"), shorter.alias("shorter"))
+    out = out.withColumn("kept_text", F.when(F.col("touched"), F.col("shorter")).otherwise(F.col("row.text")))
     out = out.where((F.col("row.text").isNull()) | (F.col("kept_text") == F.col("row.text")) | ~F.col("kept_text").rlike(BLANK))
     columns = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return out.select(*[columns[c].alias(c) if c in columns else F.col("row")[c].alias(c) for c in docs.columns])

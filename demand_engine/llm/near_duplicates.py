@@ -9,19 +9,14 @@ Copies are folded into one row per fingerprint before the tables. Small buckets
 emitted); in large ones fingerprints meet at a common neighbour at one bit, as two within two bits share one, so the work
 grows with the members and not with their pairs. Components come from star contraction, checkpointed every round.
 
-A few changed words flip more than two bits of a whole text's fingerprint, so ``keep_one`` also takes fingerprints of parts:
-shingles are dealt to parts by hash, and an edited copy agrees with its original in some part exactly (radius 0, one
-table). Texts that do are compared by the Jaccard similarity of their five-word shingles, which decides: each with the hub
-of its group first, then all pairs of a group that are not connected by then.
-
 A null text has no word; texts without a word have fingerprint zero and are linked like any other. Repeated rows are kept
-as rows. A null doc_id has a null component unless a linked document has an id. Other columns are not read.
+as rows. A null doc_id has a null component unless a linked document has an id. A very long text is printed whole. An
+empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +32,6 @@ SLICE = 256 << 10  # bytes of text worked on at once
 SMALL = 64  # members of a bucket that are compared pair by pair
 
 
-@dataclass(frozen=True)
-class Copies:
-    """What counts as an edited copy, and how its parts are printed."""
-
-    similarity: float = 0.8  # of the sets of word shingles
-    shingle: int = 5  # words
-    parts: int = 20  # of a text's shingles, by hash
-    least: int = 5  # shingles of a part that are printed, those of the smallest hashes
-    fewer: int = 3  # shingles of a part's second print, which more pairs at the limit agree in
-
-
 def masks(radius: int = 2) -> list[int]:
     """One 64-bit mask for each table; position i has vector 1 + i mod (2^(radius+1) - 1)."""
     tables = (1 << (radius + 1)) - 1
@@ -104,65 +88,6 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     return run(text)
 
 
-def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles in ascending order, text by text, and the text of each."""
-    hashes, n = shingles(texts, size)
-    owner = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], owner[new]
-
-
-def part_prints(text: Column, copies: Copies) -> Column:
-    """``parts``, two SimHashes for each part that has a shingle, mixed with the part's number, and ``n``, the distinct shingles."""
-
-    @F.arrow_udf("struct<parts: array<bigint>, n: bigint>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = [pa.array([], pa.struct([("parts", pa.list_(pa.int64())), ("n", pa.int64())]))]
-            for a, b in slices(batch, SLICE):
-                hashes, owner = distinct_shingles(batch.slice(a, b - a), copies.shingle)
-                group = owner * copies.parts + (hashes % np.uint64(copies.parts)).astype(np.int64)
-                order = np.argsort(group, kind="stable")
-                hashes, group = hashes[order], group[order]
-                found, at, n = np.unique(group, return_index=True, return_counts=True)
-                place, part = np.arange(len(group)) - np.repeat(at, n), found % copies.parts
-                keys = []
-                for k, most in enumerate((copies.least, copies.fewer)):
-                    prints = majority(hashes[place < most], np.minimum(n, most))
-                    keys.append(prints ^ ((part + k * copies.parts + 1) * 0x1E3779B97F4A7C15))
-                offsets = 2 * np.searchsorted(found, np.arange(b - a + 1) * copies.parts)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.column_stack(keys).ravel()))
-                out.append(pa.StructArray.from_arrays([lists, pa.array(np.bincount(owner, minlength=b - a))], ["parts", "n"]))
-            yield pa.concat_arrays(out)
-
-    return run(text)
-
-
-def likeness(a: Column, b: Column, shingle: int) -> Column:
-    """Jaccard similarity of the sets of word shingles of two texts; 0 where both are empty."""
-
-    @F.arrow_udf("double")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
-            out = []
-            for x, y in slices(left, SLICE):
-                one, own = distinct_shingles(left.slice(x, y - x), shingle)
-                two, other = distinct_shingles(right.slice(x, y - x), shingle)
-                sizes = np.bincount(own, minlength=y - x) + np.bincount(other, minlength=y - x)
-                both, owner = np.concatenate([one, two]), np.concatenate([own, other])
-                order = np.lexsort((both, owner))
-                both, owner = both[order], owner[order]
-                same = (both[1:] == both[:-1]) & (owner[1:] == owner[:-1])
-                common = np.bincount(owner[1:][same], minlength=y - x)
-                out.append(common / np.maximum(sizes - common, 1))
-            yield pa.array(np.concatenate([*out, np.zeros(0)]))
-
-    return run(a, b)
-
-
 def links(prints: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints (column ``fp``) that connect all within ``radius`` of each other.
 
@@ -209,62 +134,11 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def judged_links(docs: DataFrame, folded: DataFrame, pairs: DataFrame, copies: Copies) -> DataFrame:
-    """Those of the pairs (a, b) of fingerprints whose first texts are as similar as ``copies`` asks."""
-    pairs = keep_table(pairs.distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    # the few texts to compare are picked before texts are joined
-    chosen = folded.select("fp", F.col("least.doc_id").alias("id"), F.col("least.h").alias("first_h")).join(named, "fp")
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"), "text")
-    here = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("first_h"))
-    wanted = keep_table(rows.join(chosen, here).dropDuplicates(["fp"]).select("fp", "text"), "texts")
-    first, second = wanted.select(F.col("fp").alias("a"), F.col("text").alias("one")), wanted.select(F.col("fp").alias("b"), F.col("text").alias("two"))
-    judged = pairs.join(first, "a").join(second, "b").select("a", "b", likeness(F.col("one"), F.col("two"), copies.shingle).alias("likeness"))
-    return judged.where(F.col("likeness") >= copies.similarity).select("a", "b")
-
-
-def copy_links(docs: DataFrame, folded: DataFrame, copies: Copies, near: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that connect the fingerprints whose first texts are as similar as ``copies`` asks.
-
-    Texts that agree in a part's print form a group. Each is first compared, on whole texts, with the member that agrees
-    with most others in all parts (the original of a family of copies). Then all pairs of a group are compared that these
-    links and those of ``near`` leave in different components, so no pair of a group is passed over; only pairs of one
-    component, which need no link, and pairs too unlike in size to reach the similarity are not.
-    """
-    members = keep_table(folded.select("fp", F.col("least.n").alias("n_shingles"), F.explode("least.parts").alias("part")), "parts")
-    sizes = members.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = members.join(sizes, "part")
-    weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))
-    weighed = shared.select("part", "fp").join(weight, "fp")
-    hubs = weighed.groupBy("part").agg(F.max(F.struct("weight", "fp")).alias("hub")).select("part", F.col("hub.fp").alias("hub"))
-    hubs = keep_table(hubs, "hubs")
-    pairs = shared.select("part", "fp").join(hubs, "part").where(F.col("fp") != F.col("hub"))
-    found = keep_table(judged_links(docs, folded, pairs.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")), copies), "links")
-    roots = components(near.unionByName(found))
-    placed = shared.join(roots, shared["fp"] == roots["node"], "left").select("part", "fp", "n_shingles", F.coalesce("root", "fp").alias("root"))
-    split = placed.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("part")
-    left = keep_table(placed.join(split, "part").join(hubs, "part").where(F.col("fp") != F.col("hub")).drop("hub"), "left")
-    other = left.select("part", F.col("fp").alias("b"), F.col("n_shingles").alias("n_other"), F.col("root").alias("root_other"))
-    near_size = F.least("n_shingles", "n_other") >= copies.similarity * F.greatest("n_shingles", "n_other")
-    rest = left.join(other, "part").where((F.col("fp") < F.col("b")) & (F.col("root") != F.col("root_other")) & near_size)
-    return found.unionByName(judged_links(docs, folded, rest.select(F.col("fp").alias("a"), "b"), copies))
-
-
-def classes(docs: DataFrame, shingle: int = 3, radius: int = 2, copies: Copies | None = None) -> tuple[DataFrame, DataFrame]:
-    """Prints (doc_id, h, fp), h a hash of the text, and per fingerprint the least (id, h) of its component.
-
-    With ``copies`` edited copies beyond the radius are linked, too.
-    """
-    parts = [part_prints(F.col("text"), copies).alias("x")] if copies is not None else []
-    prints = keep_table(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint(F.col("text"), shingle).alias("fp"), *parts), "fingerprints")
-    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", *(["x.parts", "x.n"] if parts else []))
-    folded = prints.groupBy("fp").agg(F.min(row).alias("least"))
-    edges = links(folded.select("fp"), radius)
-    if copies is not None:
-        edges = keep_table(edges, "near")
-        edges = edges.unionByName(copy_links(docs, folded, copies, edges))
-        folded = folded.withColumn("least", F.col("least").dropFields("parts", "n"))
-    roots = components(edges)
+def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Prints (doc_id, h, fp), h a hash of the text, and per fingerprint the least (id, h) of its component."""
+    prints = keep_table(docs.select("doc_id", F.xxhash64("text").alias("h"), fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
+    folded = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("least"))
+    roots = components(links(folded.select("fp"), radius))
     merged = folded.join(roots, folded["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = merged.groupBy("root").agg(F.min("least").alias("first"))
     return prints, merged.join(ids, "root").select(F.col("fp").alias("key"), "first")
@@ -277,13 +151,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, copies: Copies | None = Copies()) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest id (null ids come last).
 
-    Components are those of the fingerprints, joined by the links of edited copies. Of rows that repeat an id the one with
-    the smallest hash of its text stays, of rows that repeat id and text one.
+    Of rows that repeat an id the one with the smallest hash of its text stays, of rows that repeat id and text one.
     """
-    prints, labels = classes(docs, shingle, radius, copies)
+    prints, labels = classes(docs, shingle, radius)
     best = labels.select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"))
     kept = rows.join(best, rows["row_id"].eqNullSafe(best["id"]) & (rows["row_h"] == best["h"]), "left_semi")

@@ -34,6 +34,7 @@ def slices(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int
         stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
         yield start, stop
         start, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()  # workers live on; what the slices needed is not theirs to keep
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.StringArray]:

@@ -26,4 +26,4 @@ def test_stages_keep_columns_and_decide(spark):
 
 def test_every_operator_has_a_query():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

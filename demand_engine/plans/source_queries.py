@@ -25,12 +25,13 @@ def fresh(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def ledger_files(spark, d) -> str:
+def ledger_files(spark, d, ordered: bool = False) -> str:
     """The ledger as two files with different headers, and a backup that must not be read."""
     folder = fresh(spark, "ledger")
     rows = movements(spark, d, parties=True, names=True)
     early = F.col("fecha") < "1998-01-01"
-    ledger.write_movements(rows.where(early), f"{folder}/Movimientos_1997.csv")
+    first = rows.where(early)
+    ledger.write_movements(first.orderBy("orden", "linea") if ordered else first, f"{folder}/Movimientos_1997.csv")
     ledger.write_movements(rows.where(~early), f"{folder}/Movimientos_2001.csv", str.lower)
     ledger.write_movements(rows.where(early), f"{folder}/Movimientos_1997_Backup.csv")
     return folder
@@ -63,7 +64,15 @@ def a2_normalize_headers(spark, d):
     return ledger.normalize_headers(raw)
 
 
-@query("a4_validate_ingest")
+VALIDATED = """
+SELECT 'Movimientos_1997.csv' AS file, TRUE AS valid_name, '' AS missing, TRUE AS valid FROM mv WHERE fecha < DATE '1998-01-01' HAVING COUNT(*) > 0
+UNION ALL SELECT 'Movimientos_1997_Backup.csv', TRUE, '', TRUE FROM mv WHERE fecha < DATE '1998-01-01' HAVING COUNT(*) > 0
+UNION ALL SELECT 'Movimientos_2001.csv', TRUE, '', TRUE FROM mv WHERE fecha >= DATE '1998-01-01' HAVING COUNT(*) > 0
+UNION ALL SELECT 'Movimientos_sin_salida.csv', TRUE, 'salida', FALSE FROM mv HAVING COUNT(*) > 0
+UNION ALL SELECT 'otros.csv', FALSE, '', FALSE FROM mv HAVING COUNT(*) > 0"""
+
+
+@query("a4_validate_ingest", sql(f"SELECT * FROM ({VALIDATED})", "mv"))
 def a4_validate_ingest(spark, d):
     folder = ledger_files(spark, d)
     rows = movements(spark, d)
@@ -89,9 +98,16 @@ def a5_ingest_log(spark, d):
     return ledger.ingest_log(counts, log, "2001-12-02 00:00:00").drop("fecha")
 
 
-@query("a6_preview")
+@query(
+    "a6_preview",
+    sql(
+        """SELECT sku AS codigo, CAST(fecha AS VARCHAR) AS fecha, left(documento, 30) AS doc, CAST(CAST(entrada AS DOUBLE) AS VARCHAR) AS entrada,
+  CAST(CAST(salida AS DOUBLE) AS VARCHAR) AS salida FROM mv WHERE fecha < DATE '1998-01-01' ORDER BY orden, linea LIMIT 25""",
+        "mv",
+    ),
+)
 def a6_preview(spark, d):
-    return ledger.preview(spark, f"{ledger_files(spark, d)}/Movimientos_1997.csv")[0]
+    return ledger.preview(spark, f"{ledger_files(spark, d, ordered=True)}/Movimientos_1997.csv")[0]
 
 
 @query(

@@ -7,11 +7,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
-from urllib.parse import quote
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +16,7 @@ from pyspark.sql import types as T
 
 from demand_engine.functions.expressions import to_day, to_number
 from demand_engine.schema import LEDGER_HEADERS, MOVEMENTS, QUANTITIES
+from demand_engine.session import keep_table
 
 ENCODING = "ISO-8859-1"
 REQUIRED = ("fecha", "entrada", "salida")
@@ -57,66 +55,73 @@ def separator(header: str) -> str:
     return ";" if ";" in header else ","
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``path, file`` of the CSV files below the folder (a listing; contents are not read)."""
+ENTRY = r"/([^/]+\.[cC][sS][vV])(/part-[^/]*)?$"  # the file, or the folder of parts, that a path belongs to
+
+
+def first_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``path, file, header``: the first line that isn't blank of each CSV file below the folder.
+
+    One text scan in tasks; a file's first line is the least of its first block. Any file system Spark reads will do.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true")
     try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+        text = raw.text(path)
     except AnalysisException as error:
         raise FileNotFoundError(f"Data directory not found: {path}") from error
-    entry = F.regexp_extract("path", rf"/([^/]+\.[cC][sS][vV])(/part-[^/]*)?$", 1)
-    return found.withColumn("file", entry).where(F.col("file").rlike(pattern))
-
-
-def _with_headers(files: DataFrame) -> DataFrame:
-    """Adds the first line of each file, read in tasks (one small read per file)."""
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            lines = []
-            for p in batch["path"]:
-                system, inner = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", p), safe=":/"))
-                with system.open_input_stream(inner) as stream:
-                    start = b""
-                    while b"\n" not in start and (more := stream.read(65536)):
-                        start += more
-                lines.append(start.split(b"\n")[0].decode("latin-1").rstrip("\r"))
-            yield batch.assign(header=lines)
-
-    return files.mapInPandas(probe, "path string, file string, header string")
-
-
-def _read_layout(spark: SparkSession, header: str, paths: list[str]) -> DataFrame:
-    """All files with one header line, as text columns under canonical names."""
-    sep = separator(header)
-    names = canonical_headers([n.strip('"') for n in header.split(sep)])
-    places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.schema(places).csv(paths, header=True, sep=sep, encoding=ENCODING)
-    wanted = {h: c for c, h in LEDGER_HEADERS.items()}
-    kept = {n: i for i, n in reversed(list(enumerate(names))) if n in wanted}
-    return raw.select(
-        *[F.col(f"c{i}").alias(wanted[n]) for n, i in kept.items()],
-        file_named(r"/([^/]+\.csv)(/part-[^/]*)?$").alias("archivo"),
-    )
+    lines = text.where(F.col("_metadata.file_block_start") == 0).select(
+        F.decode(F.col("value").cast("binary"), ENCODING).alias("line"), F.col("_metadata.file_path").alias("path"),
+        F.monotonically_increasing_id().alias("place"), file_named(ENTRY).alias("file"))
+    wanted = lines.where(F.col("file").rlike(pattern) & (F.trim("line") != ""))
+    # collecting the (one) name makes this an aggregate by hash: lines are not sorted
+    return wanted.groupBy("path").agg(F.min_by("line", "place").alias("header"), F.collect_set("file")[0].alias("file"))
+
+
+def layouts(first: DataFrame) -> DataFrame:
+    """Adds ``sep``, ``width`` (columns of the file) and ``at``: the place of every ledger column among them, 0 where it is missing."""
+    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    sep = F.when(F.col("header").contains(";"), ";").otherwise(",")
+    named = first.withColumn("sep", sep).withColumn(
+        "_trimmed", F.transform(F.split("header", F.col("sep"), -1), lambda n: F.regexp_replace(n, r'^[\s"]+|[\s"]+$', "")))
+    renamed = F.transform("_trimmed", lambda n: F.when(~F.array_contains("_trimmed", known[n]), known[n]).otherwise(n))
+    places = F.array(*[F.array_position("_names", h).cast("int") for h in LEDGER_HEADERS.values()])
+    return named.withColumn("_names", renamed).select("path", "file", "sep", F.size("_names").alias("width"), places.alias("at"))
+
+
+def _cells(spark: SparkSession, path: str, sep: str, width: int) -> DataFrame:
+    """All CSV files below the folder as an array of text cells, with their ``path``."""
+    places = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    raw = spark.read.schema(places).csv(path, header=True, sep=sep, encoding=ENCODING, recursiveFileLookup=True)
+    return raw.select(F.array(*[F.col(f.name) for f in places]).alias("cells"), F.col("_metadata.file_path").alias("path"), file_named(ENTRY).alias("file"))
 
 
 def read_movements(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
     """A1: all ``Movimientos_*.csv`` of a folder but backups, united by column name and typed.
 
-    Files are grouped by their header line (a handful of layouts), each group is one scan; missing
-    columns are null. ``header`` states the header line where all files share it, and saves the
-    look into every file. Quantities that do not parse are 0, days that do not parse are null.
+    Where each file has its columns is a table of one row per file, joined to the rows by the file's path (Spark broadcasts
+    it while it is small). There is one scan for each of the two separators that occurs; missing columns are null.
+    ``header`` states the header line where all files share it, and saves the look into the files and the join.
+    Quantities that do not parse are 0, days that do not parse are null.
     """
-    files = _files(spark, path, r"^Movimientos_.*\.csv$").where(~F.lower("file").contains("backup"))
-    listed = (files.withColumn("header", F.lit(header)) if header else _with_headers(files)).collect()
-    if not listed:
+    pattern = r"^Movimientos_(?!.*(?i:backup)).*\.csv$"
+    if header is not None:
+        names = canonical_headers([n.strip('"') for n in header.split(separator(header))])
+        cells = _cells(spark, path, separator(header), len(names)).where(F.col("file").rlike(pattern))
+        return typed(_placed(cells, F.array(*[F.lit(names.index(h) + 1 if h in names else 0) for h in LEDGER_HEADERS.values()])))
+    found = keep_table(layouts(first_lines(spark, path, pattern)), "layouts")
+    kinds = found.groupBy("sep").agg(F.max("width").alias("width")).collect()  # two rows at most
+    if not kinds:
         raise FileNotFoundError(f"No Movimientos_*.csv files found in {path}")
-    layouts: dict[str, list[str]] = {}
-    for row in sorted(listed, key=lambda r: r["path"]):
-        layouts.setdefault(row["header"], []).append(row["path"])
-    parts = [_read_layout(spark, h, paths) for h, paths in layouts.items()]
-    return typed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    parts = []
+    for kind in kinds:
+        own = found.where(F.col("sep") == kind["sep"]).select("path", "at")
+        parts.append(_placed(_cells(spark, path, kind["sep"], kind["width"]).join(own, "path"), F.col("at")))
+    return typed(reduce(DataFrame.unionByName, parts))
+
+
+def _placed(cells: DataFrame, at: Column) -> DataFrame:
+    """The ledger's columns as text, taken from their places."""
+    columns = [F.get("cells", at[i] - 1).alias(c) for i, c in enumerate(LEDGER_HEADERS)]
+    return cells.select(*columns, F.col("file").alias("archivo"))
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def validate_ingest(spark: SparkSession, path: str) -> DataFrame:
 
     A header matches when it contains the required word after dropping everything but letters.
     """
-    files = _with_headers(_files(spark, path, r"(?i)\.csv$"))
+    files = first_lines(spark, path, r"(?i)\.csv$")
     sep = F.when(F.col("header").contains(";"), ";").otherwise(",")
     columns = F.transform(F.split("header", sep), lambda c: F.lower(F.regexp_replace(c, "[^a-zA-Z]", "")))
     needed = F.array(*[F.lit(r) for r in REQUIRED])
@@ -168,21 +173,21 @@ def count_rows(spark: SparkSession, path: str) -> DataFrame:
     """Data rows per ledger file: its non-blank lines without the header."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", file_named("^(.*)$").alias("path"))
     per_part = lines.where(F.trim("value") != "").groupBy("path").agg((F.count("*") - 1).alias("rows"))
-    name = F.regexp_extract("path", r"/([^/]+\.[cC][sS][vV])(/part-[^/]*)?$", 1)
+    name = F.regexp_extract("path", ENTRY, 1)
     return per_part.groupBy(name.alias("filename")).agg(F.sum("rows").alias("rows"))
 
 
-def ingest_log(counts: DataFrame, previous: DataFrame | None, at: str) -> DataFrame:
-    """A5: newest entries first, 50 kept; ``replaced`` where the file was logged before.
+def ingest_log(counts: DataFrame, previous: DataFrame | None, at: str, size: int = LOG_SIZE) -> DataFrame:
+    """A5: newest entries first, ``size`` kept; ``replaced`` where the file was logged before.
 
     ``counts``: filename, rows of the files just received at time ``at``. ``previous``: the log.
     """
     new = counts.withColumn("fecha", F.lit(at).cast("timestamp"))
     if previous is None:
-        return new.withColumn("replaced", F.lit(False)).orderBy(F.desc("fecha"), "filename").limit(LOG_SIZE)
+        return new.withColumn("replaced", F.lit(False)).orderBy(F.desc("fecha"), "filename").limit(size)
     seen = previous.select("filename").distinct().withColumn("_seen", F.lit(True))
     entries = new.join(seen, "filename", "left").withColumn("replaced", F.coalesce("_seen", F.lit(False))).drop("_seen")
-    return entries.unionByName(previous).orderBy(F.desc("fecha"), "filename").limit(LOG_SIZE)
+    return entries.unionByName(previous).orderBy(F.desc("fecha"), "filename").limit(size)
 
 
 def _plain(name: str) -> str:
@@ -191,20 +196,20 @@ def _plain(name: str) -> str:
 
 
 def preview(spark: SparkSession, path: str, n: int = 25) -> tuple[DataFrame, DataFrame]:
-    """(first n rows of a ledger file, one row with the total and whether all columns exist)."""
-    files = _with_headers(_files(spark, path, r"(?i)\.csv$")).collect()
-    if not files:
+    """(first n rows of a ledger file, one row with the total and whether all columns exist).
+
+    A folder of parts is read in the order of their names; its first part tells the columns.
+    """
+    header = first_lines(spark, path, r"(?i)\.csv$").agg(F.min_by("header", "path").alias("header")).first()["header"]
+    if header is None:
         raise FileNotFoundError(path)
-    header = files[0]["header"]
     names = [_plain(h) for h in header.split(separator(header))]
 
     def place(word: str) -> int | None:
         return next((i for i, h in enumerate(names) if word in h), None)
 
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.schema(schema).csv(
-        sorted(f["path"] for f in files), header=True, sep=separator(header), encoding=ENCODING
-    )
+    rows = spark.read.schema(schema).csv(path, header=True, sep=separator(header), encoding=ENCODING, recursiveFileLookup=True)
     wanted = {"codigo": "codigo", "fecha": "fecha", "doc": "documento", "entrada": "entrada", "salida": "salida"}
     found = {alias: place(word) for alias, word in wanted.items()}
 
@@ -215,4 +220,6 @@ def preview(spark: SparkSession, path: str, n: int = 25) -> tuple[DataFrame, Dat
 
     complete = all(found[a] is not None for a in ("codigo", "fecha", "entrada", "salida"))
     total = rows.agg(F.count("*").alias("total_rows")).withColumn("has_required", F.lit(complete))
-    return rows.limit(n).select(*[text(a) for a in wanted]), total
+    order = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    first = rows.select(*[text(a) for a in wanted], *order).orderBy("_path", "_block", "_line").limit(n)
+    return first.drop("_path", "_block", "_line"), total

@@ -74,3 +74,47 @@ def test_file_names_of_any_kind(spark, tmp_path, name):
     write(tmp_path, name, "Fecha;Código;Salida;Entrada\n2023-01-01;P001;3;0\n")
     rows = ledger.read_movements(spark, str(tmp_path)).collect()
     assert [(r["archivo"], r["sku"], r["salida"]) for r in rows] == [(name, "P001", 3.0)]
+
+
+def test_many_files_of_several_layouts(spark, tmp_path):
+    heads = ["Fecha;Código;Salida;Entrada\n2023-01-0{d};P{i};{i};0\n", "entrada,salida,código,Fecha,Extra\n0,{i},P{i},2023-01-0{d},x\n",
+             '"Código";"Salida"\n\n"P;{i}";{i}\n']
+    for i in range(5000):
+        write(tmp_path, f"Movimientos_{i:04d}.csv", heads[i % 3].format(i=i, d=1 + i % 9))
+    rows = {r["archivo"]: r for r in ledger.read_movements(spark, str(tmp_path)).collect()}
+    assert len(rows) == 5000
+    for i in range(5000):
+        r = rows[f"Movimientos_{i:04d}.csv"]
+        assert (r["sku"], r["salida"]) == (f"P;{i}" if i % 3 == 2 else f"P{i}", float(i)) and (r["fecha"] is None) == (i % 3 == 2)
+
+
+def test_a_file_system_only_spark_knows(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.default.link./store", f"file://{tmp_path}")
+    write(tmp_path, "Movimientos_a.csv", "Fecha;Código;Salida;Entrada\n2023-01-01;P001;3;0\n2023-01-02;P002;4;0\n")
+    rows = ledger.read_movements(spark, "viewfs:///store").collect()
+    assert sorted((r["sku"], r["salida"], r["archivo"]) for r in rows) == [("P001", 3.0, "Movimientos_a.csv"), ("P002", 4.0, "Movimientos_a.csv")]
+    assert [r["valid"] for r in ledger.validate_ingest(spark, "viewfs:///store").collect()] == [True]
+    assert [r["codigo"] for r in ledger.preview(spark, "viewfs:///store/Movimientos_a.csv")[0].collect()] == ["P001", "P002"]
+
+
+def test_a_stated_header_saves_the_look(spark, tmp_path):
+    write(tmp_path, "Movimientos_a.csv", "Fecha;código;Salida;Entrada\n2023-01-01;P001;3;0\n")
+    write(tmp_path, "Movimientos_a_backup.csv", "Fecha;código;Salida;Entrada\n2023-01-01;P009;3;0\n")
+    df = ledger.read_movements(spark, str(tmp_path), "Fecha;código;Salida;Entrada")
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["sku"], r["salida"], r["archivo"]) for r in df.collect()] == [("P001", 3.0, "Movimientos_a.csv")]
+
+
+def test_headers_are_found_without_a_sort(spark, tmp_path):
+    write(tmp_path, "Movimientos_a.csv", "\n  \nFecha;Código\n2023-01-01;P001\n")
+    first = ledger.first_lines(spark, str(tmp_path), "csv$")
+    assert [r["header"] for r in first.collect()] == ["Fecha;Código"]
+    assert "Sort" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preview_of_a_folder_of_parts_is_in_order(spark, tmp_path):
+    df = spark.range(0, 400, 1, 7).selectExpr("cast(id as string) AS sku", "cast(NULL as date) AS fecha", "1.0D AS entrada", "2.0D AS salida")
+    ledger.write_movements(df.orderBy("sku"), str(tmp_path / "Movimientos_p.csv"))
+    shown, total = ledger.preview(spark, str(tmp_path / "Movimientos_p.csv"), 120)
+    assert [r["codigo"] for r in shown.collect()] == sorted(map(str, range(400)))[:120] and total.first()["total_rows"] == 400

@@ -191,6 +191,8 @@ def cyclic_encoding(df: DataFrame) -> DataFrame:
     return _with(df, _CYCLES)
 
 
+CALENDAR = (*_CALENDAR, *_CYCLES)  # features that the week alone determines
+
 ONE_HOT = {"cliente_modo": "empresa", "canal_modo": "canal", "punto_modo": "punto", "trimestre": "trim"}
 
 

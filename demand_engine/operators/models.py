@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside
-from demand_engine.functions.regressors import Ridge
+from demand_engine.functions.regressors import Moments, Ridge, usable
 from demand_engine.session import keep_table
 
 # The parameter grids.
@@ -79,27 +79,33 @@ PREDICTIONS = "sku string, algorithm string, candidate int, fold int, week_start
 
 
 def numeric(columns: list[str]) -> list[Column]:
-    """Features as numbers; null, and text that is none, count as 0."""
-    return [F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    """Features as numbers; null counts as 0, text that is no number as not a number."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit("0")).try_cast("double").alias(c) for c in columns]
 
 
 def cross_validate(df: DataFrame, columns: list[str], grid: dict | None = None) -> DataFrame:
-    """Out-of-fold predictions of every candidate, per SKU.
+    """Out-of-fold predictions of every candidate, per SKU, on the columns that are usable there.
 
-    One group per SKU: a series has a few hundred weeks, and a fit solves one small linear system.
+    One group per SKU: a series has a few hundred weeks. Each row enters the running moments once, after the last fold that
+    it is tested in, and a fold's penalties share one factorisation. A SKU without a usable column has no row.
     """
     listed = candidates(grid or FULL_GRID)
+    alphas = [c["params"]["alpha"] for c in listed]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("week_start")
         x, y, weeks = pdf[columns].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float), pdf["week_start"].to_numpy()
-        parts = [pd.DataFrame(columns=["sku", "algorithm", "candidate", "fold", "week_start", "y", "yhat"])] * (not fold_bounds(len(y)))
-        for fold, (start, end) in enumerate(fold_bounds(len(y))):
-            for c in listed:
-                yhat = make(c["algorithm"], c["params"]).fit(x[:start], y[:start]).predict(x[start:end])
+        x = np.nan_to_num(x[:, usable(x)])
+        parts = [pd.DataFrame(columns=["sku", "algorithm", "candidate", "fold", "week_start", "y", "yhat"])]
+        so_far, done = Moments(x.mean(axis=0), y.mean()), 0
+        for fold, (start, end) in enumerate(fold_bounds(len(y)) if x.shape[1] else []):
+            weights, intercepts = so_far.add(x[done:start], y[done:start]).ridge(alphas)
+            done = start
+            yhat = x[start:end] @ weights + intercepts
+            for k, c in enumerate(listed):
                 parts.append(pd.DataFrame({"sku": key[0], "algorithm": c["algorithm"], "candidate": np.int32(c["candidate"]),
-                                           "fold": np.int32(fold), "week_start": weeks[start:end], "y": y[start:end], "yhat": yhat}))
-        return pd.concat(parts, ignore_index=True)
+                                           "fold": np.int32(fold), "week_start": weeks[start:end], "y": y[start:end], "yhat": yhat[:, k]}))
+        return pd.concat(parts[1:] or parts, ignore_index=True)
 
     data = df.select("sku", "week_start", F.col("salida").cast("double").alias("_y"), *numeric(columns))
     return data.groupBy("sku").applyInPandas(run, PREDICTIONS)

@@ -140,11 +140,13 @@ def model_and_plan(
     columns = features.feature_columns(table, leak_safe)
     best, winners = models.search(table, columns, grid, lambda df: run.keep("model_scores", df))
     winners = run.keep("winners", winners)
-    points = run.keep("forecast", forecast.recursive_forecast(table, winners, columns))
+    fitted = run.keep("fitted", forecast.fit_final(table, winners, columns))
+    points = run.keep("forecast", forecast.recursive_forecast(table, winners, fitted, columns))
     run.tables |= {
         "model_comparison": models.model_comparison(best),
         "winner_tally": models.winner_tally(winners),
         "seasonal_index": forecast.seasonal_index(table),
+        "forecast_metadata": forecast.forecast_metadata(winners, fitted),
     }
     if "weekly_by_sku" in run.tables:
         normal = points.withColumn("sku", cleaning.normalize_sku("sku"))

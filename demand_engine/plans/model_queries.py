@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import cleaning, demand_class, features, forecast, models
-from demand_engine.plans.registry import part, query, sql
+from demand_engine.plans.registry import PARTS, part, query, sql
 from demand_engine.plans.series_queries import brand_dense, brand_features, classes
 from demand_engine.session import keep_table
 
@@ -82,11 +82,13 @@ def critical_features(spark, d) -> DataFrame:
     return keep_table(cleaning.critical_only(brand_features(spark, d), group), "critical")
 
 
-@query("w1_usable_features", sql("""SELECT DISTINCT sku, unnest(['lag_1', 'lag_52', 'ma_4', 'yoy_ratio']) AS feature,
-  CAST(NULL AS VARCHAR) AS error FROM features""", "features"))
+EVERY = [c for c in features.ROLES if c not in features.LEAKING]
+
+
+@query("w1_usable_features", sql(f"""SELECT DISTINCT sku, unnest({EVERY}) AS feature, CAST(NULL AS VARCHAR) AS error FROM features""", "features"))
 def w1_usable_features(spark, d):
     df = brand_features(spark, d).withColumn("texto", F.lit("abc"))
-    return models.usable_features(df, ["lag_1", "lag_52", "ma_4", "yoy_ratio", "texto"])
+    return models.usable_features(df, [*EVERY, "texto"])
 
 
 @query("w2_time_series_folds", sql("SELECT sku, week_start, fold, is_train FROM folds", "folds"))
@@ -133,6 +135,49 @@ def w3_ridge_two_features(spark, d):
     return found.select("sku", "candidate", "fold", "week_start", (F.round("yhat", 4) + 0.0).alias("yhat"))
 
 
+# Scores of the fitted models: every penalty of the grid, the best one of each SKU.
+part(
+    "ridge_folds",
+    ("ridge_two",),
+    PARTS["fold_scores"].replace("algorithm", "candidate").replace("FROM naive", "FROM ridge_two"),
+)
+part("ridge_scores", ("ridge_folds",), PARTS["mean_scores"].replace("algorithm", "candidate").replace("fold_scores", "ridge_folds"))
+part(
+    "ridge_best",
+    ("ridge_scores",),
+    f"""SELECT sku, 'Ridge' AS algorithm, candidate, r2, mae, rmse, mape, alpha
+FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY r2 DESC, candidate) AS rn FROM ridge_scores)
+JOIN (VALUES {", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(models.RIDGE_GRID["alpha"]))}) t(candidate, alpha) USING (candidate) WHERE rn = 1""",
+)
+
+
+def ridge_search(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of all brands, and the best candidates and winners of a search on two of them."""
+    df = brand_features(spark, d)
+    return df, *models.search(df, list(TWO))
+
+
+@query("w6_ridge_winner", sql(f"SELECT sku, algorithm, candidate, {ROUNDED}, alpha FROM ridge_best", "ridge_best"))
+def w6_ridge_winner(spark, d):
+    winners = ridge_search(spark, d)[2]
+    return _round(winners.withColumn("alpha", F.col("params")["alpha"]).drop("params"))
+
+
+@query("w7_ridge_metrics", sql(f"SELECT sku, 'Ridge' AS algorithm, candidate, {ROUNDED} FROM ridge_scores", "ridge_scores"))
+def w7_ridge_metrics(spark, d):
+    return _round(models.mean_scores(models.score_folds(models.cross_validate(brand_features(spark, d), list(TWO)))))
+
+
+@query("w8_ridge_fold_scores", sql(f"SELECT sku, 'Ridge' AS algorithm, candidate, fold, {ROUNDED} FROM ridge_folds", "ridge_folds"))
+def w8_ridge_fold_scores(spark, d):
+    return _round(models.score_folds(models.cross_validate(brand_features(spark, d), list(TWO))))
+
+
+@query("w9_ridge_comparison", sql('SELECT sku, round(r2, 6) + 0.0 AS "Ridge" FROM ridge_best', "ridge_best"))
+def w9_ridge_comparison(spark, d):
+    return models.model_comparison(ridge_search(spark, d)[1]).withColumn("Ridge", F.round("Ridge", 6) + 0.0)
+
+
 @query("w6_select_winner", sql(f"SELECT sku, algorithm, 0 AS candidate, {ROUNDED} FROM winners", "winners"))
 def w6_select_winner(spark, d):
     return _round(models.select_winner(naive_best(spark, d), NAIVE))
@@ -257,16 +302,21 @@ def x6_forecast_pivot(spark, d):
     return forecast.forecast_pivot(level_forecast(brand_dense(spark, d)), SHOWN)
 
 
-def _fitted(spark, d):
-    df = critical_features(spark, d)
-    columns = _model_columns(df)
+def _fitted(spark, d, df=None, columns=None):
+    """Feature rows, winners, final fits and the columns of a search; by default of all columns that don't leak."""
+    df = critical_features(spark, d) if df is None else df
+    columns = columns or _model_columns(df)
     _, winners = models.search(df, columns)
-    return df, winners, columns
+    return df, winners, keep_table(forecast.fit_final(df, winners, columns), "fitted"), columns
+
+
+def fitted_two(spark, d):
+    return _fitted(spark, d, keep_table(brand_features(spark, d), "features"), list(TWO))
 
 
 @query("x2_residual_stats")
 def x2_residual_stats(spark, d):
-    return forecast.residual_stats(forecast.fit_and_forecast(*_fitted(spark, d)))
+    return forecast.residual_stats(_fitted(spark, d)[2])
 
 
 @query("x4_recursive_forecast")
@@ -276,5 +326,99 @@ def x4_recursive_forecast(spark, d):
 
 @query("x7_forecast_metadata")
 def x7_forecast_metadata(spark, d):
-    df, winners, columns = _fitted(spark, d)
-    return forecast.forecast_metadata(winners, forecast.fit_and_forecast(df, winners, columns)).drop("residuals")
+    _, winners, fitted, _ = _fitted(spark, d)
+    return forecast.forecast_metadata(winners, fitted)
+
+
+# The same on two features of all brands: the final fit in closed form, the recursion as a recursive query.
+part(
+    "train_two",
+    ("features",),
+    """SELECT sku, week_start, salida AS y, COALESCE(lag_1, 0.0) AS x1, COALESCE(ma_4, 0.0) AS x2
+FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY week_start DESC) AS rn FROM features) WHERE rn <= 104""",
+)
+part(
+    "fit_two",
+    ("train_two", "ridge_best"),
+    """
+SELECT sku, algorithm, last_week, w1, w2, ym - w1 * m1 - w2 * m2 AS w0, sales_std, r2, mae, rmse, mape FROM (
+  SELECT *, (s1y * (s22 + alpha) - s2y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w1,
+    (s2y * (s11 + alpha) - s1y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w2
+  FROM (
+    SELECT sku, MAX(week_start) AS last_week, AVG(x1) AS m1, AVG(x2) AS m2, AVG(y) AS ym, COUNT(*) * var_pop(x1) AS s11,
+      COUNT(*) * var_pop(x2) AS s22, COUNT(*) * covar_pop(x1, x2) AS s12, COUNT(*) * covar_pop(x1, y) AS s1y,
+      COUNT(*) * covar_pop(x2, y) AS s2y, COALESCE(stddev_samp(y), 50.0) AS sales_std
+    FROM train_two GROUP BY sku) JOIN ridge_best USING (sku))""",
+)
+part("left_two", ("train_two", "fit_two"), "SELECT sku, week_start, y - (w0 + w1 * x1 + w2 * x2) AS residual FROM train_two JOIN fit_two USING (sku)")
+part(
+    "stats_two",
+    ("left_two", "fit_two"),
+    """SELECT sku, any_value(algorithm) AS algorithm, AVG(residual) AS resid_mean, stddev_samp(residual) AS resid_std,
+  any_value(sales_std) AS sales_std FROM left_two JOIN fit_two USING (sku) GROUP BY sku""",
+)
+part(
+    "ahead_two",
+    ("train_two", "fit_two"),
+    """
+SELECT sku, 0 AS h, (SELECT list(t.y ORDER BY t.week_start DESC)[1:4] FROM train_two t WHERE t.sku = f.sku) AS past, 0.0::DOUBLE AS raw FROM fit_two f
+UNION ALL
+SELECT sku, h + 1, list_prepend(y, past)[1:4], y FROM (
+  SELECT a.sku, a.h, a.past, greatest(0.0, f.w0 + f.w1 * a.past[1] + f.w2 * list_avg(a.past)) AS y
+  FROM ahead_two a JOIN fit_two f ON f.sku = a.sku WHERE a.h < 52)""",
+)
+part(
+    "forecast_two",
+    ("ahead_two", "fit_two", "stats_two", "season"),
+    """
+SELECT sku, h, week_start, round(prediction, 2) AS prediction, round(greatest(0.0, prediction - 1.96::DOUBLE * sigma * sqrt(h)), 2) AS lower,
+  round(prediction + 1.96::DOUBLE * sigma * sqrt(h), 2) AS upper
+FROM (
+  SELECT a.sku, CAST(a.h AS INTEGER) AS h, a.week_start, greatest(0.0, a.raw * COALESCE(s.factor, 1.0)) AS prediction,
+    CASE WHEN f.rmse > 0 THEN f.rmse WHEN f.rmse IS NULL AND t.resid_std > 0 THEN t.resid_std ELSE f.sales_std END AS sigma
+  FROM (SELECT x.sku, x.h, x.raw, CAST(y.last_week + 7 * CAST(x.h AS INTEGER) AS DATE) AS week_start FROM ahead_two x JOIN fit_two y USING (sku) WHERE h > 0) a
+  JOIN fit_two f ON f.sku = a.sku JOIN stats_two t ON t.sku = a.sku
+  LEFT JOIN season s ON s.sku = a.sku AND s.iso_week = weekofyear(a.week_start))""",
+)
+STATS = ("resid_mean", "resid_std", "sales_std")
+STATS_ROUNDED = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in STATS)
+
+
+def _round_stats(df):
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in STATS})
+
+
+@query("x2_residual_stats_two_features", sql(f"SELECT sku, algorithm, {STATS_ROUNDED} FROM stats_two", "stats_two"))
+def x2_residual_stats_two_features(spark, d):
+    return _round_stats(forecast.residual_stats(fitted_two(spark, d)[2]).drop("residuals"))
+
+
+@query(
+    "x2_residuals_two_features",
+    sql("SELECT sku, CAST(row_number() OVER (PARTITION BY sku ORDER BY week_start) - 1 AS INTEGER) AS week, round(residual, 6) + 0.0 AS residual FROM left_two", "left_two"),
+)
+def x2_residuals_two_features(spark, d):
+    stats = forecast.residual_stats(fitted_two(spark, d)[2])
+    return stats.select("sku", F.posexplode("residuals").alias("week", "r")).select("sku", "week", (F.round("r", 6) + 0.0).alias("residual"))
+
+
+@query("x4_recursion_two_features", sql("SELECT sku, CAST(h AS INTEGER) AS h, round(raw, 6) + 0.0 AS raw FROM ahead_two WHERE h > 0", "ahead_two"))
+def x4_recursion_two_features(spark, d):
+    _, _, fitted, columns = fitted_two(spark, d)
+    return forecast.unroll(fitted, columns).select("sku", "h", (F.round("raw", 6) + 0.0).alias("raw"))
+
+
+@query("x4_forecast_two_features", sql("SELECT * FROM forecast_two", "forecast_two"))
+def x4_forecast_two_features(spark, d):
+    return forecast.recursive_forecast(*fitted_two(spark, d))
+
+
+@query(
+    "x7_metadata_two_features",
+    sql(f"SELECT sku, algorithm, {ROUNDED}, {STATS_ROUNDED}, n FROM fit_two f JOIN (SELECT sku, resid_mean, resid_std FROM stats_two) USING (sku) "
+        "JOIN (SELECT sku, COUNT(*) AS n FROM left_two GROUP BY sku) USING (sku)", "fit_two", "stats_two", "left_two"),
+)
+def x7_metadata_two_features(spark, d):
+    _, winners, fitted, _ = fitted_two(spark, d)
+    found = forecast.forecast_metadata(winners, fitted).withColumn("n", F.size("residuals").cast("long")).drop("residuals")
+    return _round_stats(_round(found))

@@ -5,14 +5,16 @@ The plan in SQL is the weekly loop itself (a recursive query), not the closed fo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
-from demand_engine.operators import materials, planning, weekly
+from demand_engine.operators import forecast, materials, planning, weekly
 from demand_engine.plans.ledger_views import ORDER, clean_ledger, table
-from demand_engine.plans.model_queries import SHOWN, level_forecast
-from demand_engine.plans.registry import part, query, sql
+from demand_engine.plans.model_queries import SHOWN, fitted_two, level_forecast
+from demand_engine.plans.registry import PARTS, part, query, sql
 from demand_engine.plans.rollup_queries import up
 from demand_engine.plans.series_queries import brand_dense, brand_weeks
 
@@ -99,6 +101,20 @@ FROM raw_plan JOIN opening USING (sku) WHERE h > 0""",
 )
 
 
+# The same plan on the fitted, recursive forecast.
+for _name, _needs in (("capped", ("forecast_two", "caps")), ("opening", ("weekly", "capped_two")), ("raw_plan", ("opening_two", "capped_two")),
+                      ("plan", ("raw_plan_two", "opening_two"))):
+    _body = PARTS[_name]
+    for _old in ("forecast", "capped", "opening", "raw_plan"):
+        _body = re.sub(rf"\b(FROM|JOIN) {_old}\b", rf"\1 {_old}_two", _body)
+    part(f"{_name}_two", _needs, _body)
+
+
+@query("y5_plan_on_recursive_forecast", sql("SELECT * FROM plan_two", "plan_two"))
+def y5_plan_on_recursive_forecast(spark, d):
+    return planning.production_plan(forecast.recursive_forecast(*fitted_two(spark, d)), brand_weeks(spark, d))
+
+
 @query("y3_forecast_cap", sql("SELECT sku, h, demand FROM capped", "capped"))
 def y3_forecast_cap(spark, d):
     return planning.capped_forecast(forecast_of(spark, d), brand_weeks(spark, d)).select("sku", "h", "demand")

@@ -60,26 +60,44 @@ def test_usable_features(spark):
     assert {(r["sku"], r["feature"], r["error"]) for r in rows} == {("a", "n", None), ("b", None, "No numeric cols")}
 
 
-def test_recursion_feeds_predictions_back():
-    class LastPlusOne:
-        def predict(self, x):
-            return x[:, 0] + 1
-
-    columns = ["lag_1", "ma_2", "mes", "lag_4"]
-    seen = []
-    model = LastPlusOne()
-    model.predict = lambda x: (seen.append(x[0].tolist()), x[:, 0] + 1)[1]
-    out = forecast.unroll(model, columns, np.zeros(4), np.array([1.0, 5.0]), np.array([[1.0], [1.0], [2.0], [2.0]]), ["mes"], 4)
-    assert out.tolist() == [6.0, 7.0, 8.0, 9.0]
-    assert seen == [[5.0, 3.0, 1.0, 0.0], [6.0, 5.5, 1.0, 0.0], [7.0, 6.5, 2.0, 1.0], [8.0, 7.5, 2.0, 5.0]]
-
-
-def test_calendar_ahead_continues_the_feature_table(spark):
-    df = spark.createDataFrame([(dt.date(2023, 11, 6),), (dt.date(2023, 12, 18),)], "week_start date")
-    names, values = forecast.calendar_ahead(df, ["lag_1", "mes", "semana_sin", "trim_1"], 3)
-    assert names == ["mes", "semana_sin", "trim_1"]
-    assert values[dt.date(2024, 1, 1)][0] == 1.0 and values[dt.date(2024, 1, 1)][2] == 1.0
-    assert values[dt.date(2024, 1, 8)][1] == pytest.approx(math.sin(2 * math.pi * 2 / 52))
+def plain_recursion(weights, intercept, columns, latest, demand, ahead, horizon):
+    """The recursion week by week: rows start as the last one, then calendar, lags and averages are set anew."""
+    series, out = list(demand), []
+    for h in range(1, horizon + 1):
+        row = dict(zip(columns, latest)) | ahead(h)
+        for c in columns:
+            if c.startswith("lag_") and len(series) >= int(c[4:]):
+                row[c] = series[-int(c[4:])]
+            if c.startswith("ma_"):
+                row[c] = float(np.mean(series[-int(c[3:]):]))
+        series.append(max(0.0, intercept + sum(w * row[c] for w, c in zip(weights, columns))))
+        out.append(series[-1])
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 3, 60])
+def test_recursion_feeds_predictions_back(spark, n):
+    rng = np.random.default_rng(n)
+    columns = ["lag_1", "ma_2", "mes", "lag_4", "lag_52", "ma_26", "semana_sin", "trim_1", "yoy_ratio"]
+    demand, latest, weights = rng.gamma(2, 10, n), rng.normal(size=9), rng.normal(size=9) / 4
+    last = dt.date(2023, 11, 6)
+    row = ("a", last, 7.0, weights.tolist(), latest.tolist(), demand[-52:].tolist())
+    fitted = spark.createDataFrame([row], "sku string, last_week date, intercept double, weights array<double>, latest array<double>, tail array<double>")
+
+    def ahead(h):
+        day = last + dt.timedelta(weeks=h)
+        return {"mes": day.month, "semana_sin": math.sin(2 * math.pi * day.isocalendar()[1] / 52), "trim_1": float(day.month <= 3)}
+
+    out = sorted(forecast.unroll(fitted, columns, 60).collect(), key=lambda r: r["h"])
+    np.testing.assert_allclose([r["raw"] for r in out], plain_recursion(weights, 7.0, columns, latest, demand, ahead, 60), rtol=1e-9)
+    assert [r["week_start"] for r in out] == [last + dt.timedelta(weeks=h) for h in range(1, 61)]
+
+
+def test_the_recursion_stays_in_the_jvm(spark):
+    fitted = spark.createDataFrame([("a", dt.date(2023, 1, 2), 1.0, [0.5], [1.0], [4.0])],
+                                   "sku string, last_week date, intercept double, weights array<double>, latest array<double>, tail array<double>")
+    plan = forecast.unroll(fitted, ["lag_1"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_seasonal_index_is_clipped_and_empty_without_demand(series):
@@ -102,11 +120,11 @@ def test_search_and_forecast_end_to_end(series):
     columns = features.feature_columns(table, leak_safe=True)
     best, winners = models.search(table, columns, SMALL)
     assert best.count() == 2 and winners.count() == 2
-    out = forecast.recursive_forecast(table, winners, columns, 52).collect()
+    fitted = forecast.fit_final(table, winners, columns).persist()
+    out = forecast.recursive_forecast(table, winners, fitted, columns, 52).collect()
     assert len(out) == 104
     assert all(0 <= r["lower"] <= r["prediction"] <= r["upper"] for r in out)
     assert min(r["week_start"] for r in out) == dt.date(2022, 1, 3) + dt.timedelta(weeks=130)
-    fitted = forecast.fit_and_forecast(table, winners, columns)
     stats = forecast.residual_stats(fitted).collect()
     assert all(len(r["residuals"]) == 104 for r in stats)
     assert forecast.forecast_metadata(winners, fitted).count() == 2
@@ -123,3 +141,39 @@ def test_ridge_predictions_equal_a_plain_loop(series):
         expected = Ridge(10.0).fit(x[:start], y[:start]).predict(x[start:end])
         mine = [r["yhat"] for r in sorted((r for r in out if r["fold"] == f), key=lambda r: r["week_start"])]
         np.testing.assert_allclose(mine, expected)
+
+
+def test_all_penalties_of_the_grid_equal_separate_fits(series):
+    """Running moments and one factorisation a fold, against a linear system for every fold and penalty."""
+    rng = np.random.default_rng(7)
+    table = features.build_features(dense_of(series({"a": rng.gamma(2, 1000, 90), "b": rng.gamma(2, 10, 30), "c": [5.0] * 40, "d": [1.0, 2.0]}))).persist()
+    columns = features.feature_columns(table, leak_safe=True)
+    out = models.cross_validate(table, columns).toPandas()
+    assert set(out["sku"]) == {"a", "b", "c"} and set(out["candidate"]) == {0, 1, 2}
+    for sku, n in (("a", 90), ("b", 30), ("c", 40)):
+        pdf = table.where(F.col("sku") == sku).toPandas().sort_values("week_start")
+        x, y = pdf[columns].to_numpy(dtype=float), pdf["salida"].to_numpy()
+        for f, (start, end) in enumerate(models.fold_bounds(n)):
+            xc = x[:start] - x[:start].mean(0)
+            for k, alpha in enumerate(models.RIDGE_GRID["alpha"]):
+                w = np.linalg.solve(xc.T @ xc + alpha * np.eye(len(columns)), xc.T @ (y[:start] - y[:start].mean()))
+                mine = out[(out["sku"] == sku) & (out["fold"] == f) & (out["candidate"] == k)].sort_values("week_start")["yhat"]
+                np.testing.assert_allclose(mine, (x[start:end] - x[:start].mean(0)) @ w + y[:start].mean(), rtol=1e-6, atol=1e-6)
+
+
+def test_columns_that_are_no_numbers_are_not_fitted(series):
+    table = series({"a": range(1, 30), "b": range(30)}).withColumns({"x": F.col("salida") * 2, "text": F.when(F.col("sku") == "a", "abc").otherwise("3")})
+    only_text = models.cross_validate(table, ["text"], {"Ridge": {"alpha": [1.0]}}).collect()
+    assert {r["sku"] for r in only_text} == {"b"}
+    both = models.cross_validate(table, ["x", "text"], {"Ridge": {"alpha": [1.0]}})
+    alone = models.cross_validate(table, ["x"], {"Ridge": {"alpha": [1.0]}})
+    key = lambda r: (r["sku"], r["fold"], r["week_start"])
+    assert [r["yhat"] for r in sorted(both.collect(), key=key)] == pytest.approx([r["yhat"] for r in sorted(alone.collect(), key=key)])
+
+
+def test_one_training_week_has_the_scores_width(series):
+    df = series({"a": [4.0]}).withColumn("x", F.lit(1.0))
+    winners = df.selectExpr("sku", "'Ridge' AS algorithm", "map('alpha', 1.0D) AS params", "3.5D AS mae", "0.0D AS rmse")
+    row = forecast.fit_final(df, winners, ["x"]).first()
+    assert (row["resid_std"], row["sales_std"], row["intercept"]) == (None, 3.5, 4.0)
+    assert forecast.fit_final(df, winners.drop("mae"), ["x"]).first()["sales_std"] == 50.0

@@ -43,12 +43,23 @@ def production_scenarios(points: DataFrame) -> DataFrame:
     )
 
 
+def position(weekly: DataFrame, times: float = 5.0, least: float = 100.0) -> DataFrame:
+    """What a plan needs of the history, per SKU: median and cap of its weekly sales (Y3), last closing stock and week.
+
+    The cap is 5 x the upper median, at least 100. A SKU's weeks (a few hundred) are sorted as one array.
+    """
+    sales = F.sort_array(F.collect_list("sales"))
+    median = sales[F.floor(F.size(sales) / 2).cast("int")]
+    return weekly.groupBy("sku").agg(
+        median.alias("median"),
+        F.max_by("closing_stock", "week_start").alias("stock"),
+        F.max("week_start").alias("last_week"),
+    ).withColumn("cap", F.greatest(F.col("median") * times, F.lit(least)))
+
+
 def sales_cap(weekly: DataFrame, times: float = 5.0, least: float = 100.0) -> DataFrame:
     """Cap per SKU: 5 x the upper median of its weekly sales, at least 100."""
-    ordered = W.partitionBy("sku").orderBy("sales")
-    ranked = weekly.withColumns({"_r": F.row_number().over(ordered) - 1, "_n": F.count("*").over(W.partitionBy("sku"))})
-    median = ranked.where(F.col("_r") == F.floor(F.col("_n") / 2))
-    return median.select("sku", F.col("sales").alias("median"), F.greatest(F.col("sales") * times, F.lit(least)).alias("cap"))
+    return position(weekly, times, least).select("sku", "median", "cap")
 
 
 def capped_forecast(forecast: DataFrame, weekly: DataFrame) -> DataFrame:
@@ -80,24 +91,21 @@ def safety_stock(capped: DataFrame, weeks: float | str | None = SAFETY_WEEKS) ->
 
 def opening_stock(weekly: DataFrame) -> DataFrame:
     """Last closing stock and its week per SKU."""
-    return weekly.groupBy("sku").agg(
-        F.max_by("closing_stock", "week_start").alias("stock"), F.max("week_start").alias("last_week")
-    )
+    return position(weekly).select("sku", "stock", "last_week")
 
 
 def _plan_rows(forecast: DataFrame, weekly: DataFrame, weeks: float | str | None) -> DataFrame:
     """Unrounded plan. With demand d >= 0 the weekly rule 'refill to the safety stock when the rest
     would fall below it' has the closed form: stock after week h = max(S0 - sum of d, safety stock).
     """
-    capped = capped_forecast(forecast, weekly)
+    capped = forecast.join(position(weekly), "sku").withColumn("demand", F.least("prediction", "cap"))
     series = W.partitionBy("sku").orderBy("h")
     mean = F.mean("demand").over(W.partitionBy("sku"))
     used = F.sum("demand").over(series.rowsBetween(W.unboundedPreceding, 0))
     steps = (
-        capped.select("sku", "h", "demand")
+        capped.select("sku", "h", "demand", "stock", "last_week")
         .withColumns({"avg_demand": mean, "_used": used})
         .withColumn("safety_stock", F.col("avg_demand") * clamp_safety_weeks(weeks))
-        .join(opening_stock(weekly), "sku")
         .withColumn("stock_end", F.greatest(F.col("stock") - F.col("_used"), F.col("safety_stock")))
     )
     begin = F.coalesce(F.lag("stock_end").over(series), F.col("stock"))

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside, half_up, iso_year, week_start
-from demand_engine.functions.ordering import modes
 from demand_engine.operators.cleaning import drop_undated
 
 DEFAULT_ORDER = ("fecha", "numero", "documento", "entrada", "salida", "saldo")
@@ -25,20 +24,18 @@ def weekly_totals(df: DataFrame) -> DataFrame:
 
 
 def weekly_by_sku(df: DataFrame, order: tuple[str, ...] | list[str] = DEFAULT_ORDER) -> DataFrame:
-    """sales, production and last balance per (SKU, week); ``order`` decides which is last.
+    """sales, production and last balance per (SKU, week); ``order``, which starts with the day, decides which is last.
 
-    One aggregation, combined on the map side: a hot SKU ships one row per week and map task.
+    The order matters within a day only: days are summed up first, combined on the map side, and a ledger that is already
+    dealt and sorted by (SKU, day), as one with a running stock is, needs neither a shuffle nor a sort for that. A week's
+    balance is then its last day's, found by hash from the days' rows.
     """
-    return (
-        _weeks(df)
-        .where(F.col("sku").isNotNull())
-        .groupBy("sku", "week_start")
-        .agg(
-            F.sum("salida").alias("sales"),
-            F.sum("entrada").alias("production"),
-            F.max_by("saldo", F.struct(*order)).alias("closing_stock"),
-        )
-    )
+    if order[0] != "fecha":
+        raise ValueError("the order of movements has to start with their day")
+    days = drop_undated(df).where(F.col("sku").isNotNull()).groupBy("sku", "fecha").agg(
+        F.sum("salida").alias("sales"), F.sum("entrada").alias("production"), F.max_by("saldo", F.struct(*order[1:])).alias("closing_stock"))
+    return _weeks(days).groupBy("sku", "week_start").agg(
+        F.sum("sales").alias("sales"), F.sum("production").alias("production"), F.max_by("closing_stock", "fecha").alias("closing_stock"))
 
 
 def weekly_closing_stock(df: DataFrame, order=DEFAULT_ORDER, carry_forward: bool = False) -> DataFrame:
@@ -77,23 +74,30 @@ def weekly_consolidated(df: DataFrame, order=DEFAULT_ORDER) -> DataFrame:
 def weekly_demand(df: DataFrame, usual: tuple[str, ...] = ("cliente", "canal", "punto")) -> DataFrame:
     """demand statistics per (SKU, ISO year, ISO week) and the usual client, channel and point.
 
-    ``usual`` names the columns to take the mode of, each into ``<column>_modo``.
+    ``usual`` names the columns to take the mode of, each into ``<column>_modo`` (ties: the smallest value). The ledger is
+    read once: statistics and counts per value come from one aggregation, combined on the map side.
     """
     weeks = _weeks(df).where(F.col("sku").isNotNull())
     keys = ["sku", "week_start"]
-    stats = weeks.groupBy(*keys).agg(
-        F.sum("salida").alias("salida"),
-        F.count("salida").alias("transacciones"),
-        F.mean("salida").alias("salida_promedio"),
-        F.stddev_samp("salida").alias("salida_std"),
-        F.min("salida").alias("salida_min"),
-        F.max("salida").alias("salida_max"),
-    )
-    stats = stats.withColumns({"iso_year": iso_year("week_start"), "iso_week": F.weekofyear("week_start")})
+    x = F.col("salida")
+    stats = {
+        "salida": F.sum, "transacciones": F.count, "salida_promedio": F.mean, "salida_std": F.stddev_samp, "salida_min": F.min, "salida_max": F.max,
+    }
+    calendar = {"iso_year": iso_year("week_start"), "iso_week": F.weekofyear("week_start")}
     if not usual:
-        return stats
-    frequent = modes(weeks, keys, list(usual)).select(*keys, *[F.col(c).alias(f"{c}_modo") for c in usual])
-    return stats.join(frequent, keys, "left").fillna("Unknown", [f"{c}_modo" for c in usual])
+        return weeks.groupBy(*keys).agg(*[f(x).alias(c) for c, f in stats.items()]).withColumns(calendar)
+    kinds = [F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("v"), x.alias("x"))]
+    kinds += [F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"), F.lit(None).cast("double").alias("x")) for i, c in enumerate(usual)]
+    counted = (
+        weeks.select(*keys, F.explode(F.array(*kinds)).alias("p"))
+        .where((F.col("p.i") < 0) | F.col("p.v").isNotNull())
+        .groupBy(*keys, "p.i", "p.v")
+        .agg(F.count("*").alias("n"), *[f("p.x").alias(c) for c, f in stats.items()])
+    )
+    of_all = [F.max(F.when(F.col("i") < 0, F.col(c))).alias(c) for c in stats]
+    most = [F.min(F.when(F.col("i") == i, F.struct(-F.col("n"), "v")))["v"].alias(f"{c}_modo") for i, c in enumerate(usual)]
+    return counted.groupBy(*keys).agg(*of_all, *most).withColumns(calendar).fillna("Unknown", [f"{c}_modo" for c in usual]).select(
+        *keys, *stats, *calendar, *[f"{c}_modo" for c in usual])
 
 
 NUMERIC = ("transacciones", "salida_promedio", "salida_std", "salida_min", "salida_max")

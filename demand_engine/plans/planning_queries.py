@@ -17,6 +17,7 @@ from demand_engine.plans.model_queries import SHOWN, fitted_two, level_forecast
 from demand_engine.plans.registry import PARTS, part, query, sql
 from demand_engine.plans.rollup_queries import up
 from demand_engine.plans.series_queries import brand_dense, brand_weeks
+from demand_engine.session import keep_table
 
 HORIZON = 26
 
@@ -26,7 +27,7 @@ def whole(x: str) -> str:
 
 
 def forecast_of(spark, d) -> DataFrame:
-    return level_forecast(brand_dense(spark, d))
+    return level_forecast(keep_table(brand_dense(spark, d), "dense"))  # read for the level and for the season
 
 
 def plan_of(spark, d) -> DataFrame:

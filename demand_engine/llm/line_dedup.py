@@ -155,7 +155,7 @@ def passages(docs: DataFrame) -> DataFrame:
     beside = pairs.join(one, pairs["id"].eqNullSafe(one["one_id"]) & (pairs["h"] == one["one_h"]))
     beside = beside.join(two, beside["first_id"].eqNullSafe(two["two_id"]) & (beside["first_h"] == two["two_h"]))
     runs = beside.select("id", "h", equal_runs(F.col("one"), F.col("two"), F.col("shifts")).alias("runs"))
-    return runs.where(F.size("runs") > 0).groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("runs")))).alias("spans"))
+    return runs.where(F.size("runs") > 0).groupBy("id", "h").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:

@@ -61,23 +61,18 @@ def covered(docs: DataFrame, size: int = 3) -> DataFrame:
     return later.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("gone"))
 
 
-def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``row`` (all columns as they were), ``kept_text``, and the numbers of lines before and after."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"))
+def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
+    """doc_id, n_lines, n_removed, and the text that is left, for every document.
+
+    Texts travel as arrays of lines, so that what is left is picked by place: work grows with the lines, however many go.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_h"), F.split("text", "\n", -1).alias("lines"))
     gone = covered(docs, size)
-    marked = rows.join(gone, rows["row_id"].eqNullSafe(gone["id"]) & (rows["row_h"] == gone["h"]), "left")
-    lines = F.split(F.col("row.text"), "\n", -1)
-    # only texts with lines to remove go to Python
-    shorter = cut(F.when(F.col("gone").isNotNull(), F.col("row.text")), lines_or_none(), spans_or_none(F.lit(None)))
-    marked = marked.select("row", "gone", shorter.alias("shorter"))
-    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.col("shorter"))
+    marked = rows.join(gone, rows["doc_id"].eqNullSafe(gone["id"]) & (rows["row_h"] == gone["h"]), "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.col("lines")[i]))
     count = lambda array: F.when(array.isNull(), 0).otherwise(F.size(array)).cast("long")
-    return marked.select("row", kept.alias("kept_text"), count(lines).alias("n_lines"), count(F.col("gone")).alias("n_removed"))
-
-
-def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_removed, and the text that is left, for every document."""
-    return dedup(docs, size).select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
+    return marked.select("doc_id", count(F.col("lines")).alias("n_lines"), count(F.col("gone")).alias("n_removed"), F.array_join(kept, "\n").alias("text"))
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

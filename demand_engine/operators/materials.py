@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside, half_up, ratio
+from demand_engine.functions.wide import wide
 from demand_engine.operators.planning import clamp_safety_weeks, month_label
 
 # Default prices per sheet type, units per sheet and sheets per unit of each SKU.
@@ -145,9 +146,9 @@ def plan_cost_summary(totals: DataFrame, horizon: int = 52) -> DataFrame:
     )
 
 
-def plan_cost_matrix(cost: DataFrame, skus: list[str]) -> DataFrame:
-    """Weeks x listed SKUs, whole currency units."""
-    return cost.groupBy("h").pivot("sku", skus).agg(half_up(F.coalesce(F.sum("cost"), F.lit(0.0)))).fillna(0.0)
+def plan_cost_matrix(cost: DataFrame, skus: list[str] | None = None) -> DataFrame:
+    """Weeks x SKUs (all, or those listed), whole currency units."""
+    return wide(cost, "h", "sku", half_up(F.coalesce(F.sum("cost"), F.lit(0.0))), skus).fillna(0.0)
 
 
 def plan_cost_by_month(cost: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside, half_up, normalize_sku, ratio
+from demand_engine.functions.wide import wide
 
 CLIENTS_SHOWN = 15
 RISK_PCT = 80.0
@@ -103,9 +104,9 @@ def yearly_by_product(weekly: DataFrame) -> DataFrame:
     )
 
 
-def yearly_wide(yearly: DataFrame, skus: list[str]) -> DataFrame:
-    """Years x listed SKUs, null where a SKU has no such year."""
-    return yearly.groupBy("anio").pivot("sku", skus).agg(F.max("ventas"))
+def yearly_wide(yearly: DataFrame, skus: list[str] | None = None) -> DataFrame:
+    """Years x SKUs (all, or those listed), null where a SKU has no such year."""
+    return wide(yearly, "anio", "sku", F.max("ventas"), skus)
 
 
 def overproduction_kpis(yearly: DataFrame) -> DataFrame:
@@ -130,9 +131,9 @@ def seasonality_index(monthly: DataFrame) -> DataFrame:
     return monthly.select("sku", "mes", half_up(ratio(F.col("ventas"), mean, 0.0) * 100).alias("indice"))
 
 
-def seasonality_wide(index: DataFrame, skus: list[str]) -> DataFrame:
-    """Months x listed SKUs."""
-    return index.groupBy("mes").pivot("sku", skus).agg(F.max("indice"))
+def seasonality_wide(index: DataFrame, skus: list[str] | None = None) -> DataFrame:
+    """Months x SKUs (all, or those listed)."""
+    return wide(index, "mes", "sku", F.max("indice"), skus)
 
 
 def monthly_lagged(weekly: DataFrame) -> DataFrame:

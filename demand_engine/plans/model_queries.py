@@ -286,20 +286,13 @@ def x5_forecast_interval(spark, d):
     return level_forecast(brand_dense(spark, d))
 
 
-SHOWN = [f"Brand#{i}" for i in range(1, 26)]
-
-
 @query(
     "x6_forecast_pivot",
-    sql(
-        "SELECT h, 'W+' || CAST(h AS VARCHAR) AS semana, "
-        + ", ".join(f"MAX(prediction) FILTER (sku = '{s}') AS \"{s}\"" for s in SHOWN)
-        + " FROM forecast GROUP BY h",
-        "forecast",
-    ),
+    sql("SELECT h, 'W+' || CAST(h AS VARCHAR) AS semana, * EXCLUDE (h) FROM (PIVOT (SELECT h, sku, prediction FROM forecast) ON sku USING MAX(prediction) GROUP BY h)",
+        "forecast"),
 )
 def x6_forecast_pivot(spark, d):
-    return forecast.forecast_pivot(level_forecast(brand_dense(spark, d)), SHOWN)
+    return forecast.forecast_pivot(keep_table(level_forecast(brand_dense(spark, d)), "forecast"))
 
 
 def _fitted(spark, d, df=None, columns=None):

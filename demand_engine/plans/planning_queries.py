@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import forecast, materials, planning, weekly
 from demand_engine.plans.ledger_views import ORDER, clean_ledger, table
-from demand_engine.plans.model_queries import SHOWN, fitted_two, level_forecast
+from demand_engine.plans.model_queries import fitted_two, level_forecast
 from demand_engine.plans.registry import PARTS, part, query, sql
 from demand_engine.plans.rollup_queries import up
 from demand_engine.plans.series_queries import brand_dense, brand_weeks
@@ -371,15 +371,10 @@ def y15_plan_cost_summary(spark, d):
 
 @query(
     "y15_plan_cost_matrix",
-    sql(
-        "SELECT h, "
-        + ", ".join(f"COALESCE(floor(SUM(cost) FILTER (sku = '{s}') + 0.5), 0.0) AS \"{s}\"" for s in SHOWN)
-        + " FROM cost GROUP BY h",
-        "cost",
-    ),
+    sql("SELECT h, COALESCE(COLUMNS(* EXCLUDE (h)), 0.0) FROM (PIVOT (SELECT h, sku, cost FROM cost) ON sku USING floor(SUM(cost) + 0.5) GROUP BY h)", "cost"),
 )
 def y15_plan_cost_matrix(spark, d):
-    return materials.plan_cost_matrix(cost_of(spark, d), SHOWN)
+    return materials.plan_cost_matrix(keep_table(cost_of(spark, d), "cost"))
 
 
 @query(

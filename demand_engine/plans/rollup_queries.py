@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import cleaning, pareto, profiles, rollups, weekly
 from demand_engine.plans.ledger_views import ORDER, clean_ledger
-from demand_engine.plans.model_queries import SHOWN, level_forecast
+from demand_engine.plans.model_queries import level_forecast
 from demand_engine.plans.registry import part, query, sql
 from demand_engine.plans.series_queries import brand_dense, brand_weeks
 from demand_engine.session import keep_table
@@ -121,13 +121,9 @@ def d14_yearly_by_product(spark, d):
     return rollups.yearly_by_product(brand_weeks(spark, d))
 
 
-def _wide(value: str) -> str:
-    return ", ".join(f"MAX({value}) FILTER (sku = '{s}') AS \"{s}\"" for s in SHOWN)
-
-
-@query("d15_yearly_wide", sql(f"SELECT anio, {_wide('ventas')} FROM yearly GROUP BY anio", "yearly"))
+@query("d15_yearly_wide", sql("SELECT * FROM (PIVOT (SELECT anio, sku, ventas FROM yearly) ON sku USING MAX(ventas) GROUP BY anio)", "yearly"))
 def d15_yearly_wide(spark, d):
-    return rollups.yearly_wide(rollups.yearly_by_product(brand_weeks(spark, d)), SHOWN)
+    return rollups.yearly_wide(keep_table(rollups.yearly_by_product(brand_weeks(spark, d)), "yearly"))
 
 
 @query(
@@ -168,9 +164,9 @@ def d18_seasonality_index(spark, d):
     return rollups.seasonality_index(rollups.monthly_mean_demand(brand_weeks(spark, d)))
 
 
-@query("d18_seasonality_wide", sql(f"SELECT mes, {_wide('indice')} FROM season_index GROUP BY mes", "season_index"))
+@query("d18_seasonality_wide", sql("SELECT * FROM (PIVOT (SELECT mes, sku, indice FROM season_index) ON sku USING MAX(indice) GROUP BY mes)", "season_index"))
 def d18_seasonality_wide(spark, d):
-    return rollups.seasonality_wide(rollups.seasonality_index(rollups.monthly_mean_demand(brand_weeks(spark, d))), SHOWN)
+    return rollups.seasonality_wide(keep_table(rollups.seasonality_index(rollups.monthly_mean_demand(brand_weeks(spark, d))), "index"))
 
 
 @query(

@@ -74,7 +74,7 @@ def target_correlation(df: DataFrame, columns: list[str] | None = None, target:
     return r.select(
         F.col("a").alias("feature"),
         F.coalesce("r", F.lit(0.0)).alias("correlacion"),
-        F.when(F.col("r").isNull(), 1.0).otherwise(correlation_p_value("r", F.col("n").cast("double"))).alias("pvalor"),
+        F.when(F.col("r").isNull(), 1.0).otherwise(correlation_p_value("r", "n")).alias("pvalor"),
         F.abs(F.coalesce("r", F.lit(0.0))).alias("abs_corr"),
     )
 
@@ -102,6 +102,12 @@ def feature_sets(names: list[str], problems: list[str]) -> dict[str, list[str]]:
     return {"conservative": past, "intermediate": past + ahead, "aggressive": [c for c in names if c not in inflated]}
 
 
+def set_members(names: list[str], problems: list[str], spark) -> DataFrame:
+    """V5 as rows: (feature_set, feature)."""
+    rows = [(k, c) for k, columns in feature_sets(names, problems).items() for c in columns]
+    return spark.createDataFrame(rows, "feature_set string, feature string")
+
+
 def problem_features(factors: DataFrame, limit: float = VIF_LIMIT) -> list[str]:
     return [r["feature"] for r in factors.where(F.col("vif") > limit).select("feature").collect()]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import features, selection
-from demand_engine.plans.registry import query, sql
+from demand_engine.plans.registry import part, query, sql
 from demand_engine.plans.series_queries import brand_features as lazy_features
 from demand_engine.session import keep_table
 
@@ -65,21 +65,62 @@ def v3_vif(spark, d):
 THREE = ("lag_1", "ma_4", "volatilidad_4")
 
 
-@query(
-    "v3_vif_three_features",
-    sql(
-        """SELECT feature, round(vif, 4) AS vif FROM (SELECT unnest([{'feature': 'lag_1', 'vif': aa * (bb * cc - bc * bc) / det}, {'feature': 'ma_4', 'vif': bb * (aa * cc - ac * ac) / det},
+part(
+    "vif_three",
+    ("features",),
+    """SELECT unnest([{'feature': 'lag_1', 'vif': aa * (bb * cc - bc * bc) / det}, {'feature': 'ma_4', 'vif': bb * (aa * cc - ac * ac) / det},
   {'feature': 'volatilidad_4', 'vif': cc * (aa * bb - ab * ab) / det}], recursive := true)
 FROM (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM (
   SELECT SUM(a * a) AS aa, SUM(b * b) AS bb, SUM(c * c) AS cc, SUM(a * b) AS ab, SUM(a * c) AS ac, SUM(b * c) AS bc
-  FROM (SELECT lag_1 AS a, ma_4 AS b, volatilidad_4 AS c FROM features))))""",
-        "features",
-    ),
+  FROM (SELECT lag_1 AS a, ma_4 AS b, volatilidad_4 AS c FROM features)))""",
 )
+
+
+def three_features(spark, d):
+    return brand_features(spark, d).select(*features.KEYS, *THREE)
+
+
+@query("v3_vif_three_features", sql("SELECT feature, round(vif, 4) AS vif FROM vif_three", "vif_three"))
 def v3_vif_three_features(spark, d):
     return rounded(selection.vif(brand_features(spark, d), list(THREE)), 4, "vif")
 
 
+@query(
+    "v5_sets_of_three_features",
+    sql(
+        """SELECT feature_set, feature FROM (SELECT feature FROM vif_three WHERE vif <= 10), (SELECT unnest(['conservative', 'intermediate', 'aggressive']) AS feature_set)
+WHERE feature_set = 'aggressive' OR feature <> 'ma_4'""",
+        "vif_three",
+    ),
+)
+def v5_sets_of_three_features(spark, d):
+    """All three tell of the past; of the averages the narrower sets keep two others."""
+    df = three_features(spark, d)
+    return selection.set_members(features.feature_columns(df), selection.problem_features(selection.vif(df)), spark)
+
+
+@query(
+    "v6_summary_of_three_features",
+    sql(
+        f"""SELECT total_registros, pares_095, pares_090, features_problema, 3 AS total_features, 3 AS n_pasado, 0 AS n_futuro, 0 AS n_temporal,
+  CAST(3 - features_problema AS INTEGER) AS n_aggressive, CAST(narrow AS INTEGER) AS n_conservative, CAST(narrow AS INTEGER) AS n_intermediate
+FROM (SELECT COUNT(*) AS total_registros FROM features),
+  (SELECT COUNT(*) FILTER (abs(r) > 0.95) AS pares_095, COUNT(*) FILTER (abs(r) > 0.90) AS pares_090
+   FROM ({_matrix_sql([(a, b) for a in THREE for b in THREE if a < b])})),
+  (SELECT COUNT(*) FILTER (vif > 10) AS features_problema, COUNT(*) FILTER (vif <= 10 AND feature <> 'ma_4') AS narrow FROM vif_three)""",
+        "vif_three",
+    ),
+)
+def v6_summary_of_three_features(spark, d):
+    df = three_features(spark, d)
+    return selection.selection_summary(df, selection.correlation_matrix(df), selection.vif(df))
+
+
+@query("v7_top_vif_of_three_features", sql("SELECT feature, round(vif, 4) AS vif FROM vif_three ORDER BY vif_three.vif DESC LIMIT 2", "vif_three"))
+def v7_top_vif_of_three_features(spark, d):
+    return rounded(selection.top_by(selection.vif(brand_features(spark, d), list(THREE)), "vif", 2), 4, "vif")
+
+
 TARGET = _matrix_sql([(c, "salida") for c in NAMES])
 
 
@@ -95,9 +136,24 @@ def v4_target_correlation(spark, d):
     return out.withColumns({"correlacion": F.round("correlacion", 6) + 0.0, "abs_corr": F.round("abs_corr", 6)})
 
 
-@query("v4_target_p_values")
+# Student's t for whole degrees of freedom v as a finite series in s = |r| and c2 = 1 - r^2: the share of the distribution within t.
+P_VALUE = """CASE WHEN r IS NULL OR v <= 0 THEN 1.0 WHEN c2 <= 0 THEN 0.0 WHEN v % 2 = 0 THEN
+  1 - s * list_sum(list_transform(range(0, v // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1.0) - 0.5 * ln(pi()) + j * ln(c2))))
+ELSE 1 - 2 / pi() * (asin(s) + CASE WHEN v = 1 THEN 0.0 ELSE s * list_sum(list_transform(range(0, (v - 1) // 2),
+  lambda j: exp(0.5 * ln(pi()) - ln(2.0) + lgamma(j + 1.0) - lgamma(j + 1.5) + (j + 0.5) * ln(c2)))) END) END"""
+
+
+@query(
+    "v4_target_p_values",
+    sql(
+        f"""SELECT feature, round(COALESCE(r, 0.0), 6) + 0.0 AS correlacion, round(abs(COALESCE(r, 0.0)), 6) AS abs_corr, round(abs({P_VALUE}), 6) AS pvalor
+FROM (SELECT a AS feature, r, abs(r) AS s, 1 - r * r AS c2, (SELECT COUNT(*) - 2 FROM features) AS v FROM ({TARGET}))""",
+        "features",
+    ),
+)
 def v4_target_p_values(spark, d):
-    return selection.target_correlation(brand_features(spark, d))
+    out = selection.target_correlation(brand_features(spark, d), NAMES)
+    return out.withColumns({"correlacion": F.round("correlacion", 6) + 0.0, "abs_corr": F.round("abs_corr", 6), "pvalor": F.abs(F.round("pvalor", 6))})
 
 
 @query("v5_feature_sets")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from demand_engine.functions.moments import incomplete_beta
+from demand_engine.functions.moments import correlation_p_value
 from demand_engine.operators import selection
 
 
@@ -77,10 +77,31 @@ def test_target_correlation_and_p_value(frame):
     assert out["trend_4"]["pvalor"] == pytest.approx(2 * np.trapezoid(density, grid), rel=1e-4)
 
 
-def test_incomplete_beta_known_values():
-    assert incomplete_beta(0.5, 0.5, 0.5) == pytest.approx(0.5)
-    assert incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248)
-    assert incomplete_beta(1, 1, 0.3) == pytest.approx(0.3)
+def tail_of_t(r, n):
+    """What of Student's t lies beyond, as the rest of a series of positive terms: good for tiny values, too."""
+    v, s, c2 = n - 2, abs(r), 1 - r * r
+    if v % 2 == 0:
+        first, terms = v // 2, lambda j: math.lgamma(j + 0.5) - math.lgamma(j + 1) - 0.5 * math.log(math.pi) + j * math.log(c2)
+    else:
+        first, terms = (v - 1) // 2, lambda j: 0.5 * math.log(math.pi) - math.log(2) + math.lgamma(j + 1) - math.lgamma(j + 1.5) + (j + 0.5) * math.log(c2)
+        s *= 2 / math.pi
+    total, j = 0.0, first
+    while (term := math.exp(terms(j))) > 1e-18 * total and term > 0:
+        total, j = total + term, j + 1
+    return s * total
+
+
+def test_p_values(spark):
+    cases = [(r, n) for n in (3, 4, 5, 6, 30, 61, 1000, 9001) for r in (0.05, -0.2, 0.5, -0.9, 0.999)]
+    df = spark.createDataFrame(cases, "r double, n long").select("r", "n", correlation_p_value("r", "n").alias("p"))
+    for row in df.collect():
+        if (want := tail_of_t(row["r"], row["n"])) > 1e-290:
+            assert row["p"] == pytest.approx(want, rel=1e-8), (row["r"], row["n"])
+    odd = spark.createDataFrame([(None, 9), (0.0, 9), (1.0, 9), (-1.0, 9), (0.4, 2), (0.4, 1), (1e-5, 10**9), (0.01, 10**9)], "r double, n long")
+    got = [row["p"] for row in odd.select(correlation_p_value("r", "n").alias("p")).collect()]
+    assert got[:6] == [1.0, 1.0, 0.0, 0.0, 1.0, 1.0]
+    assert got[6] == pytest.approx(math.erfc(1e-5 * math.sqrt(5e8)), rel=1e-6) and got[7] == 0.0  # the normal distribution
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_feature_sets():

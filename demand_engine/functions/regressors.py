@@ -45,6 +45,15 @@ class Ridge:
         return x @ self.w + self.intercept
 
 
+def indicators(columns: list[np.ndarray]) -> np.ndarray:
+    """A 0/1 column for every value of each of the columns, values in order; None has none."""
+    blocks = [np.zeros((len(columns[0]) if columns else 0, 0))]
+    for values in columns:
+        known = sorted({v for v in values if v is not None})
+        blocks.append((values[:, None] == np.array(known, object)[None, :]).astype(float))
+    return np.hstack(blocks)
+
+
 def usable(x: np.ndarray) -> np.ndarray:
     """Which columns have at least two numbers."""
     return (~np.isnan(x)).sum(axis=0) >= 2

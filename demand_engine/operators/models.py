@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside
-from demand_engine.functions.regressors import Moments, Ridge, usable
+from demand_engine.functions.regressors import Moments, Ridge, indicators, usable
 from demand_engine.session import keep_table
 
 # The parameter grids.
@@ -83,19 +83,26 @@ def numeric(columns: list[str]) -> list[Column]:
     return [F.coalesce(F.col(c).cast("string"), F.lit("0")).try_cast("double").alias(c) for c in columns]
 
 
-def cross_validate(df: DataFrame, columns: list[str], grid: dict | None = None) -> DataFrame:
+def texts(columns: Iterable[str]) -> list[Column]:
+    return [F.col(c).cast("string").alias(c) for c in columns]
+
+
+def cross_validate(df: DataFrame, columns: list[str], grid: dict | None = None, categories: Iterable[str] = ()) -> DataFrame:
     """Out-of-fold predictions of every candidate, per SKU, on the columns that are usable there.
 
+    ``categories`` are text columns; the values that a SKU has become its indicators (G14), made inside its group, so their
+    number over all SKUs doesn't matter.
+
     One group per SKU: a series has a few hundred weeks. Each row enters the running moments once, after the last fold that
     it is tested in, and a fold's penalties share one factorisation. A SKU without a usable column has no row.
     """
-    listed = candidates(grid or FULL_GRID)
+    listed, categories = candidates(grid or FULL_GRID), list(categories)
     alphas = [c["params"]["alpha"] for c in listed]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("week_start")
         x, y, weeks = pdf[columns].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float), pdf["week_start"].to_numpy()
-        x = np.nan_to_num(x[:, usable(x)])
+        x = np.hstack([np.nan_to_num(x[:, usable(x)]), indicators([pdf[c].to_numpy(object) for c in categories]) if categories else x[:, :0]])
         parts = [pd.DataFrame(columns=["sku", "algorithm", "candidate", "fold", "week_start", "y", "yhat"])]
         so_far, done = Moments(x.mean(axis=0), y.mean()), 0
         for fold, (start, end) in enumerate(fold_bounds(len(y)) if x.shape[1] else []):
@@ -107,7 +114,7 @@ def cross_validate(df: DataFrame, columns: list[str], grid: dict | None = None)
                                            "fold": np.int32(fold), "week_start": weeks[start:end], "y": y[start:end], "yhat": yhat[:, k]}))
         return pd.concat(parts[1:] or parts, ignore_index=True)
 
-    data = df.select("sku", "week_start", F.col("salida").cast("double").alias("_y"), *numeric(columns))
+    data = df.select("sku", "week_start", F.col("salida").cast("double").alias("_y"), *numeric(columns), *texts(categories))
     return data.groupBy("sku").applyInPandas(run, PREDICTIONS)
 
 
@@ -165,13 +172,13 @@ def with_params(best: DataFrame, grid: dict | None = None) -> DataFrame:
 
 
 def search(
-    df: DataFrame, columns: list[str], grid: dict | None = None, keep: Callable[[DataFrame], DataFrame] = keep_table
+    df: DataFrame, columns: list[str], grid: dict | None = None, keep: Callable[[DataFrame], DataFrame] = keep_table, categories: Iterable[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(best candidate per SKU and algorithm, winner per SKU), both with their parameters.
 
     Both come from the same predictions, and the search is the costly part: ``keep`` writes its result.
     """
-    best = keep(with_params(best_candidates(mean_scores(score_folds(cross_validate(df, columns, grid)))), grid))
+    best = keep(with_params(best_candidates(mean_scores(score_folds(cross_validate(df, columns, grid, categories)))), grid))
     return best, with_params(select_winner(best), grid)
 
 

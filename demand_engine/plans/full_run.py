@@ -138,9 +138,10 @@ def model_and_plan(
     chosen = run["demand_class"].where(F.col("grupo").isin(*groups))
     table = cleaning.critical_only(run["features"], chosen)
     columns = features.feature_columns(table, leak_safe)
-    best, winners = models.search(table, columns, grid, lambda df: run.keep("model_scores", df))
+    categories = tuple(c for c in weekly.MODES if c in table.columns)
+    best, winners = models.search(table, columns, grid, lambda df: run.keep("model_scores", df), categories)
     winners = run.keep("winners", winners)
-    fitted = run.keep("fitted", forecast.fit_final(table, winners, columns))
+    fitted = run.keep("fitted", forecast.fit_final(table, winners, columns, categories=categories))
     points = run.keep("forecast", forecast.recursive_forecast(table, winners, fitted, columns))
     run.tables |= {
         "model_comparison": models.model_comparison(best),

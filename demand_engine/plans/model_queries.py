@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import rounded
-from demand_engine.operators import cleaning, demand_class, features, forecast, models
+from demand_engine.operators import cleaning, demand_class, features, forecast, models, weekly
 from demand_engine.plans.registry import PARTS, part, query, sql
 from demand_engine.plans.series_queries import brand_dense, brand_features, classes
 from demand_engine.session import keep_table
@@ -20,7 +20,7 @@ part(
     "folds",
     ("features",),
     f"""
-SELECT sku, week_start, salida, {", ".join(NAIVE)}, fold, i < n - (k - fold) * size AS is_train
+SELECT sku, week_start, salida, {", ".join(NAIVE)}, canal_modo, fold, i < n - (k - fold) * size AS is_train
 FROM (SELECT *, CAST(unnest(generate_series(0, k - 1)) AS INTEGER) AS fold FROM (
   SELECT *, n // (k + 1) AS size FROM (
     SELECT *, least(5, greatest(2, n // 4)) AS k FROM (
@@ -79,7 +79,8 @@ def _round(df):
 def critical_features(spark, d) -> DataFrame:
     """Feature rows of the SKUs of the first demand group, written for the model search."""
     group = classes(spark, d).where(F.col("grupo") == demand_class.GROUP_1)
-    return keep_table(cleaning.critical_only(brand_features(spark, d), group), "critical")
+    rows = features.build_features(brand_dense(spark, d, ("cliente", "canal", "punto")))
+    return keep_table(cleaning.critical_only(rows, group), "critical")
 
 
 EVERY = [c for c in features.ROLES if c not in features.LEAKING]
@@ -102,7 +103,7 @@ def _model_columns(df):
 
 def _scores(spark, d, grid):
     df = critical_features(spark, d)
-    return models.score_folds(models.cross_validate(df, _model_columns(df), grid))
+    return models.score_folds(models.cross_validate(df, _model_columns(df), grid, weekly.MODES))
 
 
 @query("w3_ridge_grid")
@@ -135,6 +136,17 @@ def w3_ridge_two_features(spark, d):
     return found.select("sku", "candidate", "fold", "week_start", (F.round("yhat", 4) + 0.0).alias("yhat"))
 
 
+X1, X2 = "COALESCE(lag_1, 0.0) AS x1", "COALESCE(ma_4, 0.0) AS x2"
+part("ridge_channel", ("folds",), PARTS["ridge_two"].replace(X1, "CAST(canal_modo = 'Online' AS DOUBLE) AS x1").replace(X2, "CAST(canal_modo = 'Presencial' AS DOUBLE) AS x2"))
+
+
+@query("w3_ridge_channel", sql("SELECT sku, candidate, fold, week_start, round(yhat, 4) + 0.0 AS yhat FROM ridge_channel", "ridge_channel"))
+def w3_ridge_channel(spark, d):
+    """The two indicators of the channel alone."""
+    found = models.cross_validate(brand_dense(spark, d, ("canal",)), [], categories=("canal_modo",))
+    return found.select("sku", "candidate", "fold", "week_start", (F.round("yhat", 4) + 0.0).alias("yhat"))
+
+
 # Scores of the fitted models: every penalty of the grid, the best one of each SKU.
 part(
     "ridge_folds",
@@ -295,16 +307,20 @@ def x6_forecast_pivot(spark, d):
     return forecast.forecast_pivot(keep_table(level_forecast(brand_dense(spark, d)), "forecast"))
 
 
-def _fitted(spark, d, df=None, columns=None):
-    """Feature rows, winners, final fits and the columns of a search; by default of all columns that don't leak."""
-    df = critical_features(spark, d) if df is None else df
-    columns = columns or _model_columns(df)
-    _, winners = models.search(df, columns)
-    return df, winners, keep_table(forecast.fit_final(df, winners, columns), "fitted"), columns
+def _fits(df, columns, categories=()):
+    """Feature rows, winners, final fits and the columns of a search."""
+    _, winners = models.search(df, columns, categories=categories)
+    return df, winners, keep_table(forecast.fit_final(df, winners, columns, categories=categories), "fitted"), columns
+
+
+def _fitted(spark, d):
+    """All columns that don't leak, and client, channel and point of sale."""
+    df = critical_features(spark, d)
+    return _fits(df, _model_columns(df), weekly.MODES)
 
 
 def fitted_two(spark, d):
-    return _fitted(spark, d, keep_table(brand_features(spark, d), "features"), list(TWO))
+    return _fits(keep_table(brand_features(spark, d), "features"), list(TWO))
 
 
 @query("x2_residual_stats")

@@ -9,6 +9,7 @@ from demand_engine.functions.regressors import Ridge
 from demand_engine.operators import features, forecast, models
 from test_weekly_features import dense_of
 
+FITTED = "sku string, last_week date, intercept double, weights array<double>, latest array<double>, standing double, tail array<double>"
 SMALL = {"Ridge": {"alpha": [1.0, 10.0]}}
 
 
@@ -81,8 +82,8 @@ def test_recursion_feeds_predictions_back(spark, n):
     columns = ["lag_1", "ma_2", "mes", "lag_4", "lag_52", "ma_26", "semana_sin", "trim_1", "yoy_ratio"]
     demand, latest, weights = rng.gamma(2, 10, n), rng.normal(size=9), rng.normal(size=9) / 4
     last = dt.date(2023, 11, 6)
-    row = ("a", last, 7.0, weights.tolist(), latest.tolist(), demand[-52:].tolist())
-    fitted = spark.createDataFrame([row], "sku string, last_week date, intercept double, weights array<double>, latest array<double>, tail array<double>")
+    row = ("a", last, 4.0, weights.tolist(), latest.tolist(), 3.0, demand[-52:].tolist())
+    fitted = spark.createDataFrame([row], FITTED)
 
     def ahead(h):
         day = last + dt.timedelta(weeks=h)
@@ -94,8 +95,7 @@ def test_recursion_feeds_predictions_back(spark, n):
 
 
 def test_the_recursion_stays_in_the_jvm(spark):
-    fitted = spark.createDataFrame([("a", dt.date(2023, 1, 2), 1.0, [0.5], [1.0], [4.0])],
-                                   "sku string, last_week date, intercept double, weights array<double>, latest array<double>, tail array<double>")
+    fitted = spark.createDataFrame([("a", dt.date(2023, 1, 2), 1.0, [0.5], [1.0], 0.0, [4.0])], FITTED)
     plan = forecast.unroll(fitted, ["lag_1"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
 
@@ -177,3 +177,34 @@ def test_one_training_week_has_the_scores_width(series):
     row = forecast.fit_final(df, winners, ["x"]).first()
     assert (row["resid_std"], row["sales_std"], row["intercept"]) == (None, 3.5, 4.0)
     assert forecast.fit_final(df, winners.drop("mae"), ["x"]).first()["sales_std"] == 50.0
+
+
+def with_categories(df, clients=1500):
+    """Weeks with a client each, over all SKUs as many as asked, and a channel."""
+    return df.withColumns({"cliente_modo": F.concat(F.lit("c"), (F.abs(F.hash("sku", "week_start")) % clients).cast("string")),
+                           "canal_modo": F.when(F.month("week_start") > 6, "Tienda").otherwise("Web")})
+
+
+def indicator_matrix(pdf):
+    return np.column_stack([(pdf[c] == v).to_numpy(float) for c in ("cliente_modo", "canal_modo") for v in sorted(pdf[c].dropna().unique())])
+
+
+def test_categories_reach_the_models(series, spark):
+    """1,500 clients over all SKUs: each SKU's own become its indicators, in the search, the final fit and the forecast."""
+    rng = np.random.default_rng(8)
+    table = with_categories(series({f"p{i}": rng.gamma(2, 10, 60) + (np.arange(60) % 52 > 26) * 50 for i in range(60)}).withColumn("x", F.col("salida") * 0 + F.rand(1))).persist()
+    assert table.select("cliente_modo").distinct().count() > 1300
+    names = ("cliente_modo", "canal_modo")
+    out = models.cross_validate(table, ["x"], {"Ridge": {"alpha": [2.0]}}, names).toPandas()
+    _, winners = models.search(table, ["x"], {"Ridge": {"alpha": [2.0]}}, lambda df: df, names)
+    fitted = {r["sku"]: r for r in forecast.fit_final(table, winners, ["x"], categories=names).collect()}
+    assert len(fitted) == 60
+    for sku in ("p0", "p17", "p59"):
+        pdf = table.where(F.col("sku") == sku).toPandas().sort_values("week_start")
+        x, y = np.column_stack([pdf["x"], indicator_matrix(pdf)]), pdf["salida"].to_numpy()
+        for f, (start, end) in enumerate(models.fold_bounds(60)):
+            mine = out[(out["sku"] == sku) & (out["fold"] == f)].sort_values("week_start")["yhat"]
+            np.testing.assert_allclose(mine, Ridge(2.0).fit(x[:start], y[:start]).predict(x[start:end]), rtol=1e-8)
+        model, row = Ridge(2.0).fit(x, y), fitted[sku]
+        np.testing.assert_allclose(row["intercept"] + row["weights"][0] * row["latest"][0] + row["standing"], model.predict(x[-1:])[0])
+        np.testing.assert_allclose(row["residuals"], y - model.predict(x), atol=1e-8)

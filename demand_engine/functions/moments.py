@@ -51,6 +51,39 @@ def pair_sums(df: DataFrame, columns: list[str], targets: list[str] | None = Non
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
 
 
+def indicator_sums(indicators: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """``pair_sums`` of each indicator (a) with each column (b), from the sparse form: rows (sku, week_start, feature) that are 1.
+
+    An indicator is 0 in the other weeks of the SKUs that ever have it, and unknown for other SKUs. So what it takes is sums per
+    SKU, joined to the SKUs that have it, and sums over the weeks in which it is 1; no row is made for a 0.
+    """
+    numeric = df.select("sku", "week_start", *[F.col(c).try_cast("double").alias(c) for c in columns])
+    numeric = numeric.select("sku", "week_start", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+    means = numeric.agg(*[F.mean(c).alias(c) for c in columns]).first()  # k numbers
+    moved = numeric.select("sku", "week_start", *[(F.col(c) - (means[c] or 0.0)).alias(c) for c in columns])
+
+    def listed(**sums) -> Column:
+        return F.array(*[F.struct(F.lit(c).alias("b"), *[f(F.col(c)).cast("double").alias(k) for k, f in sums.items()]) for c in columns])
+
+    by_sku = moved.groupBy("sku").agg(listed(n=F.count, sb=F.sum, sbb=lambda x: F.sum(x * x)).alias("s"))
+    around = indicators.select("sku", F.col("feature").alias("a")).distinct().join(by_sku, "sku").select("a", F.explode("s").alias("s"))
+    around = around.groupBy("a", "s.b").agg(*[F.sum(f"s.{c}").alias(c) for c in ("n", "sb", "sbb")])
+    hits = indicators.select("sku", "week_start", F.col("feature").alias("a")).join(moved, ["sku", "week_start"])
+    inside = hits.groupBy("a").agg(listed(sa=F.count, sab=F.sum).alias("s")).select("a", F.explode("s").alias("s")).select("a", "s.b", "s.sa", "s.sab")
+    return around.join(inside, ["a", "b"]).withColumns({"saa": F.col("sa"), "sab": F.coalesce("sab", F.lit(0.0))})
+
+
+def indicator_pair_sums(indicators: DataFrame, df: DataFrame) -> DataFrame:
+    """``pair_sums`` of each two indicators (a < b) that some SKU has both of: common weeks from a join on (SKU, week)."""
+    weeks = df.groupBy("sku").agg(F.count("*").cast("double").alias("n"))
+    own = indicators.groupBy("sku", "feature").agg(F.count("*").cast("double").alias("m")).join(weeks, "sku")
+    one, two = own.toDF("sku", "a", "sa", "n"), own.drop("n").toDF("sku", "b", "sb")
+    both = one.join(two, "sku").where("a < b").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb")])
+    left, right = indicators.select("sku", "week_start", F.col("feature").alias("a")), indicators.select("sku", "week_start", F.col("feature").alias("b"))
+    common = left.join(right, ["sku", "week_start"]).where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("sab"))
+    return both.join(common, ["a", "b"], "left").withColumns({"saa": F.col("sa"), "sbb": F.col("sb"), "sab": F.coalesce("sab", F.lit(0.0))})
+
+
 def pearson(sums: DataFrame) -> DataFrame:
     """``a, b, n, r`` from pair sums; r is null for a constant column or fewer than two rows."""
     va = F.col("saa") - F.col("sa") * F.col("sa") / F.nullif("n", F.lit(0.0))

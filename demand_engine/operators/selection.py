@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demand_engine.functions.expressions import beside
-from demand_engine.functions.moments import correlation_p_value, pair_sums, pearson
+from demand_engine.functions.moments import correlation_p_value, indicator_pair_sums, indicator_sums, pair_sums, pearson
 from demand_engine.operators import features
 from demand_engine.operators.features import KEYS, feature_columns
 
@@ -70,7 +70,10 @@ def inflation_factors(gram: np.ndarray) -> np.ndarray:
 def target_correlation(df: DataFrame, columns: list[str] | None = None, target: str = "salida") -> DataFrame:
     """V4: correlation with the target and its p-value; (0, 1) where it is not defined."""
     names = columns or feature_columns(df)
-    r = pearson(pair_sums(df, [*names, target], [target])).where(F.col("a") != target)
+    return _with_p_value(pearson(pair_sums(df, [*names, target], [target])).where(F.col("a") != target))
+
+
+def _with_p_value(r: DataFrame) -> DataFrame:
     return r.select(
         F.col("a").alias("feature"),
         F.coalesce("r", F.lit(0.0)).alias("correlacion"),
@@ -79,6 +82,17 @@ def target_correlation(df: DataFrame, columns: list[str] | None = None, target:
     )
 
 
+def indicator_correlation(indicators: DataFrame, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """V1 for the sparse indicators (G14): correlation of each with each column, and of each two that a SKU has both of."""
+    with_columns = pearson(indicator_sums(indicators, df, columns or feature_columns(df)))
+    return with_columns.unionByName(pearson(indicator_pair_sums(indicators, df)))
+
+
+def indicator_target(indicators: DataFrame, df: DataFrame, target: str = "salida") -> DataFrame:
+    """V4 for the sparse indicators, however many: correlation with the target and its p-value."""
+    return _with_p_value(pearson(indicator_sums(indicators, df, [target])))
+
+
 def top_by(df: DataFrame, column: str, n: int, name: str = "feature") -> DataFrame:
     """V7: the n largest rows of a feature table (30 and 25 by correlation, 20 by inflation)."""
     return df.orderBy(F.desc_nulls_last(column), name).limit(n)

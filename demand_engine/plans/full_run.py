@@ -121,6 +121,7 @@ def build_model_table(run: Run, one_hot: tuple[str, ...] = ("trimestre",)) -> Ru
     matrix, factors = run.keep("correlation", selection.correlation_matrix(table)), run.keep("vif", selection.vif(table))
     run.tables |= {
         "target_correlation": selection.target_correlation(table),
+        "indicator_target": selection.indicator_target(run.tables["indicators"], table),
         "selection_summary": selection.selection_summary(table, matrix, factors),
         **{f"features_{k}": v for k, v in selection.select_sets(table, factors).items()},
     }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from demand_engine.functions.expressions import rounded
 from demand_engine.operators import features, selection
 from demand_engine.plans.registry import part, query, sql
+from demand_engine.plans.series_queries import LONG, brand_dense
 from demand_engine.plans.series_queries import brand_features as lazy_features
 from demand_engine.session import keep_table
 
@@ -201,3 +202,52 @@ def v7_top_correlation_matrix(spark, d):
 @query("v7_top_vif_list")
 def v7_top_vif_list(spark, d):
     return rounded(selection.top_by(selection.vif(brand_features(spark, d)), "vif", 20), 4, "vif")
+
+
+# Indicators of client, channel, point of sale and quarter: 0 in the other weeks of the SKUs that ever have them.
+part("indicators", ("raw_features",), LONG)
+part(
+    "indicator_rows",
+    ("indicators", "raw_features"),
+    """
+SELECT h.feature, r.sku, r.week_start, r.salida, r.ma_4, CASE WHEN i.feature IS NULL THEN 0 ELSE 1 END AS v
+FROM (SELECT DISTINCT sku, feature FROM indicators) h JOIN (SELECT sku, week_start, salida, COALESCE(ma_4, 0.0) AS ma_4 FROM raw_features) r USING (sku)
+LEFT JOIN indicators i ON i.sku = h.sku AND i.feature = h.feature AND i.week_start = r.week_start""",
+)
+FEW = "feature LIKE 'canal%' OR feature LIKE 'trim%' OR feature LIKE 'punto%'"
+
+
+def indicators_of(spark, d):
+    """The dense series of all brands, and its indicators, both written once."""
+    dense = keep_table(features.calendar_features(brand_dense(spark, d, ("cliente", "canal", "punto"))), "dense")
+    return dense, keep_table(features.one_hot_long(dense), "indicators")
+
+
+@query(
+    "v4_indicator_target",
+    sql(
+        f"""SELECT feature, round(COALESCE(r, 0.0), 6) + 0.0 AS correlacion, round(abs(COALESCE(r, 0.0)), 6) AS abs_corr, round(abs({P_VALUE}), 6) AS pvalor
+FROM (SELECT feature, r, abs(r) AS s, 1 - r * r AS c2, v FROM (SELECT feature, {_corr("v", "salida")} AS r, COUNT(*) - 2 AS v FROM indicator_rows GROUP BY feature))""",
+        "indicator_rows",
+    ),
+)
+def v4_indicator_target(spark, d):
+    dense, indicators = indicators_of(spark, d)
+    out = selection.indicator_target(indicators, dense)
+    return out.withColumns({"correlacion": F.round("correlacion", 6) + 0.0, "abs_corr": F.round("abs_corr", 6), "pvalor": F.abs(F.round("pvalor", 6))})
+
+
+@query(
+    "v1_indicator_pairs",
+    sql(
+        f"""SELECT x.feature AS a, y.feature AS b, COUNT(*) AS n, round({_corr("x.v", "y.v")}, 6) + 0.0 AS r
+FROM (SELECT * FROM indicator_rows WHERE {FEW}) x JOIN (SELECT * FROM indicator_rows WHERE {FEW}) y ON x.sku = y.sku AND x.week_start = y.week_start AND x.feature < y.feature
+GROUP BY 1, 2 UNION ALL SELECT feature, c, COUNT(*), round(corr, 6) + 0.0 FROM (
+  SELECT feature, 'salida' AS c, {_corr("v", "salida")} AS corr, unnest(range(COUNT(*))) FROM indicator_rows WHERE {FEW} GROUP BY feature) GROUP BY ALL""",
+        "indicator_rows",
+    ),
+)
+def v1_indicator_pairs(spark, d):
+    dense, indicators = indicators_of(spark, d)
+    few = indicators.where("feature LIKE 'canal%' OR feature LIKE 'trim%' OR feature LIKE 'punto%'")
+    return selection.indicator_correlation(few, dense, ["salida"]).withColumn("r", F.round("r", 6) + 0.0)

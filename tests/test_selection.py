@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demand_engine.functions.moments import correlation_p_value
-from demand_engine.operators import selection
+from demand_engine.operators import features, selection
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +131,37 @@ def test_roles_do_not_depend_on_what_categories_are_called():
     roles = selection.feature_roles(names)
     assert roles == {**dict.fromkeys(names[:4], "futuro"), "trend_vs_ma4": "pasado", "ewma_4": "pasado"}
     assert selection.feature_sets(names, [])["intermediate"] == ["trend_vs_ma4", *names[:4]]
+
+
+def test_sparse_indicators_equal_their_wide_columns(spark):
+    """1,500 clients: correlations from the sparse form against numpy on the wide one."""
+    rng = np.random.default_rng(11)
+    rows = [(f"s{s}", dt.date(2020, 1, 6) + dt.timedelta(weeks=w), float(rng.gamma(2, 10)), f"c{int(rng.integers(1500)) if s < 40 else s}", ["a", "b"][int(rng.integers(2))])
+            for s in range(45) for w in range(40)]
+    df = spark.createDataFrame(rows, "sku string, week_start date, salida double, cliente_modo string, canal_modo string")
+    long = features.one_hot_long(df, {"cliente_modo": "empresa", "canal_modo": "canal"}).persist()
+    assert long.select("feature").distinct().count() > 900
+    wide = {}
+    for c, prefix, k in (("cliente_modo", "empresa", 3), ("canal_modo", "canal", 4)):
+        for v in {r[k] for r in rows}:
+            skus = {r[0] for r in rows if r[k] == v}
+            wide[f"{prefix}_{v}"] = np.array([float(r[k] == v) if r[0] in skus else np.nan for r in rows])
+    y = np.array([r[2] for r in rows])
+    for r in selection.indicator_target(long, df).collect():
+        v = wide[r["feature"]]
+        ok = ~np.isnan(v)
+        if v[ok].min() == v[ok].max():
+            assert (r["correlacion"], r["pvalor"]) == (0.0, 1.0)
+        else:
+            assert r["correlacion"] == pytest.approx(np.corrcoef(v[ok], y[ok])[0, 1], abs=1e-9)
+    some = {f"empresa_c{s}" for s in range(40, 45)} | {"canal_a", "canal_b"} | set(list(wide)[:30])
+    pairs = selection.indicator_correlation(long.where(F.col("feature").isin(*some)), df, ["salida"]).where("b <> 'salida'").collect()
+    seen = set()
+    for r in pairs:
+        a, b = wide[r["a"]], wide[r["b"]]
+        ok = ~np.isnan(a) & ~np.isnan(b)
+        seen.add((r["a"], r["b"]))
+        assert r["n"] == ok.sum()
+        flat = a[ok].min() == a[ok].max() or b[ok].min() == b[ok].max()
+        assert (r["r"] is None) if flat else r["r"] == pytest.approx(np.corrcoef(a[ok], b[ok])[0, 1], abs=1e-9)
+    assert seen == {(a, b) for a in some for b in some if a < b and (~np.isnan(wide[a]) & ~np.isnan(wide[b])).any()}

@@ -7,9 +7,11 @@ are split by Spark where a passage is common.
 
 ``without_repeats``, which the pipeline's stage uses, also removes passages of ``PASSAGE`` words or more that lie on fewer
 lines or begin and end inside lines; white space doesn't matter to them. Of the hashes of ``GRAM`` words in a row the least
-of every ``PASSAGE - GRAM + 1`` neighbours is picked, so two texts that share a passage pick an equal one in it. Texts are
-laid beside the first text with the same pick, and what is equal around it, word by word, is the passage. Where parts of
-it come from several texts, every ``GRAM`` words of it have been seen before. ``dedup_lines`` keeps to lines, as its SQL.
+of every ``PASSAGE - GRAM + 1`` neighbours is picked, so two texts that share a passage pick an equal one in it. Picks that
+lie on one diagonal with the first text that has them give ranges of equal words; what is equal beyond a range's ends is less
+than the ``MARGIN`` up to the next pick, so only these few words of the first text are sent to be compared. Where parts of a
+passage come from several texts, every ``GRAM`` words of it have been seen before, and its last words on either side can stay
+if the first text with the outermost pick goes on differently. ``dedup_lines`` keeps to lines, as its SQL.
 
 Null texts stay null, texts of fewer lines stay whole, an empty table stays empty. What a very long text costs grows with
 its lines, however many of them go. Null ids come first. Rows that agree in id and text are one
@@ -31,6 +33,7 @@ from demand_engine.llm.text import keep_table, slices, words
 
 PASSAGE = 50  # words of a repeated passage that is removed, at least
 GRAM = 32  # words that are hashed together, a power of two
+MARGIN = PASSAGE - GRAM  # words beyond the outermost pick that can be equal, at most
 SLICE = 256 << 10  # bytes of text worked on at once
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 BLANK = "^[\\x09-\\x0D\\x20]*$"
@@ -116,41 +119,69 @@ def picked(text: Column) -> Column:
     return run(text)
 
 
-def equal_runs(text: Column, first: Column, shifts: Column) -> Column:
-    """Ranges (a, b) of the words of ``text`` that ``first`` has, ``shift`` words before; of ``GRAM`` words or more."""
+def borders(text: Column, ends: Column) -> Column:
+    """For every (pos, side) the hashes of up to ``MARGIN`` words of ``text`` before (side 0) or from (side 1) word ``pos`` on."""
 
-    @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, firsts, moved in batches:
+    @F.arrow_udf("array<struct<pos: bigint, side: int, words: binary>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("pos", pa.int64()), ("side", pa.int32()), ("words", pa.binary())]))
+        for texts, asked in batches:
             out = []
             for k in range(len(texts)):
-                one, two, found = word_hashes(texts.slice(k, 1))[0], word_hashes(firsts.slice(k, 1))[0], []
-                for shift in moved[k].as_py():
-                    low, high = max(0, shift), min(len(one), len(two) + shift)
-                    same = np.concatenate([[False], one[low:high] == two[low - shift: high - shift], [False]])
-                    a, b = np.nonzero(same[1:] & ~same[:-1])[0], np.nonzero(same[:-1] & ~same[1:])[0]
-                    found += [{"a": low + int(x), "b": low + int(y)} for x, y in zip(a, b) if y - x >= GRAM]
-                out.append(found)
-            yield pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                hashes = word_hashes(texts.slice(k, 1))[0]
+                out.append([{"pos": x["pos"], "side": x["side"], "words": (hashes[x["pos"]: x["pos"] + MARGIN] if x["side"] else
+                                                                         hashes[max(0, x["pos"] - MARGIN): x["pos"]]).tobytes()} for x in asked[k].as_py()])
+            yield pa.array(out, kind)
+
+    return run(text, ends)
 
-    return run(text, first, shifts)
+
+def runs_of(later: DataFrame) -> DataFrame:
+    """(id, h, first_id, first_h, shift, a, b): picks on one diagonal whose words touch are one range of equal words, a to b - 1."""
+    pick = F.struct(F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h"), (F.col("pos") - F.col("first.pos")).alias("shift"), "pos")
+    sets = later.groupBy("id", "h").agg(F.sort_array(F.collect_set(pick)).alias("p"))  # at most the picks of one text
+    p = F.col("p")
+    same = lambda x, y: F.struct(x["first_id"], x["first_h"], x["shift"]).eqNullSafe(F.struct(y["first_id"], y["first_h"], y["shift"]))
+    opens = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | ~same(p[i], p[i - 1]) | (p[i]["pos"] > p[i - 1]["pos"] + GRAM))
+    sets = sets.withColumn("opens", opens)
+    last = lambda k: p[F.coalesce(F.get("opens", k + 1), F.size(p)) - 1]["pos"] + GRAM
+    runs = F.transform("opens", lambda i, k: F.struct(p[i]["first_id"].alias("first_id"), p[i]["first_h"].alias("first_h"), p[i]["shift"].alias("shift"),
+                                                      p[i]["pos"].alias("a"), last(k).alias("b")))
+    return sets.select("id", "h", F.explode(runs).alias("r")).select("id", "h", "r.*")
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(id, h, spans): ranges of words seen before, for the documents that have some."""
+    """(id, h, runs): ranges of words seen before, with the words that stood around them then, for the documents that have some.
+
+    Texts travel once, to answer for the borders of the ranges; between the picks of a range all words are known to be equal.
+    """
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
     found = keep_table(texts.select("id", "h", F.explode(picked(F.col("text"))).alias("x")).select("id", "h", "x.*"), "picks")
     place = F.struct("id", "h", "pos")
     firsts = found.groupBy("g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
     later = found.join(firsts.select("g", "first"), "g").where(~place.eqNullSafe(F.col("first")))
-    shift = F.col("pos") - F.col("first.pos")
-    pairs = later.groupBy("id", "h", F.col("first.id").alias("first_id"), F.col("first.h").alias("first_h")).agg(F.collect_set(shift).alias("shifts"))
-    pairs = keep_table(pairs, "pairs")
-    one, two = texts.toDF("one_id", "one_h", "one"), texts.toDF("two_id", "two_h", "two")
-    beside = pairs.join(one, pairs["id"].eqNullSafe(one["one_id"]) & (pairs["h"] == one["one_h"]))
-    beside = beside.join(two, beside["first_id"].eqNullSafe(two["two_id"]) & (beside["first_h"] == two["two_h"]))
-    runs = beside.select("id", "h", equal_runs(F.col("one"), F.col("two"), F.col("shifts")).alias("runs"))
-    return runs.where(F.size("runs") > 0).groupBy("id", "h").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("spans"))
+    runs = keep_table(runs_of(later), "runs")
+    ends = F.array(F.struct((F.col("a") - F.col("shift")).alias("pos"), F.lit(0).alias("side")), F.struct((F.col("b") - F.col("shift")).alias("pos"), F.lit(1).alias("side")))
+    asked = runs.select("first_id", "first_h", F.explode(ends).alias("e")).groupBy("first_id", "first_h").agg(F.collect_set("e").alias("ends"))
+    beside = texts.dropDuplicates(["id", "h"]).join(asked, texts["id"].eqNullSafe(asked["first_id"]) & (texts["h"] == asked["first_h"]))
+    answers = beside.select("first_id", "first_h", F.explode(borders(F.col("text"), F.col("ends"))).alias("e")).select("first_id", "first_h", "e.*")
+    answers = keep_table(answers, "borders")
+    for side, at, name in ((0, "a", "before"), (1, "b", "behind")):
+        one = answers.where(F.col("side") == side).toDF("f_id", "f_h", "f_pos", "side", name).drop("side")
+        runs = runs.join(one, runs["first_id"].eqNullSafe(one["f_id"]) & (runs["first_h"] == one["f_h"]) & (runs[at] - runs["shift"] == one["f_pos"])).drop("f_id", "f_h", "f_pos")
+    return runs.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b", "before", "behind")).alias("runs"))
+
+
+def grown(hashes: np.ndarray, runs: list[dict]) -> list[dict]:
+    """The ranges, in order, with the equal words around them: words of the text (``hashes``) against those of the first place."""
+    out = []
+    for r in runs:
+        before, behind = np.frombuffer(r["before"], np.uint64), np.frombuffer(r["behind"], np.uint64)
+        n, m = min(len(before), r["a"]), min(len(behind), len(hashes) - r["b"])
+        other = np.nonzero(hashes[r["a"] - n: r["a"]][::-1] != before[len(before) - n:][::-1])[0]
+        more = np.nonzero(hashes[r["b"]: r["b"] + m] != behind[:m])[0]
+        out.append({"a": r["a"] - int(other[0] if len(other) else n), "b": r["b"] + int(more[0] if len(more) else m)})
+    return sorted(out, key=lambda x: (x["a"], x["b"]))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -190,29 +221,34 @@ def lines_or_none() -> Column:
     return F.coalesce("gone", F.array().cast("array<int>"))
 
 
-def spans_or_none(spans: Column) -> Column:
-    kind = "array<struct<a: bigint, b: bigint>>"
-    return F.coalesce(spans.cast(kind), F.array().cast(kind))
+def runs_or_none() -> Column:
+    kind = "array<struct<a: bigint, b: bigint, before: binary, behind: binary>>"
+    return F.coalesce(F.col("runs").cast(kind), F.array().cast(kind))
 
 
-def cut(text: Column, gone: Column, spans: Column) -> Column:
+def cut(text: Column, gone: Column, runs: Column) -> Column:
     @F.arrow_udf("string")
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, lines, ranges in batches:
-            yield pa.array([None if x is None else without_spans(x, lines[k].as_py(), ranges[k].as_py()) for k, x in enumerate(texts.to_pylist())], pa.string())
+            out = []
+            for k in range(len(texts)):
+                text, found = texts[k].as_py(), ranges[k].as_py()
+                spans = grown(word_hashes(texts.slice(k, 1))[0], found) if found else []
+                out.append(None if text is None else without_spans(text, lines[k].as_py(), spans))
+            yield pa.array(out, pa.string())
 
-    return run(text, gone, spans)
+    return run.asNondeterministic()(text, gone, runs)  # so that Spark doesn't run it once in a filter and once more for the column
 
 
 def without_repeats(docs: DataFrame, size: int = 3) -> DataFrame:
     """The documents with their repeated passages removed (and n_chars set anew); those of which nothing is left go."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_h"))
-    gone, spans = covered(docs, size), passages(docs).toDF("span_id", "span_h", "spans")
+    gone, spans = covered(docs, size), passages(docs).toDF("span_id", "span_h", "runs")
     marked = rows.join(gone, rows["row_id"].eqNullSafe(gone["id"]) & (rows["row_h"] == gone["h"]), "left")
     marked = marked.join(spans, marked["row_id"].eqNullSafe(spans["span_id"]) & (marked["row_h"] == spans["span_h"]), "left")
-    touched = F.col("gone").isNotNull() | F.col("spans").isNotNull()
+    touched = F.col("gone").isNotNull() | F.col("runs").isNotNull()
     # only texts with something to remove go to Python
-    shorter = cut(F.when(touched, F.col("row.text")), lines_or_none(), spans_or_none(F.col("spans")))
+    shorter = cut(F.when(touched, F.col("row.text")), lines_or_none(), runs_or_none())
     out = marked.select("row", touched.alias("touched"), shorter.alias("shorter"))
     out = out.withColumn("kept_text", F.when(F.col("touched"), F.col("shorter")).otherwise(F.col("row.text")))
     out = out.where((F.col("row.text").isNull()) | (F.col("kept_text") == F.col("row.text")) | ~F.col("kept_text").rlike(BLANK))

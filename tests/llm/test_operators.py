@@ -521,3 +521,39 @@ def test_token_files_spread_one_id_over_several_parts(spark):
     assert [r.doc_id is not None for r in got] == [False] * 300 + [True] * 800
     assert [r.doc_id for r in got[300:]] == sorted(r[0] for r in rows[:800])
     assert got[0].n_tokens == df.where(F.col("doc_id").isNull()).count() // 300 + 1
+
+
+def covered_by_windows(texts, size=50):
+    """For every text its words that lie in a window of ``size`` words that was seen before, by looking at every window."""
+    seen, out = set(), []
+    for text in texts:
+        words, marks = WORDS.findall(text or ""), set()
+        for i in range(len(words) - size + 1):
+            window = tuple(words[i: i + size])
+            if window in seen:
+                marks.update(range(i, i + size))
+            seen.add(window)
+        out.append(marks)
+    return out
+
+
+def test_passages_are_those_of_all_windows(spark):
+    rng = random.Random(9)
+    number = itertools.count()
+    new = lambda n: [f"w{next(number)}" for _ in range(n)]
+    known = [new(rng.randint(40, 90)) for _ in range(6)]
+    texts = []
+    for _ in range(40):  # parts of 40 to 90 words, which always stand whole
+        texts.append(" ".join(new(rng.randint(0, 60)) + rng.choice(known) + new(rng.randint(1, 60)) + rng.choice([[], rng.choice(known)])))
+    texts += [" ".join(["again"] * 130), None, "", " ".join(sum(known[::-1], [])), " ".join(sum(known[::-1], []))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: [x.asDict() for x in r["runs"]] for r in line_dedup.passages(docs).collect()}
+    for i, marks in enumerate(covered_by_windows(texts)):
+        spans = line_dedup.grown(line_dedup.word_hashes(pa.array([texts[i]]))[0], got.get(i, []))
+        assert {k for a, b in line_dedup.merged(spans) for k in range(a, b)} == marks, i
+
+
+def test_texts_with_borrowed_parts_travel_once_and_python_runs_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = line_dedup.without_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

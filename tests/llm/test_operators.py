@@ -549,7 +549,7 @@ def test_passages_are_those_of_all_windows(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["id"]: [x.asDict() for x in r["runs"]] for r in line_dedup.passages(docs).collect()}
     for i, marks in enumerate(covered_by_windows(texts)):
-        spans = line_dedup.grown(line_dedup.word_hashes(pa.array([texts[i]]))[0], got.get(i, []))
+        spans = line_dedup.grown(line_dedup.word_hashes(pa.array([texts[i]], pa.string()))[0], got.get(i, []))
         assert {k for a, b in line_dedup.merged(spans) for k in range(a, b)} == marks, i
 
 

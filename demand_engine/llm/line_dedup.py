@@ -55,12 +55,21 @@ def windows(docs: DataFrame, size: int = 3) -> DataFrame:
     return lines.select("id", "h", F.explode(hashed).alias("x")).select("id", "h", "x.*")
 
 
+def repeats(found: DataFrame, key: str) -> DataFrame:
+    """The rows of (id, h, pos, ``key``, ...) that aren't the first with their key, with that ``first`` (id, h, pos).
+
+    First places are combined before the shuffle and kept as a table, so that both sides of the join come straight from
+    a shuffle and Spark splits a key that a large part of the rows hold.
+    """
+    place = F.struct("id", "h", "pos")
+    firsts = found.groupBy(key).agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
+    firsts = keep_table(firsts.select(key, "first"), "firsts")
+    return found.join(firsts, key).where(~place.eqNullSafe(F.col("first")))
+
+
 def covered(docs: DataFrame, size: int = 3) -> DataFrame:
     """(id, h, gone): the places of the lines to remove, for the documents that have some."""
-    found = windows(docs, size)
-    place = F.struct("id", "h", "pos")
-    firsts = found.groupBy("w").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
-    later = found.join(firsts.select("w", "first"), "w").where(~place.eqNullSafe(F.col("first")))
+    later = repeats(windows(docs, size), "w")
     return later.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("gone"))
 
 
@@ -157,15 +166,12 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
     found = keep_table(texts.select("id", "h", F.explode(picked(F.col("text"))).alias("x")).select("id", "h", "x.*"), "picks")
-    place = F.struct("id", "h", "pos")
-    firsts = found.groupBy("g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") > 1)
-    later = found.join(firsts.select("g", "first"), "g").where(~place.eqNullSafe(F.col("first")))
-    runs = keep_table(runs_of(later), "runs")
+    runs = keep_table(runs_of(repeats(found, "g")), "runs")
     ends = F.array(F.struct((F.col("a") - F.col("shift")).alias("pos"), F.lit(0).alias("side")), F.struct((F.col("b") - F.col("shift")).alias("pos"), F.lit(1).alias("side")))
     asked = runs.select("first_id", "first_h", F.explode(ends).alias("e")).groupBy("first_id", "first_h").agg(F.collect_set("e").alias("ends"))
-    beside = texts.dropDuplicates(["id", "h"]).join(asked, texts["id"].eqNullSafe(asked["first_id"]) & (texts["h"] == asked["first_h"]))
+    beside = texts.join(asked, texts["id"].eqNullSafe(asked["first_id"]) & (texts["h"] == asked["first_h"]))
     answers = beside.select("first_id", "first_h", F.explode(borders(F.col("text"), F.col("ends"))).alias("e")).select("first_id", "first_h", "e.*")
-    answers = keep_table(answers, "borders")
+    answers = keep_table(answers.distinct(), "borders")  # repeated rows answer alike
     for side, at, name in ((0, "a", "before"), (1, "b", "behind")):
         one = answers.where(F.col("side") == side).toDF("f_id", "f_h", "f_pos", "side", name).drop("side")
         runs = runs.join(one, runs["first_id"].eqNullSafe(one["f_id"]) & (runs["first_h"] == one["f_h"]) & (runs[at] - runs["shift"] == one["f_pos"])).drop("f_id", "f_h", "f_pos")

@@ -39,6 +39,7 @@ PART = 23  # pair hashes are counted in 2^(32 - 23) parts
 PAIRS = 8_000_000  # pairs of words that a task counts before it sends them
 SEED = 42  # of Spark's xxhash64
 CHUNK = 1024  # edges of a compacted path in one row
+DEALT = 64  # parts that the candidates of a language are ranked in first
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
 MINED = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
@@ -382,10 +383,12 @@ def mine(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     frequent = frequent_phrases(docs, counted, s)
     kept = scored(frequent, s.scale).join(covered(frequent), ["lang", "phrase"], "left").where(
         F.col("longest").isNull() | (F.lit(100) * F.col("longest") < F.lit(s.inside) * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= s.top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    dealt = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALT))).orderBy(*order)
+    kept = kept.withColumn("rank", F.row_number().over(dealt)).where(F.col("rank") <= s.top)  # so one task ranks at most DEALT times as many
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= s.top)
     every = counted.where("word is null").select("lang", "n")
-    return ranked.join(every, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(every, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = """

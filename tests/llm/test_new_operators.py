@@ -218,3 +218,12 @@ def test_flow_gives_the_counts_of_shorter_phrases(spark):
     s = collocations.Settings()
     found = {r.phrase: r.n for r in collocations.frequent_phrases(df, collocations.frequent_words(df, s.least), s).collect()}
     assert found == {"a": 90, "b": 120, "c": 90, "d": 60, "e": 30, "a b": 90, "b c": 90, "c d": 60, "d e": 30, "a b c": 60, "b c d": 60, "c d e": 30, "a b c d": 30, "b c d e": 30}
+
+
+def test_collocations_ranked_in_parts_are_the_first_of_all(spark):
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(40)) for _ in range(150)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    every = sorted(collocations.mine(docs).collect(), key=lambda r: r["rank"])
+    some = sorted(collocations.mine(docs, collocations.Settings(top=7)).collect(), key=lambda r: r["rank"])
+    assert len(every) > 50 and some == every[:7] and [r["rank"] for r in some] == list(range(1, 8))

@@ -107,17 +107,23 @@ def with_balance(df: DataFrame, movements: DataFrame) -> DataFrame:
     than a scan.
 
     The long running sum is taken over daily totals; movements are ordered only within (SKU, day),
-    so one SKU with a third of all rows is spread over its days.
+    so one SKU with a third of all rows is spread over its days. A day's opening balance comes as one
+    more row before its movements instead of a join: rows are sorted once, and where nothing asks for
+    the balance Spark leaves out the whole of it. Movements without SKU or day have no balance and leave.
     """
     net = F.col("entrada") - F.col("salida")
-    daily = movements.groupBy("sku", "fecha").agg(F.sum(net).alias("_net"))
+    daily = movements.where(F.col("sku").isNotNull() & F.col("fecha").isNotNull()).groupBy("sku", "fecha").agg(F.sum(net).alias("_net"))
     days = W.partitionBy("sku").orderBy("fecha").rowsBetween(W.unboundedPreceding, -1)
-    opening = daily.select("sku", "fecha", F.coalesce(F.sum("_net").over(days), F.lit(0.0)).alias("_opening"))
-    day = W.partitionBy("sku", "fecha").orderBy(*ORDER[1:]).rowsBetween(W.unboundedPreceding, 0)
+    opening = daily.select(
+        "sku", "fecha", F.coalesce(F.sum("_net").over(days), F.lit(0.0)).alias("_opening"), F.lit(False).alias("_moves"))
+    day = W.partitionBy("sku", "fecha").orderBy("_moves", *ORDER[1:]).rowsBetween(W.unboundedPreceding, 0)
     return (
-        df.join(opening, ["sku", "fecha"])
-        .withColumn("saldo", F.col("_opening") + F.sum(net).over(day))
-        .drop("_opening")
+        df.where(F.col("sku").isNotNull() & F.col("fecha").isNotNull())
+        .withColumn("_moves", F.lit(True))
+        .unionByName(opening, allowMissingColumns=True)
+        .withColumn("saldo", F.first("_opening").over(day) + F.sum(net).over(day))
+        .where("_moves")
+        .select("sku", "fecha", *[c for c in df.columns if c not in ("sku", "fecha")], "saldo")
     )
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from demand_engine.operators import cleaning, outliers, weekly
-from demand_engine.plans import catalog
+from demand_engine.plans import catalog, ledger_views
 
 
 def plan(df):
@@ -51,3 +51,17 @@ def test_hot_product_gives_the_same_results(spark):
     assert capped.count() == len(rows)
     assert capped.where("sku = 'hot' and salida_capped").count() == int((hot > top).sum())
     assert weekly.weekly_by_sku(cleaning.sales(df)).where("sku = 'hot'").first()["sales"] == pytest.approx(hot.sum())
+
+
+def test_running_stock_joins_nothing_and_costs_nothing_unless_asked_for(spark):
+    rows = [("a", "2023-01-02", 2, 1.0, 0.0), ("a", "2023-01-02", 1, 5.0, 0.0), ("a", "2023-01-04", 3, 0.0, 2.0), ("b", "2023-01-03", 4, None, 1.0),
+            ("b", "2023-01-05", 5, 7.0, 0.0), ("a", None, 6, 9.0, 0.0), (None, "2023-01-01", 7, 9.0, 0.0)]
+    df = spark.createDataFrame(rows, "sku string, fecha string, orden long, entrada double, salida double").selectExpr(
+        "sku", "cast(fecha AS date) AS fecha", "orden", "1 AS linea", "1L AS parte", "1L AS proveedor", "1D AS importe", "entrada", "salida")
+    out = ledger_views.with_balance(df, df)
+    assert out.columns == [*df.columns, "saldo"]
+    text = plan(out)
+    assert "Join" not in text and text.count("- Window ") == 2
+    assert {r["orden"]: r["saldo"] for r in out.collect()} == {1: 5.0, 2: 6.0, 3: 4.0, 4: None, 5: 7.0}
+    totals = plan(out.groupBy("sku").sum("salida"))
+    assert "Join" not in totals and "Window" not in totals and totals.count("- Exchange") == 1

@@ -49,3 +49,12 @@ def keep_table(df: DataFrame, name: str = "kept") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all shuffle partitions of the session.
+
+    AQE would merge them up to 64 MB of compressed bytes, which says little about the memory of a task that sorts or
+    counts its rows several times.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

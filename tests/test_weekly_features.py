@@ -145,3 +145,17 @@ def test_ewma_of_any_span_equals_the_plain_recursion(series):
         for t in range(1, 800):
             state = state if t == 1 else (1 - a) * state + a * values[t - 1]
             assert rows[t][f"ewma_{span}"] == pytest.approx(state, rel=1e-9)
+
+
+def test_weekly_modes_from_one_shuffle_of_plain_movements(spark, ledger):
+    df = ledger({"salida": 1.0, "cliente": "b", "canal": None, "punto": "y"}, {"salida": 2.0, "cliente": "b", "canal": None, "punto": "x"},
+                {"salida": 6.0, "cliente": "a", "canal": "k", "punto": None}, {"salida": 7.0, "cliente": "a", "canal": None, "punto": None},
+                {"sku": "Q", "salida": 4.0, "cliente": None, "canal": None, "punto": None}, {"sku": None, "salida": 5.0}, {"fecha": None, "salida": 5.0})
+    out = weekly.weekly_demand(df)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    rows = {r["sku"]: r for r in out.collect()}
+    assert {k: (r["cliente_modo"], r["canal_modo"], r["punto_modo"]) for k, r in rows.items()} == {"P1": ("a", "k", "x"), "Q": ("Unknown", "Unknown", "Unknown")}
+    p = rows["P1"]
+    assert (p["salida"], p["transacciones"], p["salida_promedio"], p["salida_min"], p["salida_max"]) == (16.0, 4, 4.0, 1.0, 7.0)
+    assert p["salida_std"] == pytest.approx(np.std([1, 2, 6, 7], ddof=1)) and rows["Q"]["salida_std"] is None
+    assert text.count("- Exchange") == 1 and "REPARTITION_BY_NUM" in text and "Generate" not in text and "HashAggregate" not in text

@@ -109,13 +109,15 @@ def with_balance(df: DataFrame, movements: DataFrame) -> DataFrame:
     The long running sum is taken over daily totals; movements are ordered only within (SKU, day),
     so one SKU with a third of all rows is spread over its days. A day's opening balance comes as one
     more row before its movements instead of a join: rows are sorted once, and where nothing asks for
-    the balance Spark leaves out the whole of it. Movements without SKU or day have no balance and leave.
+    the balance Spark leaves out the whole of it. Movements without a day count before all days; they leave,
+    as those without SKU do.
     """
     net = F.col("entrada") - F.col("salida")
-    daily = movements.where(F.col("sku").isNotNull() & F.col("fecha").isNotNull()).groupBy("sku", "fecha").agg(F.sum(net).alias("_net"))
+    daily = movements.where(F.col("sku").isNotNull()).groupBy("sku", "fecha").agg(F.sum(net).alias("_net"))
     days = W.partitionBy("sku").orderBy("fecha").rowsBetween(W.unboundedPreceding, -1)
     opening = daily.select(
-        "sku", "fecha", F.coalesce(F.sum("_net").over(days), F.lit(0.0)).alias("_opening"), F.lit(False).alias("_moves"))
+        "sku", "fecha", F.coalesce(F.sum("_net").over(days), F.lit(0.0)).alias("_opening"), F.lit(False).alias("_moves")
+    ).where(F.col("fecha").isNotNull())
     day = W.partitionBy("sku", "fecha").orderBy("_moves", *ORDER[1:]).rowsBetween(W.unboundedPreceding, 0)
     return (
         df.where(F.col("sku").isNotNull() & F.col("fecha").isNotNull())

@@ -62,6 +62,6 @@ def test_running_stock_joins_nothing_and_costs_nothing_unless_asked_for(spark):
     assert out.columns == [*df.columns, "saldo"]
     text = plan(out)
     assert "Join" not in text and text.count("- Window ") == 2
-    assert {r["orden"]: r["saldo"] for r in out.collect()} == {1: 5.0, 2: 6.0, 3: 4.0, 4: None, 5: 7.0}
+    assert {r["orden"]: r["saldo"] for r in out.collect()} == {1: 14.0, 2: 15.0, 3: 13.0, 4: None, 5: 7.0}
     totals = plan(out.groupBy("sku").sum("salida"))
     assert "Join" not in totals and "Window" not in totals and totals.count("- Exchange") == 1

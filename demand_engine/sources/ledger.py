@@ -45,10 +45,10 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*canonical_headers(df.columns))
 
 
-def file_named(pattern: str) -> Column:
-    """What ``pattern`` finds in the path of a row's file; the path's escapes (of blanks and the like) are undone."""
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_extract(path, pattern, 1)
+def file_named(pattern: str, path: Column | None = None) -> Column:
+    """What ``pattern`` finds in a path (that of a row's file if none is given); the path's escapes (of blanks and the like) are undone."""
+    path = F.col("_metadata.file_path") if path is None else path
+    return F.regexp_extract(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), pattern, 1)
 
 
 def separator(header: str) -> str:
@@ -62,18 +62,20 @@ def first_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``path, file, header``: the first line that isn't blank of each CSV file below the folder.
 
     One text scan in tasks; a file's first line is the least of its first block. Any file system Spark reads will do.
+    All lines pass here, so what can be told from the path, or of the first line alone, is left for after the grouping.
     """
     raw = spark.read.option("recursiveFileLookup", "true")
     try:
         text = raw.text(path)
     except AnalysisException as error:
         raise FileNotFoundError(f"Data directory not found: {path}") from error
-    lines = text.where(F.col("_metadata.file_block_start") == 0).select(
-        F.decode(F.col("value").cast("binary"), ENCODING).alias("line"), F.col("_metadata.file_path").alias("path"),
-        F.monotonically_increasing_id().alias("place"), file_named(ENTRY).alias("file"))
-    wanted = lines.where(F.col("file").rlike(pattern) & (F.trim("line") != ""))
-    # collecting the (one) name makes this an aggregate by hash: lines are not sorted
-    return wanted.groupBy("path").agg(F.min_by("line", "place").alias("header"), F.collect_set("file")[0].alias("file"))
+    lines = text.where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != "")).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("place"))
+    # collecting the (one) path makes this an aggregate by hash, lines are not sorted; and no condition on it is asked of every line
+    first = lines.groupBy("_path").agg(F.min_by("value", "place").alias("value"), F.collect_set("_path")[0].alias("path"))
+    return first.select(
+        "path", F.decode(F.col("value").cast("binary"), ENCODING).alias("header"), file_named(ENTRY, F.col("path")).alias("file")
+    ).where(F.col("file").rlike(pattern))
 
 
 def layouts(first: DataFrame) -> DataFrame:
@@ -171,9 +173,9 @@ def validate_ingest(spark: SparkSession, path: str) -> DataFrame:
 
 def count_rows(spark: SparkSession, path: str) -> DataFrame:
     """Data rows per ledger file: its non-blank lines without the header."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", file_named("^(.*)$").alias("path"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
     per_part = lines.where(F.trim("value") != "").groupBy("path").agg((F.count("*") - 1).alias("rows"))
-    name = F.regexp_extract("path", ENTRY, 1)
+    name = file_named(ENTRY, F.col("path"))
     return per_part.groupBy(name.alias("filename")).agg(F.sum("rows").alias("rows"))
 
 

@@ -118,3 +118,16 @@ def test_preview_of_a_folder_of_parts_is_in_order(spark, tmp_path):
     ledger.write_movements(df.orderBy("sku"), str(tmp_path / "Movimientos_p.csv"))
     shown, total = ledger.preview(spark, str(tmp_path / "Movimientos_p.csv"), 120)
     assert [r["codigo"] for r in shown.collect()] == sorted(map(str, range(400)))[:120] and total.first()["total_rows"] == 400
+
+
+def test_paths_are_looked_into_once_a_file_not_once_a_line(spark, tmp_path):
+    write(tmp_path, "Movimientos_ñ 1+%.csv", " \n\n Fecha;Código;año\n" + "2023-01-01;P001;1\n" * 50)
+    write(tmp_path, "notas.txt", "Fecha;Código\n")
+    first = ledger.first_lines(spark, str(tmp_path), "csv$")
+    text = first._jdf.queryExecution().executedPlan().toString()
+    assert [(r["file"], r["header"]) for r in first.collect()] == [("Movimientos_ñ 1+%.csv", " Fecha;Código;año")]
+    assert "regexp_extract" not in text[text.index("Exchange"):] and "RLIKE" not in text[text.index("Exchange"):]
+    counts = ledger.count_rows(spark, str(tmp_path))
+    text = counts._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" not in text[text.rindex("- Exchange"):]
+    assert {r["filename"]: r["rows"] for r in counts.collect()} == {"Movimientos_ñ 1+%.csv": 50, "": 0}

@@ -67,8 +67,8 @@ def extra_rates(spark: SparkSession, rates: dict[str, float] | None = None) -> D
 
 
 def unit_cost(prices: DataFrame, yields: DataFrame) -> DataFrame:
-    """Price, sheets and cost per unit of each configured SKU."""
-    return yields.join(prices, "tipo").withColumn("unit_cost", F.col("precio") / F.col("prod_por_plancha"))
+    """Price, sheets and cost per unit of each configured SKU. There are as many prices as sheet types: a few rows."""
+    return yields.join(F.broadcast(prices), "tipo").withColumn("unit_cost", F.col("precio") / F.col("prod_por_plancha"))
 
 
 def sheet_consumption(weekly: DataFrame, config: DataFrame) -> DataFrame:

@@ -304,7 +304,7 @@ FROM (SELECT sku, SUM(production) AS p, SUM(sales) AS s, MAX(sheets_per_unit) AS
 
 
 def weeks_of(spark, d, sku="brand") -> DataFrame:
-    return weekly.weekly_by_sku(clean_ledger(spark, d, sku=sku, balance=True), ORDER)
+    return weekly.weekly_by_sku(clean_ledger(spark, d, sku=sku, balance=True), ORDER, sparse=sku == "item")
 
 
 def summary_of(spark, d, sku="brand"):

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from demand_engine.operators import cleaning, outliers, weekly
+from demand_engine.operators import cleaning, materials, outliers, weekly
 from demand_engine.plans import catalog, ledger_views
 
 
@@ -65,3 +65,19 @@ def test_running_stock_joins_nothing_and_costs_nothing_unless_asked_for(spark):
     assert {r["orden"]: r["saldo"] for r in out.collect()} == {1: 14.0, 2: 15.0, 3: 13.0, 4: None, 5: 7.0}
     totals = plan(out.groupBy("sku").sum("salida"))
     assert "Join" not in totals and "Window" not in totals and totals.count("- Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["y17_overproduction_cost", "y17_overproduction_impact", "y17_extra_costs", "y18_policy_savings", "y18_policy_totals"])
+def test_items_are_summed_up_in_all_shuffle_partitions(spark, name):
+    """Sums by day would hold every movement of a sparse item; AQE would merge their partitions into tasks that grow with the ledger."""
+    text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not any("fecha" in line.split("),")[0] for line in exchanges)
+    assert any("week_start" in line.split("),")[0] and "REPARTITION_BY_NUM" in line for line in exchanges)
+    assert all("Exchange hashpartitioning(tipo" not in line for line in exchanges)
+
+
+def test_prices_go_to_the_yields_not_the_other_way_round(spark):
+    prices, yields = materials.sheet_config(spark)
+    text = plan(materials.unit_cost(prices, yields))
+    assert "BroadcastHashJoin" in text and "BuildRight" in text

@@ -46,6 +46,18 @@ def test_weekly_sums_equal_the_ledger(ledger):
     assert weekly.weekly_by_sku(df).agg(F.sum("sales")).first()[0] == total
 
 
+def test_sparse_weeks_equal_those_by_days(ledger):
+    rng = np.random.default_rng(2)
+    days = [None, *pd.date_range("2022-12-20", periods=30).strftime("%Y-%m-%d")]
+    df = ledger(*[{"sku": rng.choice(["hot", "hot", "a", "b", None]), "fecha": days[rng.integers(len(days))], "numero": str(1000 + i),
+                   "entrada": float(rng.integers(5)), "salida": None if i % 17 == 0 else float(rng.integers(9)),
+                   "saldo": None if i % 5 == 0 else float(i)} for i in range(300)])
+    one = sorted(weekly.weekly_by_sku(df).collect())
+    assert one and sorted(weekly.weekly_by_sku(df, sparse=True).collect()) == one
+    with pytest.raises(ValueError):
+        weekly.weekly_by_sku(df, ("numero",), sparse=True)
+
+
 def test_densify_and_interpolate_like_pandas(ledger):
     week = dt.date(2022, 1, 3)
     known = {0: 10.0, 1: 4.0, 3: 8.0, 9: 2.0}

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demand_engine.llm.text import keep_table
+
 PART = 1_000_000
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 SPACES = "[\\x09-\\x0D ]+"
@@ -64,43 +66,81 @@ def with_windows(df: DataFrame, window: int) -> DataFrame:
     return df
 
 
+def cut_windows(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, n_item, at, hash, slots) of ``items`` with ``tokens``, ``plain`` and ``hashes``: slots are (offset, value) of the placeholders of a window.
+
+    Windows are cut in the arrays before they become rows, so no row carries the whole item.
+    """
+    def cut(hash: Column, at: Column) -> Column:
+        part, plain = F.slice("tokens", at + 1, window), F.slice("plain", at + 1, window)
+        marked = F.zip_with(part, F.transform(plain, lambda v, i: F.struct(i.alias("offset"), F.lower(v).alias("value"))), lambda t, v: F.when(is_slot(t), v))
+        return F.struct(at.alias("at"), hash.alias("hash"), F.filter(marked, lambda x: x.isNotNull()).alias("slots"))
+
+    sized = items.withColumn("n_item", F.size("tokens"))
+    rows = sized.select("item_id", "n_item", F.inline_outer(F.transform("hashes", cut)))  # outer: no filter that cuts twice
+    return rows.where(F.col("hash").isNotNull() & (F.size("slots") * 2 <= window))
+
+
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, n_item, at, hash, slots): slots are (offset, value) of the placeholders of a window."""
+    """(item_id, n_item, at, hash, slots) of the benchmark, as ``cut_windows`` gives."""
     items = with_windows(benchmark.select("item_id", "text").where(F.col("text").isNotNull()), window)
-    items = items.withColumn("plain", split_tokens(F.col("text")))
-    rows = items.select("item_id", F.size("tokens").alias("n_item"), "tokens", "plain", F.posexplode("hashes").alias("at", "hash"))
-    part, plain = F.slice("tokens", F.col("at") + 1, window), F.slice("plain", F.col("at") + 1, window)
-    marked = F.zip_with(part, F.transform(plain, lambda v, i: F.struct(i.alias("offset"), F.lower(v).alias("value"))), lambda t, v: F.when(is_slot(t), v))
-    rows = rows.withColumn("slots", F.filter(marked, lambda x: x.isNotNull()))
-    return rows.where(F.size("slots") * 2 <= window).select("item_id", "n_item", "at", "hash", "slots")
+    return cut_windows(items.withColumn("plain", split_tokens(F.col("text"))), window)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """(id, h, item_id, n_item, at, shift, slots): a row for each window that document and item share."""
-    wanted = item_windows(benchmark, window)
+def shared_windows(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(id, h, item_id, n_item, at, shift, slots, values): a row for each window (id, h, plain, pos, hash) that is in ``wanted``.
+
+    ``values`` are the document's tokens of a window with slots. They are cut out right at the join: Spark holds all hits of a
+    text in memory until its last window is done, so a hit must not carry ``plain``, all the tokens of the text.
+    """
     n_parts = 1 + wanted.count() // PART  # parts of the benchmark, each compared with all documents
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
-    rows = with_windows(texts, window).withColumn("plain", split_tokens(F.col("text")))
-    rows = rows.select("id", "h", "plain", F.posexplode_outer("hashes").alias("pos", "hash"))  # outer: no filter that hashes twice
+    if n_parts > 1:
+        wanted = keep_table(wanted, "benchmark_windows")  # cut once, not once a part
+    values = F.when(F.size("slots") > 0, F.slice("plain", F.col("pos") + 1, window)).alias("values")
     found = None
     for k in range(n_parts):
         part = wanted.where(F.pmod(F.col("hash"), F.lit(n_parts)) == k) if n_parts > 1 else wanted
-        got = rows.join(F.broadcast(part), "hash")
+        got = rows.join(F.broadcast(part), "hash").select("id", "h", "item_id", "n_item", "at", (F.col("pos") - F.col("at")).alias("shift"), "slots", values)
         found = got if found is None else found.unionByName(got)
-    slots = F.transform("slots", lambda s: F.struct(s["value"].alias("item"), F.lower(F.element_at("plain", F.col("pos") + s["offset"] + 1)).alias("doc")))
-    return found.select("id", "h", "item_id", "n_item", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("slots"))
+    return found
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """A row for each window that document and item share, as ``shared_windows`` gives."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
+    rows = with_windows(texts, window).withColumn("plain", split_tokens(F.col("text")))
+    rows = rows.select("id", "h", "plain", F.posexplode_outer("hashes").alias("pos", "hash"))  # outer: no filter that hashes twice
+    return shared_windows(rows, item_windows(benchmark, window), window)
+
+
+def slot_pairs(w: Column) -> Column:
+    """(item, doc): the values of the slots of a window with ``slots`` and ``values``."""
+    return F.transform(w["slots"], lambda s: F.struct(s["value"].alias("item"), F.lower(F.element_at(w["values"], s["offset"] + 1)).alias("doc")))
+
+
+def all_pairs(windows: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(windows, slot_pairs)))
+
+
+def distinct_values(field: str) -> Column:
+    return F.size(F.array_distinct(F.transform("slots", lambda s: s[field])))
+
+
+def covering(lines: DataFrame, window: int, min_tokens: int, min_share: float) -> DataFrame:
+    """(id, h, item_id, n_item, covered): the items of which the windows ``at`` of all lines cover enough tokens."""
+    starts = F.array_distinct(F.flatten(F.collect_set("at")))  # at most an item's windows
+    tokens = F.array_distinct(F.flatten(F.transform(starts, lambda at: F.sequence(at, at + (window - 1)))))
+    sums = lines.groupBy("id", "h", "item_id", "n_item").agg(F.size(tokens).cast("long").alias("covered"))
+    return sums.where(F.col("covered") >= F.least(F.lit(float(min_tokens)), F.col("n_item") * min_share))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, min_share: float = 0.75) -> DataFrame:
     """(id, h, item_id, covered, n_item): the items that contaminate a document; h is the hash of its text."""
+    slotted = F.when(F.size("slots") > 0, F.struct("slots", "values"))
     lines = hits(docs, benchmark, window).groupBy("id", "h", "item_id", "n_item", "shift").agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))  # at most an item's windows
-    distinct = lambda field: F.size(F.array_distinct(F.transform("slots", lambda s: s[field])))
-    good = lines.where((distinct("item") == F.size("slots")) & (distinct("doc") == F.size("slots")))
-    covered = good.select("id", "h", "item_id", "n_item", F.explode("at").alias("at")).distinct()
-    token = covered.select("id", "h", "item_id", "n_item", F.explode(F.sequence("at", F.col("at") + (window - 1))).alias("token")).distinct()
-    sums = token.groupBy("id", "h", "item_id", "n_item").agg(F.count("*").alias("covered"))
-    return sums.where(F.col("covered") >= F.least(F.lit(float(min_tokens)), F.col("n_item") * min_share))
+        F.collect_set("at").alias("at"), all_pairs(F.collect_set(slotted)).alias("slots"))  # at most an item's windows
+    good = lines.where((distinct_values("item") == F.size("slots")) & (distinct_values("doc") == F.size("slots")))
+    return covering(good, window, min_tokens, min_share)
 
 
 def typed(text: Column, names: bool) -> Column:
@@ -126,41 +166,28 @@ def whole_item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     for names in (True, False):
         items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
         items = items.withColumn("tokens", split_tokens(typed(F.col("text"), names))).withColumn("plain", split_tokens(F.col("text")))
-        rows = window_hashes(F.col("tokens"), items, "hashes", window).select("item_id", F.size("tokens").alias("n_item"), "tokens", "plain", F.posexplode("hashes").alias("at", "hash"))
-        part, plain = F.slice("tokens", F.col("at") + 1, window), F.slice("plain", F.col("at") + 1, window)
-        marked = F.zip_with(part, F.transform(plain, lambda v, i: F.struct(i.alias("offset"), F.lower(v).alias("value"))), lambda t, v: F.when(is_slot(t), v))
-        rows = rows.withColumn("slots", F.filter(marked, lambda x: x.isNotNull()))
-        rows = rows.where(F.size("slots") * 2 <= window).select("item_id", "n_item", "at", "hash", "slots")
+        rows = cut_windows(window_hashes(F.col("tokens"), items, "hashes", window), window)
         found = rows if found is None else found.unionByName(rows)
     return found.distinct()  # windows without a name are in both
 
 
 def whole_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_tokens: int = 13, min_share: float = 0.75) -> DataFrame:
     """(id, h, item_id, covered, n_item) as ``matches`` gives, by both streams, with verbatim windows always counted."""
-    wanted = whole_item_windows(benchmark, window)
-    n_parts = 1 + wanted.count() // PART
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").where(F.col("text").isNotNull())
     for name, names in (("named", True), ("literal", False)):
         rows = window_hashes(split_tokens(typed(F.col("text"), names)), rows, name, window)
     rows = rows.withColumn("plain", split_tokens(F.col("text")))
     both = F.zip_with("named", "literal", lambda a, b: F.array_distinct(F.array(a, b)))
     rows = rows.select("id", "h", "plain", F.posexplode_outer(both).alias("pos", "both")).select("id", "h", "plain", "pos", F.explode_outer("both").alias("hash"))
-    found = None
-    for k in range(n_parts):
-        part = wanted.where(F.pmod(F.col("hash"), F.lit(n_parts)) == k) if n_parts > 1 else wanted
-        got = rows.join(F.broadcast(part), "hash")
-        found = got if found is None else found.unionByName(got)
-    slots = F.transform("slots", lambda s: F.struct(s["value"].alias("item"), F.lower(F.element_at("plain", F.col("pos") + s["offset"] + 1)).alias("doc")))
-    found = found.select("id", "h", "item_id", "n_item", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("slots"))
-    verbatim = F.forall("slots", lambda s: s["item"] == s["doc"])
+    found = shared_windows(rows, whole_item_windows(benchmark, window), window)
+    slotted = F.when(F.size("slots") > 0, F.struct("at", "slots", "values"))
     lines = found.groupBy("id", "h", "item_id", "n_item", "shift").agg(
-        F.collect_set("at").alias("at"), F.collect_set(F.when(verbatim, F.col("at"))).alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    distinct = lambda field: F.size(F.array_distinct(F.transform("slots", lambda s: s[field])))
-    counted = F.when(2 * F.least(distinct("item"), distinct("doc")) >= F.size("slots"), F.col("at")).otherwise(F.col("verbatim"))
-    covered = lines.select("id", "h", "item_id", "n_item", F.explode(counted).alias("at")).distinct()
-    token = covered.select("id", "h", "item_id", "n_item", F.explode(F.sequence("at", F.col("at") + (window - 1))).alias("token")).distinct()
-    sums = token.groupBy("id", "h", "item_id", "n_item").agg(F.count("*").alias("covered"))
-    return sums.where(F.col("covered") >= F.least(F.lit(float(min_tokens)), F.col("n_item") * min_share))
+        F.collect_set("at").alias("at"), F.collect_set(F.when(F.size("slots") == 0, F.col("at"))).alias("bare"),
+        F.collect_set(slotted).alias("windows"), all_pairs(F.collect_set(slotted)).alias("slots"))
+    same = F.filter("windows", lambda w: F.forall(slot_pairs(w), lambda s: s["item"] == s["doc"]))
+    verbatim = F.concat("bare", F.transform(same, lambda w: w["at"]))
+    counted = F.when(2 * F.least(distinct_values("item"), distinct_values("doc")) >= F.size("slots"), F.col("at")).otherwise(verbatim)
+    return covering(lines.select("id", "h", "item_id", "n_item", counted.alias("at")), window, min_tokens, min_share)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

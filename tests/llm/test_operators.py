@@ -380,6 +380,22 @@ def test_templates_catch_questions_with_other_values(spark, text, caught):
     assert kept.columns == docs.columns and kept.count() == (1 if caught else 3)
 
 
+def test_hits_carry_their_window_not_the_whole_text(spark):
+    docs = spark.createDataFrame([(1, f"{ITEM} {ITEM.replace('12', '15')} and {ITEM.replace('12', '7')}"), (2, None), (3, ITEM)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, ITEM) for i in range(3)] + [(3, None), (4, "")], "item_id long, text string")
+    found = decontamination.hits(docs, benchmark, 8)
+    for plan in (found, decontamination.whole_matches(docs, benchmark)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        above = text[:text.index("BroadcastHashJoin")]  # what takes the hits; all those of a text are in memory at once
+        assert above.count("plain#") == above.count("slice(plain#") == 1
+        assert "lambdafunction" not in above.splitlines()[-2]  # cut in the loop that makes the hit, not after it
+        items = text[text.index("BroadcastExchange"):]
+        assert not any("plain#" in line or "tokens#" in line for line in items[:items.index("Generate")].splitlines())
+        assert "posexplode" not in items  # a row for each window of an item, none with the whole item
+    rows = found.where("slots[0].value = '12'").selectExpr("id", "values[slots[0].offset] AS value").distinct().collect()
+    assert sorted((r["id"], r["value"]) for r in rows) == [(1, "12"), (1, "15"), (1, "7"), (3, "12")]
+
+
 TOM = "Tom has 3 apples and 2 green pears. Tom eats 1 ripe apple today. Then Mary buys 4 more pears. Mary gives 1 to him"
 
 

@@ -25,15 +25,20 @@ def fresh(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_ledger(rows, path: str, header_case=str) -> None:
+    """A ledger file of a query: as text it takes several times the tables it is made of, so its parts are compressed (Spark tells by their names)."""
+    ledger.write_movements(rows, path, header_case, compression="gzip")
+
+
 def ledger_files(spark, d, ordered: bool = False) -> str:
     """The ledger as two files with different headers, and a backup that must not be read."""
     folder = fresh(spark, "ledger")
     rows = movements(spark, d, parties=True, names=True)
     early = F.col("fecha") < "1998-01-01"
     first = rows.where(early)
-    ledger.write_movements(first.orderBy("orden", "linea") if ordered else first, f"{folder}/Movimientos_1997.csv")
-    ledger.write_movements(rows.where(~early), f"{folder}/Movimientos_2001.csv", str.lower)
-    ledger.write_movements(rows.where(early), f"{folder}/Movimientos_1997_Backup.csv")
+    write_ledger(first.orderBy("orden", "linea") if ordered else first, f"{folder}/Movimientos_1997.csv")
+    write_ledger(rows.where(~early), f"{folder}/Movimientos_2001.csv", str.lower)
+    write_ledger(rows.where(early), f"{folder}/Movimientos_1997_Backup.csv")
     return folder
 
 
@@ -76,8 +81,8 @@ UNION ALL SELECT 'otros.csv', FALSE, '', FALSE FROM mv HAVING COUNT(*) > 0"""
 def a4_validate_ingest(spark, d):
     folder = ledger_files(spark, d)
     rows = movements(spark, d)
-    ledger.write_movements(rows.drop("salida"), f"{folder}/Movimientos_sin_salida.csv")
-    ledger.write_movements(rows.select("sku", "fecha", "entrada", "salida"), f"{folder}/otros.csv")
+    write_ledger(rows.drop("salida"), f"{folder}/Movimientos_sin_salida.csv")
+    write_ledger(rows.select("sku", "fecha", "entrada", "salida"), f"{folder}/otros.csv")
     return ledger.validate_ingest(spark, folder).withColumn("missing", F.array_join("missing", ","))
 
 

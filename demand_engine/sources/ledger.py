@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from demand_engine.functions.expressions import to_day, to_number
 from demand_engine.schema import LEDGER_HEADERS, MOVEMENTS, QUANTITIES
-from demand_engine.session import keep_table
+from demand_engine.session import keep_table, shuffles_dropped
 
 ENCODING = "ISO-8859-1"
 REQUIRED = ("fecha", "entrada", "salida")
@@ -145,11 +145,13 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select(*[column(f) for f in MOVEMENTS], *extra)
 
 
-def write_movements(df: DataFrame, path: str, header_case=str) -> None:
-    """A ledger as CSV in the file layout; ``header_case`` maps each header."""
+def write_movements(df: DataFrame, path: str, header_case=str, compression: str = "none") -> None:
+    """A ledger as CSV in the file layout; ``header_case`` maps each header, ``compression`` is that of the parts (as Spark names it)."""
     present = [c for c in LEDGER_HEADERS if c in df.columns]
     named = df.select(*[F.col(c).alias(header_case(LEDGER_HEADERS[c])) for c in present])
-    named.write.mode("overwrite").csv(path, header=True, sep=";", encoding=ENCODING)
+    with shuffles_dropped(df.sparkSession):
+        out = named.write.mode("overwrite").option("zlib.compress.level", "BEST_SPEED")  # gzip's default level: a quarter fewer bytes, but a third more CPU in all
+        out.csv(path, header=True, sep=";", encoding=ENCODING, compression=compression)
 
 
 def validate_ingest(spark: SparkSession, path: str) -> DataFrame:

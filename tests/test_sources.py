@@ -1,7 +1,9 @@
 import json
+import time
 
 import pytest
 
+from demand_engine.plans import source_queries
 from demand_engine.sources import ledger, tables
 
 
@@ -131,3 +133,32 @@ def test_paths_are_looked_into_once_a_file_not_once_a_line(spark, tmp_path):
     text = counts._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract" not in text[text.rindex("- Exchange"):]
     assert {r["filename"]: r["rows"] for r in counts.collect()} == {"Movimientos_ñ 1+%.csv": 50, "": 0}
+
+
+def test_ledgers_of_queries_are_compressed_and_leave_no_shuffle_files(spark, tmp_path):
+    def shuffled():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i).getName()) for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, files = spark.conf.get(key, None), shuffled()
+    rows = [(f"P{i % 7}", f"2023-01-{1 + i % 28:02d}", "Guía; de \"remisión\"", float(i), 2.0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "sku string, fecha string, documento string, entrada double, salida double").repartition(3, "sku")
+    source_queries.write_ledger(df, str(tmp_path / "Movimientos_a.csv"))
+    assert spark.conf.get(key, None) == before
+    for _ in range(100):  # they are removed in the background
+        if not (left := shuffled() - files):
+            break
+        time.sleep(0.1)
+    assert not left
+    parts = sorted(p.name for p in (tmp_path / "Movimientos_a.csv").glob("part-*"))
+    assert parts and all(p.endswith(".csv.gz") for p in parts)
+    ledger.write_movements(df, str(tmp_path / "Movimientos_b.csv"))  # as text, which stays the default
+    assert list((tmp_path / "Movimientos_b.csv").glob("part-*.csv"))
+    ledger.write_movements(df.drop("salida"), str(tmp_path / "Movimientos_c.csv"), compression="gzip")
+    got = {r["file"]: (r["missing"], r["valid"]) for r in ledger.validate_ingest(spark, str(tmp_path)).collect()}
+    assert got == {"Movimientos_a.csv": ([], True), "Movimientos_b.csv": ([], True), "Movimientos_c.csv": (["salida"], False)}
+    assert {r["filename"]: r["rows"] for r in ledger.count_rows(spark, str(tmp_path)).collect()} == {f"Movimientos_{x}.csv": 2000 for x in "abc"}
+    read = ledger.read_movements(spark, str(tmp_path)).select("archivo", "sku", "fecha", "documento", "entrada", "salida")
+    rows_of = lambda x: sorted(tuple(r)[1:] for r in read.where(f"archivo = 'Movimientos_{x}.csv'").collect())
+    assert rows_of("a") == rows_of("b") and len(rows_of("a")) == 2000 and rows_of("a")[0][2] == "Guía; de \"remisión\""
